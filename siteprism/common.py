@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ def session(app: str = "siteprism", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     for k, v in {**defaults, **conf}.items():
@@ -96,6 +98,25 @@ def falsy_zero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once and use it several times inside `body`.
+
+    Catalyst does not share sub-expressions across conditional branches or
+    inside lambdas, so an expensive regex result is bound to a lambda variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Split a scan with fewer tasks than cores before CPU-heavy row work.
+
+    Only small inputs are affected; a scan of many files is left as it is, so
+    wide text is never shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def severity_rank(c: Column) -> Column:
     """low 1 … critical 4, by position in the enum; NULL for anything else."""
     out = F.lit(None).cast("int")

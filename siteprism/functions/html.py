@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteprism.common import let
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
 
@@ -27,14 +28,16 @@ ENTITIES = [
     ("&euro;", "€"), ("&amp;", "&"),
 ]
 
+_SQL_CHAR = {"'": "\\'"}
+
 BLOCKS = r"(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|template\b[^>]*>.*?</template)\s*>|<!--.*?-->"
 LINK_CAP, EXTERNAL_CAP, IMAGE_CAP, HEADING_CAP, ANCHOR_CAP = 200, 100, 100, 20, 100
 
 
-def unescape(c: Column) -> Column:
-    """Entities to characters; the work is skipped where there is no '&'."""
+def _decode_numbers(c: Column) -> Column:
+    """Decimal character references, by folding over the distinct ones."""
     numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,7});"), 1))
-    decoded = F.aggregate(
+    return F.aggregate(
         numbers,
         c,
         lambda acc, n: F.replace(
@@ -43,10 +46,14 @@ def unescape(c: Column) -> Column:
             F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32"),
         ),
     )
-    out = F.when(c.contains("&#"), decoded).otherwise(c)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+
+
+def unescape(c: Column) -> Column:
+    """Entities to characters; the work is skipped where there is no '&'."""
+    table = F.expr("array(" + ", ".join(f"""struct("{n}" n, '{_SQL_CHAR.get(v, v)}' v)""" for n, v in ENTITIES) + ")")
+    named = lambda x: F.aggregate(table, x, lambda acc, e: F.replace(acc, e["n"], e["v"]))
+    decode = lambda x: F.when(x.contains("&#"), _decode_numbers(x)).otherwise(x)
+    return let(c, lambda x: F.when(x.contains("&"), named(decode(x))).otherwise(x))
 
 
 def attr(tag: Column, name: str) -> Column:
@@ -166,7 +173,7 @@ def images(html: Column, base: Column) -> Column:
     def parts(t: Column) -> Column:
         src = attr(t, "src")
         return F.struct(
-            F.when(src != "", src).otherwise(attr(t, "data-src")).alias("src"),
+            let(src, lambda x: F.when(x != "", x).otherwise(attr(t, "data-src"))).alias("src"),
             attr(t, "alt").alias("alt"),
             F.when(has_attr(t, "width"), attr(t, "width")).alias("width"),
             F.when(has_attr(t, "height"), attr(t, "height")).alias("height"),
@@ -419,61 +426,67 @@ def js_decision(pages: DataFrame, min_words: int = 50) -> DataFrame:
 # ------------------------------------------------------------------ whole page
 
 
-def extract_page(pages: DataFrame) -> DataFrame:
+# Intermediate columns several features are cut from.
+_STEPS: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "_links": lambda html, url, host: all_links(html, url, host),
+    "text_content": lambda html, url, host: visible_text(html),
+    "meta_robots": lambda html, url, host: meta_content(html, "robots"),
+}
+
+# Feature → (steps it needs, expression).
+_FEATURES: dict[str, tuple[list[str], Callable[[Column, Column, Column], Column]]] = {
+    "title": ([], lambda html, url, host: title(html)),
+    "meta_description": ([], lambda html, url, host: meta_content(html, "description")),
+    "meta_robots": (["meta_robots"], lambda html, url, host: F.col("meta_robots")),
+    "canonical_url": ([], lambda html, url, host: canonical(html)),
+    "h1": ([], lambda html, url, host: headings(html, "h1")),
+    "h2": ([], lambda html, url, host: F.slice(headings(html, "h2"), 1, HEADING_CAP)),
+    "h3": ([], lambda html, url, host: F.slice(headings(html, "h3"), 1, HEADING_CAP)),
+    "internal_links": (["_links"], lambda html, url, host: split_links(F.col("_links"), True)),
+    "external_links": (["_links"], lambda html, url, host: split_links(F.col("_links"), False)),
+    "images": ([], lambda html, url, host: images(html, url)),
+    "text_content": (["text_content"], lambda html, url, host: F.col("text_content")),
+    "word_count": (["text_content"], lambda html, url, host: X.word_count(F.col("text_content"))),
+    "text_content_hash": (["text_content"], lambda html, url, host: F.md5("text_content")),
+    "structured_data": ([], lambda html, url, host: structured_data(html)),
+    "schema_errors": ([], lambda html, url, host: F.transform(schema_errors(html), lambda b: F.left(b, F.lit(200)))),
+    "open_graph": ([], lambda html, url, host: meta_map(html, "property", "og:")),
+    "twitter_cards": ([], lambda html, url, host: meta_map(html, "name", "twitter:")),
+    "hreflang": ([], lambda html, url, host: hreflang(html)),
+    "html_lang": ([], lambda html, url, host: html_lang(html)),
+    "has_viewport_meta": ([], lambda html, url, host: F.exists(tags(html, "meta"), lambda t: attr(t, "name") == "viewport")),
+    "viewport_content": ([], lambda html, url, host: meta_content(html, "viewport")),
+    "noindex": (["meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("noindex")),
+    "nofollow": (["meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("nofollow")),
+    "scripts_count": ([], lambda html, url, host: F.size(script_sources(html))),
+    "stylesheets_count": ([], lambda html, url, host: stylesheets_count(html)),
+    "render_blocking_resources": ([], lambda html, url, host: render_blocking(html)),
+    "third_party_scripts": ([], lambda html, url, host: third_party_scripts(html, host)),
+    "has_mixed_content": ([], lambda html, url, host: has_mixed_content(html, url)),
+    "forms_without_labels": ([], lambda html, url, host: forms_without_labels(html)),
+    "has_skip_link": ([], lambda html, url, host: has_skip_link(html)),
+    "has_rel_next": ([], lambda html, url, host: has_rel(html, "next")),
+    "has_rel_prev": ([], lambda html, url, host: has_rel(html, "prev")),
+    "has_flash": ([], lambda html, url, host: has_flash(html)),
+    "requires_plugin": ([], lambda html, url, host: requires_plugin(html)),
+    "readability_score": (["text_content"], lambda html, url, host: X.readability(F.col("text_content"))),
+}
+
+
+def extract_page(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Raw pages (``url``, ``html``, optional ``site_host``) → page feature columns.
 
-    One narrow projection over the scan: no shuffle, and Catalyst drops every
-    feature the consumer does not select.
+    A projection over the scan: no shuffle.  ``columns`` limits the features
+    that are planned at all.
     """
     html, url = F.col("html"), F.col("url")
-    site_host = F.col("site_host") if "site_host" in pages.columns else U.host(url)
-    step = pages.select(
-        "*",
-        all_links(html, url, site_host).alias("_links"),
-        visible_text(html).alias("text_content"),
-        meta_content(html, "robots").alias("meta_robots"),
-        headings(html, "h1").alias("h1"),
-        tags(html, "meta").alias("_meta"),
-    )
-    out = step.select(
-        *[c for c in pages.columns if c != "html"],
-        title(html).alias("title"),
-        meta_content(html, "description").alias("meta_description"),
-        "meta_robots",
-        canonical(html).alias("canonical_url"),
-        "h1",
-        F.slice(headings(html, "h2"), 1, HEADING_CAP).alias("h2"),
-        F.slice(headings(html, "h3"), 1, HEADING_CAP).alias("h3"),
-        split_links(F.col("_links"), True).alias("internal_links"),
-        split_links(F.col("_links"), False).alias("external_links"),
-        images(html, url).alias("images"),
-        "text_content",
-        X.word_count(F.col("text_content")).alias("word_count"),
-        F.md5("text_content").alias("text_content_hash"),
-        structured_data(html).alias("structured_data"),
-        F.transform(schema_errors(html), lambda b: F.left(b, F.lit(200))).alias("schema_errors"),
-        meta_map(html, "property", "og:").alias("open_graph"),
-        meta_map(html, "name", "twitter:").alias("twitter_cards"),
-        hreflang(html).alias("hreflang"),
-        html_lang(html).alias("html_lang"),
-        F.exists("_meta", lambda t: attr(t, "name") == "viewport").alias("has_viewport_meta"),
-        meta_content(html, "viewport").alias("viewport_content"),
-        F.lower("meta_robots").contains("noindex").alias("noindex"),
-        F.lower("meta_robots").contains("nofollow").alias("nofollow"),
-        F.size(script_sources(html)).alias("scripts_count"),
-        stylesheets_count(html).alias("stylesheets_count"),
-        render_blocking(html).alias("render_blocking_resources"),
-        third_party_scripts(html, site_host).alias("third_party_scripts"),
-        has_mixed_content(html, url).alias("has_mixed_content"),
-        forms_without_labels(html).alias("forms_without_labels"),
-        has_skip_link(html).alias("has_skip_link"),
-        has_rel(html, "next").alias("has_rel_next"),
-        has_rel(html, "prev").alias("has_rel_prev"),
-        has_flash(html).alias("has_flash"),
-        requires_plugin(html).alias("requires_plugin"),
-        X.readability(F.col("text_content")).alias("readability_score"),
-    )
-    return out
+    host = F.col("site_host") if "site_host" in pages.columns else U.host(url)
+    wanted = [c for c in _FEATURES if columns is None or c in columns]
+    needed = {s for c in wanted for s in _FEATURES[c][0]}
+    steps = [make(html, url, host).alias(name) for name, make in _STEPS.items() if name in needed]
+    keep = [c for c in pages.columns if c != "html"]
+    step = pages.select("*", *steps) if steps else pages
+    return step.select(*keep, *[_FEATURES[c][1](html, url, host).alias(c) for c in wanted])
 
 
 def to_storage_row(page: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteprism.common import spread
 from siteprism.functions import html as H
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
@@ -21,13 +22,18 @@ def _s(x: str) -> Column:
 
 
 def raw_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """pages with site_id (= host), page_seq and the first/last URL of the host."""
-    p = spark.read.parquet(f"{sf}/pages.parquet").withColumn("site_id", U.host(F.col("url")))
-    hubs = p.groupBy("site_id").agg(
+    """pages with site_id (= host) and page_seq (= page_id)."""
+    p = spread(spark.read.parquet(f"{sf}/pages.parquet"))
+    return p.withColumns({"site_id": U.host(F.col("url")), "page_seq": F.col("page_id")})
+
+
+def hubs(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last URL of each host."""
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", U.host(F.col("url")).alias("site_id"))
+    return p.groupBy("site_id").agg(
         F.min_by("url", "page_id").alias("hub_url"), F.min("page_id").alias("hub_id"),
         F.max_by("url", "page_id").alias("tail_url"),
     )
-    return p.join(hubs, "site_id").withColumn("page_seq", F.col("page_id"))
 
 
 def _mod(k: int) -> Column:
@@ -83,7 +89,6 @@ def rich_html() -> Column:
         cases(7, _s('<link rel="next" href="?p=2">'), _s('<link rel="prev" href="?p=1">')),
     )
     body = F.concat(
-        F.concat(_s('<a href="'), F.col("hub_url"), _s('">Home</a><a rel="nofollow" href="'), F.col("tail_url"), _s('">Read More</a>')),
         cases(3, _s('<a href="sub/page">sub</a>'), _s('<a href="?p=2"><b>next</b> page</a>'), _s('<a href="//ext.test/x">ext</a>')),
         _s('<a href="#top">top</a><a href="mailto:a@b.c">mail</a><a href="tel:1">call</a>'),
         cases(5, _s('<a href="#main">Skip to content</a>')),
@@ -133,7 +138,7 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
             "redirect_chain": F.array_repeat(F.col("url"), _mod(5).cast("int")),
             "has_redirect_loop": yes(41),
             "has_unminified_resources": yes(6),
-            "near_duplicate_of": F.when(yes(14), F.col("hub_url")),
+            "near_duplicate_of": F.when(yes(14), F.concat(_s("https://"), F.col("site_id"), _s("/original"))),
             "accessibility_issues": F.struct(yes(10).alias("low_contrast")),
             "small_tap_targets": yes(12),
             "has_small_font": yes(13),
@@ -145,32 +150,40 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    """rich_pages after extraction; images get a size and a status."""
-    f = H.extract_page(rich_pages(spark, sf))
-    sized = F.transform(
-        "images",
-        lambda i: F.struct(
-            i["url"].alias("url"), i["alt"].alias("alt"), i["width"].alias("width"), i["height"].alias("height"),
-            (F.col("page_id") * 7919 % 400000).cast("bigint").alias("size_bytes"),
-            F.when(_mod(20) == 1, 404).otherwise(200).alias("status_code"),
-        ),
-    )
-    first_word = F.coalesce(F.try_element_at(X.words("title"), F.lit(1)), F.lit(""))
-    return f.withColumn("images", sized).withColumn(
-        "keyword_density", X.keyword_density(F.col("text_content"), first_word)
-    )
+def features(spark: SparkSession, sf: str, columns: list[str] | None = None) -> DataFrame:
+    """rich_pages after extraction; links to the host's first and last page are
+    added, images get a size and a status."""
+    derived = {"keyword_density": ["title", "text_content"]}
+    wanted = None if columns is None else list({x for c in columns for x in derived.get(c, [c])})
+    f = H.extract_page(rich_pages(spark, sf), wanted)
+    if "images" in f.columns:
+        sized = F.transform(
+            "images",
+            lambda i: F.struct(
+                i["url"].alias("url"), i["alt"].alias("alt"), i["width"].alias("width"), i["height"].alias("height"),
+                (F.col("page_id") * 7919 % 400000).cast("bigint").alias("size_bytes"),
+                F.when(_mod(20) == 1, 404).otherwise(200).alias("status_code"),
+            ),
+        )
+        f = f.withColumn("images", sized)
+    if columns is None or "keyword_density" in columns:
+        first_word = F.coalesce(F.try_element_at(X.words("title"), F.lit(1)), F.lit(""))
+        f = f.withColumn("keyword_density", X.keyword_density(F.col("text_content"), first_word))
+    if "internal_links" in f.columns:
+        link = lambda c, t, n: F.struct(F.col(c).alias("url"), F.lit(t).alias("text"), F.lit(n).alias("nofollow"))
+        extra = F.array(link("hub_url", "Home", False), link("tail_url", "Read More", True))
+        f = f.join(hubs(spark, sf).select("site_id", "hub_url", "tail_url"), "site_id")
+        f = f.withColumn("internal_links", F.concat("internal_links", extra)).drop("hub_url", "tail_url")
+    return f
 
 
 def sites(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per host: base URL (crawled for every other site), robots, sitemap."""
-    hubs = (
-        spark.read.parquet(f"{sf}/pages.parquet").withColumn("site_id", U.host(F.col("url")))
-        .groupBy("site_id").agg(F.min_by("url", "page_id").alias("hub_url"), F.min("page_id").alias("hub_id"))
-    )
+    """One row per host with its base URL (a crawled page for every other site)."""
     h = F.col("hub_id")
     scheme = F.when(h % 3 == 0, "http://").otherwise("https://")
-    return hubs.select("site_id", "hub_id", F.when(h % 2 == 0, F.col("hub_url")).otherwise(F.concat(scheme, "site_id")).alias("base_url"))
+    return hubs(spark, sf).select(
+        "site_id", "hub_id", F.when(h % 2 == 0, F.col("hub_url")).otherwise(F.concat(scheme, "site_id")).alias("base_url")
+    )
 
 
 def robots(spark: SparkSession, sf: str) -> DataFrame:

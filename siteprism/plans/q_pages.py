@@ -24,7 +24,7 @@ def _feat(select: str) -> str:
 
 @query("f01_title", _feat("title, length(title)::INT AS title_length"))
 def f01(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select("page_id", "title", F.length("title").alias("title_length"))
+    return P.features(spark, sf, ["title"]).select("page_id", "title", F.length("title").alias("title_length"))
 
 
 @query(
@@ -39,7 +39,7 @@ def f01(spark: SparkSession, sf: str) -> DataFrame:
 )
 def f02(spark: SparkSession, sf: str) -> DataFrame:
     og = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
-    return P.features(spark, sf).select(
+    return P.features(spark, sf, ["meta_description", "meta_robots", "has_viewport_meta", "viewport_content", "open_graph", "twitter_cards"]).select(
         "page_id", "meta_description", "meta_robots", "has_viewport_meta", "viewport_content",
         og("open_graph", "og:title").alias("og_title"), og("open_graph", "og:image").alias("og_image"),
         og("twitter_cards", "twitter:card").alias("twitter_card"), F.size("twitter_cards").alias("n_twitter"),
@@ -51,7 +51,7 @@ def f02(spark: SparkSession, sf: str) -> DataFrame:
     _feat("canonical_url, array_to_string([x.lang || '=' || x.url for x in hreflang], chr(10)) AS hreflang, stylesheets_count::INT AS stylesheets_count"),
 )
 def f03(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select(
+    return P.features(spark, sf, ["canonical_url", "hreflang", "stylesheets_count"]).select(
         "page_id", "canonical_url", _joined("hreflang", lambda h: F.concat(h["lang"], F.lit("="), h["url"])).alias("hreflang"),
         "stylesheets_count",
     )
@@ -59,7 +59,7 @@ def f03(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f04_headings", _feat("array_to_string(h1, chr(10)) AS h1, array_to_string(h2[1:20], chr(10)) AS h2, array_to_string(h3[1:20], chr(10)) AS h3"))
 def f04(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select("page_id", *[F.array_join(h, "\n").alias(h) for h in ("h1", "h2", "h3")])
+    return P.features(spark, sf, ["h1", "h2", "h3"]).select("page_id", *[F.array_join(h, "\n").alias(h) for h in ("h1", "h2", "h3")])
 
 
 _LINK = "array_to_string([x.url || ' ' || x.text || ' ' || x.nofollow::VARCHAR for x in {l}], chr(10)) AS {l}"
@@ -68,7 +68,7 @@ _LINK = "array_to_string([x.url || ' ' || x.text || ' ' || x.nofollow::VARCHAR f
 @query("f05_links", _feat(_LINK.format(l="internal_links") + ", " + _LINK.format(l="external_links")))
 def f05(spark: SparkSession, sf: str) -> DataFrame:
     show = lambda x: F.concat_ws(" ", x["url"], x["text"], x["nofollow"].cast("string"))
-    return P.features(spark, sf).select(
+    return P.features(spark, sf, ["internal_links", "external_links"]).select(
         "page_id", _joined("internal_links", show).alias("internal_links"), _joined("external_links", show).alias("external_links")
     )
 
@@ -79,12 +79,12 @@ def f05(spark: SparkSession, sf: str) -> DataFrame:
 )
 def f06(spark: SparkSession, sf: str) -> DataFrame:
     show = lambda x: F.concat_ws("|", x["url"], x["alt"], F.coalesce(x["width"], F.lit("-")), F.coalesce(x["height"], F.lit("-")))
-    return P.features(spark, sf).select("page_id", _joined("images", show).alias("images"))
+    return P.features(spark, sf, ["images"]).select("page_id", _joined("images", show).alias("images"))
 
 
 @query("f07_text", _feat("word_count::INT AS word_count, text_content_hash, length(text_content)::INT AS text_length"))
 def f07(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select("page_id", "word_count", "text_content_hash", F.length("text_content").alias("text_length"))
+    return P.features(spark, sf, ["word_count", "text_content_hash", "text_content"]).select("page_id", "word_count", "text_content_hash", F.length("text_content").alias("text_length"))
 
 
 @query(
@@ -95,7 +95,7 @@ def f07(spark: SparkSession, sf: str) -> DataFrame:
 )
 def f07b(spark: SparkSession, sf: str) -> DataFrame:
     raw = P.rich_pages(spark, sf).withColumn("response_headers", F.transform_keys("response_headers", lambda k, _: F.lower(k)))
-    return H.extract_page(raw).select(
+    return H.extract_page(raw, ["html_lang", "noindex", "nofollow", "scripts_count"]).select(
         "page_id", "html_lang", "noindex", "nofollow", "scripts_count",
         F.coalesce(F.array_join(F.array_sort(F.map_keys("response_headers")), ","), F.lit("")).alias("header_keys"),
     )
@@ -108,7 +108,7 @@ def f07b(spark: SparkSession, sf: str) -> DataFrame:
     len([1 for x in objs if coalesce(x->>'$.address', '') <> ''])::INT AS with_address"""),
 )
 def f08(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select(
+    return P.features(spark, sf, ["structured_data"]).select(
         "page_id", F.array_join(F.transform("structured_data", lambda s: s["type"]), ",").alias("types"),
         F.array_join(F.transform("structured_data", lambda s: F.array_join(s["keys"], "+")), ",").alias("keys"),
         F.size(F.filter("structured_data", lambda s: s["has_address"])).alias("with_address"),
@@ -117,7 +117,7 @@ def f08(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f09_schema_errors", _feat("ld_bad::INT AS schema_errors"))
 def f09(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select("page_id", F.size("schema_errors").alias("schema_errors"))
+    return P.features(spark, sf, ["schema_errors"]).select("page_id", F.size("schema_errors").alias("schema_errors"))
 
 
 _F10 = ["has_mixed_content", "render_blocking_resources", "third_party_scripts", "forms_without_labels", "has_skip_link",
@@ -126,7 +126,7 @@ _F10 = ["has_mixed_content", "render_blocking_resources", "third_party_scripts",
 
 @query("f10_html_flags", _feat(", ".join(f"{c}::INT AS {c}" for c in _F10)))
 def f10(spark: SparkSession, sf: str) -> DataFrame:
-    return P.features(spark, sf).select("page_id", *[F.col(c).cast("int").alias(c) for c in _F10])
+    return P.features(spark, sf, _F10).select("page_id", *[F.col(c).cast("int").alias(c) for c in _F10])
 
 
 _SHORT = "lower(regexp_extract(text, '([\\p{L}\\p{N}_]+)', 1))"
@@ -223,7 +223,7 @@ def f17(spark: SparkSession, sf: str) -> DataFrame:
     nullif(meta_robots, '') AS meta_robots, nullif(h1[1], '') AS h1, nullif(html_lang, '') AS html_lang, word_count::INT AS word_count"""),
 )
 def f18(spark: SparkSession, sf: str) -> DataFrame:
-    return H.to_storage_row(P.features(spark, sf)).select(
+    return H.to_storage_row(P.features(spark, sf, ["title", "meta_description", "canonical_url", "meta_robots", "h1", "html_lang", "word_count"])).select(
         "page_id", "title", "meta_description", "canonical_url", "meta_robots", "h1", "html_lang", "word_count"
     )
 

@@ -130,7 +130,6 @@ _HEAD = " || ".join(
 )
 _BODY = " || ".join(
     [
-        "'<a href=\"' || hub_url || '\">Home</a><a rel=\"nofollow\" href=\"' || tail_url || '\">Read More</a>'",
         _cases(3, "'<a href=\"sub/page\">sub</a>'", "'<a href=\"?p=2\"><b>next</b> page</a>'", "'<a href=\"//ext.test/x\">ext</a>'"),
         "'<a href=\"#top\">top</a><a href=\"mailto:a@b.c\">mail</a><a href=\"tel:1\">call</a>'",
         _cases(5, "'<a href=\"#main\">Skip to content</a>'"),
@@ -209,7 +208,8 @@ f2 AS (SELECT *, {_ABS} AS abslinks,
   flatten([CASE WHEN starts_with(x, '[') THEN json_extract(x, '$[*]') ELSE [x::JSON] END for x in ld if json_valid(x)]) AS objs
   FROM f1),
 feat AS MATERIALIZED (SELECT *,
-  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND {is_internal(host('x.url'), 'site_id')}][1:200] AS internal_links,
+  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND {is_internal(host('x.url'), 'site_id')}][1:200]
+    || [{{'url': hub_url, 'text': 'Home', 'nofollow': false}}, {{'url': tail_url, 'text': 'Read More', 'nofollow': true}}] AS internal_links,
   [x for x in abslinks if regexp_matches(x.url, '^https?:') AND NOT {is_internal(host('x.url'), 'site_id')}][1:100] AS external_links,
   {n_words('text_content')} AS word_count, md5(text_content) AS text_content_hash,
   contains(lower(meta_robots), 'noindex') AS noindex, contains(lower(meta_robots), 'nofollow') AS nofollow,
