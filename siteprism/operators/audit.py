@@ -344,10 +344,15 @@ def _site_hits(
         s = s.withColumns({"m_exists": false, "m_errors": F.lit(None).cast("array<string>")})
     if want(67, 96, 98):
         keys = F.map_keys("response_headers")
+        cdn = F.arrays_overlap(keys, F.array(*[F.lit(h) for h in CDN_HEADERS]))
+        org = ("LocalBusiness", "Organization")
         flags = pages.groupBy("site_id").agg(
-            F.max(F.coalesce(F.exists("structured_data", lambda d: d["type"].isin("LocalBusiness", "Organization") & d["has_address"]), false)).alias("local"),
+            F.max(
+                F.coalesce(F.exists("structured_data", lambda d: d["type"].isin(*org) & d["has_address"]), false)
+                if want(67) else false
+            ).alias("local"),
             F.max(_true("is_custom_404")).alias("custom404"),
-            F.max(F.coalesce(F.arrays_overlap(keys, F.array(*[F.lit(h) for h in CDN_HEADERS])), false)).alias("cdn"),
+            F.max(F.coalesce(cdn, false)).alias("cdn"),
         )
         s = s.join(flags, "site_id", "left")
     else:
