@@ -97,7 +97,7 @@ def serp_features(items: DataFrame) -> DataFrame:
 def competitor_positions(items: DataFrame, n: int = 10) -> DataFrame:
     """First ten organic results per keyword, in item order."""
     organic = items.filter("type = 'organic'").select("keyword", "item_seq", F.col("rank_group").alias("position"), "domain", "url")
-    return top_k(organic, ["keyword"], [F.col("item_seq")], n, "rank")
+    return top_k(organic, ["keyword"], [F.col("item_seq"), F.col("domain"), F.col("url")], n, "rank")
 
 
 def find_position(items: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from siteprism.plans import q_audit, q_issues, q_pages  # noqa: F401
+from siteprism.plans import q_audit, q_issues, q_keywords, q_pages, q_templates  # noqa: F401
 from siteprism.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -52,8 +52,9 @@ def compare(spark, con, fn, sql: str, sf_dir: str) -> tuple[str, int]:
     right = sorted(tuple(_norm(r[i]) for i in order) for r in cur.fetchall())
     if left == right:
         return "", len(left)
-    only_l = [r for r in left if r not in set(right)][:2]
-    only_r = [r for r in right if r not in set(left)][:2]
+    in_left, in_right = set(left), set(right)
+    only_l = [r for r in left if r not in in_right][:2]
+    only_r = [r for r in right if r not in in_left][:2]
     return f"rows {len(left)} vs {len(right)}\n   cols {cols}\n   spark {str(only_l)[:1500]}\n   sql   {str(only_r)[:1500]}", len(left)
 
 
