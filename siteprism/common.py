@@ -81,6 +81,24 @@ def first_n(df: DataFrame, keys: list[str], buckets: dict[str, Column], order: l
     return ranked.filter(F.col("_rn") <= n - F.col("_before")).select(*df.columns)
 
 
+def running_total(
+    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], value: Column, name: str
+) -> DataFrame:
+    """Inclusive running total per group in two levels.
+
+    Totals per (group, bucket) are summed up first (few rows per group); only
+    rows of one bucket are ordered together, so a huge group is split.
+    ``bucket`` must agree with ``order``.
+    """
+    placed = df.withColumns({"_b": bucket, "_v": value})
+    sums = placed.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
+    inner = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(before, [*keys, "_b"])
+    return joined.withColumn(name, F.col("_before") + F.sum("_v").over(inner)).select(*df.columns, name)
+
+
 def ordered_list(value: Column, *order: Column) -> Column:
     """Values of a (bounded) group as an array, in the given ascending order."""
     names = [f"o{i}" for i in range(len(order))]
