@@ -209,7 +209,7 @@ def intent_brief(keywords: DataFrame) -> DataFrame:
     j = keywords.withColumn("brief_intent", known).join(brief_table(keywords.sparkSession), "brief_intent")
     fill = lambda c: F.replace(F.replace(c, F.lit("{k}"), F.col("text")), F.lit("{K}"), F.col("_kt"))
     return j.withColumn("_kt", title_case(F.col("text"))).select(
-        "site_id", "keyword_id", "text", "intent", "target_word_count", F.transform("titles", fill).alias("title_suggestions"),
+        "site_id", "keyword_id", "text", intent.alias("intent"), "target_word_count", F.transform("titles", fill).alias("title_suggestions"),
         fill(F.col("meta")).alias("meta_description"), "outline", F.array_distinct(F.concat(F.array("text"), F.col("extra"))).alias("keywords_to_include"),
         F.col("ctas").alias("cta_suggestions"),
     )

@@ -78,6 +78,9 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
     counted = placed.withColumn("raw", F.count("*").over(order.rangeBetween(-(w - 1), 0)))
     busy = F.when(F.col("raw") > limit, 1).otherwise(0)
     near = counted.withColumn("active", F.max(busy).over(order.rangeBetween(-(w - 1), w - 1)))
+    # Without an overloaded request in the window everything in it was accepted.
+    settled = F.max(busy).over(order.rangeBetween(-(w - 1), 0)) == 0
+    near = near.withColumn("settled", settled)
     lone = F.coalesce(F.max("active").over(order.rangeBetween(-(w - 1), -1)), F.lit(0)) == 0
     core = near.withColumn("start", ((F.col("active") == 1) & lone).cast("int")).filter(b == own)
 
@@ -86,25 +89,25 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
         F.lit(None).cast("int").alias("retry_after"),
     )
     runs = running_total(core.filter("active = 1"), keys, F.col("_bucket"), [t], F.col("start"), "run")
-    ordered = runs.select(*keys, "run", "us", "requests").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "us")
+    ordered = runs.select(*keys, "run", "us", "requests", "settled", "raw").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "us")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, accepted = None, deque()
         for pdf in batches:
             names = list(zip(*[pdf[k] for k in keys], pdf["run"]))
             allowed, current, retry = [], [], []
-            for key, us in zip(names, pdf["us"].tolist()):
+            for key, us, settled, raw in zip(names, pdf["us"].tolist(), pdf["settled"], pdf["raw"].tolist()):
                 if key != now:
                     now, accepted = key, deque()
                 while accepted and accepted[0] <= us - w:
                     accepted.popleft()
-                n = len(accepted)
+                n = raw - 1 if settled else len(accepted)
                 allowed.append(n < limit)
                 current.append(n)
                 retry.append(None if n < limit else (accepted[0] + w - us) // 1_000_000)
                 if n < limit:
                     accepted.append(us)
-            yield pdf.drop(columns="run").assign(allowed=allowed, current=current, retry_after=pd.array(retry, dtype="Int32"))
+            yield pdf.drop(columns=["run", "settled", "raw"]).assign(allowed=allowed, current=current, retry_after=pd.array(retry, dtype="Int32"))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
     decided = ordered.mapInPandas(decide, f"{fields}, allowed boolean, current int, retry_after int")

@@ -165,7 +165,7 @@ def cooldown_filter(candidates: DataFrame, rules: DataFrame, as_of: Column) -> D
     """Candidates whose rule was never triggered or long enough ago."""
     r = rules.select("rule_id", "last_triggered_at", "cooldown_minutes")
     age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_triggered_at").cast("timestamp"))
-    ready = F.col("last_triggered_at").isNull() | (age >= F.coalesce("cooldown_minutes", F.lit(60)) * 60_000_000)
+    ready = F.col("last_triggered_at").isNull() | (age >= F.coalesce("cooldown_minutes", F.lit(60)).cast("bigint") * 60_000_000)
     return candidates.join(r, "rule_id").filter(ready).drop("last_triggered_at", "cooldown_minutes")
 
 

@@ -29,7 +29,7 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("keyword_id"), F.concat(F.lit("s"), (k % 40).cast("string")).alias("site_id"), k.alias("seq"),
         F.concat("p_name", _pick(k, 7, *SUFFIXES), F.lit(" "), (k % 300).cast("string")).alias("text"),
         F.when(k % 11 != 0, F.col("p_size") * (k % 97)).cast("int").alias("search_volume"),
-        F.round(F.col("p_retailprice") / 100, 2).alias("cpc"), ((k % 100) / 100.0).alias("competition"),
+        F.round("p_retailprice", 1).alias("cpc"), ((k % 100) / 100.0).alias("competition"),
         F.when(k % 13 != 0, k % 101).cast("int").alias("difficulty"),
         _pick(k, 5, *INTENTS).alias("intent"), (k % 3 != 0).alias("is_tracked"),
         F.when(k % 7 != 0, k * 31 % 100 + 1).cast("int").alias("current_position"),
@@ -41,7 +41,7 @@ def keywords(spark: SparkSession, sf: str) -> DataFrame:
 KEYWORDS = f"""kw AS (SELECT p_partkey AS keyword_id, 's' || (p_partkey % 40) AS site_id, p_partkey AS seq,
   p_name || (CASE p_partkey % 7 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES))} END) || ' ' || (p_partkey % 300) AS text,
   CASE WHEN p_partkey % 11 <> 0 THEN (p_size * (p_partkey % 97))::INT END AS search_volume,
-  round(p_retailprice / 100, 2) AS cpc, (p_partkey % 100) / 100.0::DOUBLE AS competition,
+  round(p_retailprice, 1) AS cpc, (p_partkey % 100) / 100.0::DOUBLE AS competition,
   CASE WHEN p_partkey % 13 <> 0 THEN (p_partkey % 101)::INT END AS difficulty,
   CASE p_partkey % 5 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(INTENTS))} END AS intent, p_partkey % 3 <> 0 AS is_tracked,
   CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey * 31 % 100 + 1)::INT END AS current_position,

@@ -86,7 +86,7 @@ def _psi(spark: SparkSession, sf: str) -> DataFrame:
     return V.parse(s.select("snapshot_id", F.to_json(doc).alias("json")))
 
 
-@query("v01_lab_metrics", f"WITH {_SNAP} SELECT snapshot_id, (performance_score / 100.0::DOUBLE * 100)::DOUBLE // 1 AS score_floor, lcp_ms, tbt_ms, fcp_ms, ttfb_ms, round(cls, 3) AS cls FROM snap")
+@query("v01_lab_metrics", f"WITH {_SNAP} SELECT snapshot_id, floor((performance_score / 100.0::DOUBLE) * 100.0::DOUBLE) AS score_floor, lcp_ms, tbt_ms, fcp_ms, ttfb_ms, round(cls, 3) AS cls FROM snap")
 def v01(spark: SparkSession, sf: str) -> DataFrame:
     return V.lab_metrics(_psi(spark, sf)).select(
         "snapshot_id", F.col("performance_score").cast("double").alias("score_floor"), "lcp_ms", "tbt_ms", "fcp_ms", "ttfb_ms", "cls"
@@ -199,8 +199,8 @@ def _sites(spark: SparkSession, sf: str) -> DataFrame:
 
 _CHK = "chk AS (SELECT user_id AS site_id, event_id AS check_id, ts AS checked_at, event_type <> 'error' AS is_up FROM events)"
 _PCT = ", ".join(
-    f"count_if(checked_at >= {_t(f'{d} DAY')}) AS total_{d}d, count_if(checked_at >= {_t(f'{d} DAY')} AND is_up) AS up_{d}d, "
-    f"CASE WHEN count_if(checked_at >= {_t(f'{d} DAY')}) = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * count_if(checked_at >= {_t(f'{d} DAY')} AND is_up) / count_if(checked_at >= {_t(f'{d} DAY')}) END AS uptime_{d}d"
+    f"coalesce(count_if(checked_at >= {_t(f'{d} DAY')}), 0) AS total_{d}d, coalesce(count_if(checked_at >= {_t(f'{d} DAY')} AND is_up), 0) AS up_{d}d, "
+    f"coalesce(100.0::DOUBLE * count_if(checked_at >= {_t(f'{d} DAY')} AND is_up) / nullif(count_if(checked_at >= {_t(f'{d} DAY')}), 0), 100) AS uptime_{d}d"
     for d in (1, 7, 30)
 )
 
