@@ -30,7 +30,8 @@ def segments(u: Column) -> Column:
 
 def _remove_dots(p: Column) -> Column:
     """Resolve . and .. in a path that starts with '/'."""
-    parts = F.slice(F.split(p, "/"), 2, 2**31 - 1)
+    pieces = F.split(p, "/")
+    parts = F.slice(pieces, F.lit(2), F.size(pieces))
     empty = F.array().cast("array<string>")
     kept = F.aggregate(
         parts,

@@ -263,12 +263,13 @@ def duplicate_groups(pages: DataFrame, key: Column) -> DataFrame:
     return keyed.join(groups, ["site_id", "key"])
 
 
-def _group_hits(pages: DataFrame, check_id: int, key: Column) -> DataFrame:
-    d = duplicate_groups(pages, key)
+def _group_hits(pages: DataFrame, check_ids: list[int], key: Column) -> DataFrame:
+    """Hits of the checks that share one duplicate key (52 repeats 39 without details)."""
+    d = duplicate_groups(pages, key).withColumn("check_id", F.explode(F.array(*[F.lit(i) for i in check_ids])))
     detail = F.array(F.to_json(F.struct("key", F.col("group_size").alias("urls"), F.col("url").alias("first_url"))))
-    shown = F.when((F.col("page_seq") == F.col("first_seq")) & F.lit(check_id != 52), detail)
+    shown = F.when((F.col("page_seq") == F.col("first_seq")) & (F.col("check_id") != 52), detail)
     return d.select(
-        "site_id", F.lit(check_id).alias("check_id"), "page_seq", F.col("first_seq").cast("bigint").alias("ord"), "url",
+        "site_id", "check_id", "page_seq", F.col("first_seq").cast("bigint").alias("ord"), "url",
         F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("metric"), shown.alias("details"),
     )
 
@@ -424,11 +425,9 @@ def audit_hits(
     if p is not None:
         parts.append(p)
     if want(14):
-        parts.append(_group_hits(pages, 14, X.strip(F.lower("title"))))
-    if want(39):
-        parts.append(_group_hits(pages, 39, F.col("text_content_hash")))
-    if want(52):
-        parts.append(_group_hits(pages, 52, F.col("text_content_hash")))
+        parts.append(_group_hits(pages, [14], X.strip(F.lower("title"))))
+    if want(39, 52):
+        parts.append(_group_hits(pages, [i for i in (39, 52) if want(i)], F.col("text_content_hash")))
     parts += _link_hits(pages, sites, only)
     if want(*[i for i, u in UNIT.items() if u == "S"]):
         parts.append(_site_hits(pages, sites, robots, sitemaps, only))
@@ -447,10 +446,12 @@ def audit(
     """One row per (site, check): exactly 100 per site, or the `only` ones.
 
     For a full audit hand in materialised page features (see
-    :func:`audit_features`): hits are read once for the counts and once for the
-    bounded lists, and columns no check needs are pruned from the scan.
+    :func:`audit_features`).  Its hits are written once as narrow rows and read
+    for the counts and for the bounded lists, each with only its own columns.
     """
     hits = audit_hits(pages, sites, robots, sitemaps, only)
+    if only is None:  # counts and lists would each repeat the link and group joins
+        hits = materialize(hits)
     order = [F.col("ord"), F.col("page_seq"), F.col("url")]
     counts = hits.groupBy("site_id", "check_id").agg(
         F.sum("n").alias("affected_count"), F.sum("metric").alias("_sum"), F.count("*").alias("_pages")
@@ -519,7 +520,7 @@ def score_columns() -> tuple[Column, Column, Column]:
 
 def score_of(total: Column, good: Column, penalty: Column) -> Column:
     raw = F.bround(good / total * 100 - F.least(F.lit(10.0), penalty))
-    return F.coalesce(F.greatest(F.lit(0), F.least(F.lit(100), raw.cast("int"))), F.lit(0))
+    return F.when(total > 0, F.greatest(F.lit(0), F.least(F.lit(100), raw.cast("int")))).otherwise(0)
 
 
 def audit_score(checks: DataFrame, sites: DataFrame | None = None) -> DataFrame:

@@ -37,8 +37,10 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, bands: int = 8, ro
     keys = F.array(*[
         F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("_m")[b * rows + r] for r in range(rows)]).alias("key")) for b in range(bands)
     ])
-    signed = base.withColumn("_m", F.array(*mins)).select("site_id", "page_seq", F.explode(keys).alias("k")).select(
-        "site_id", "page_seq", F.col("k.band").alias("band"), F.col("k.key").alias("key")
+    signed = materialize(
+        base.withColumn("_m", F.array(*mins)).select("site_id", "page_seq", F.explode(keys).alias("k")).select(
+            "site_id", "page_seq", F.col("k.band").alias("band"), F.col("k.key").alias("key")
+        )
     )
     first = signed.groupBy("site_id", "band", "key").agg(F.min("page_seq").alias("rep"), F.count("*").alias("n")).filter("n > 1")
     pairs = (

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteprism.common import falsy_zero, literal_rows, running_total, top_k
+from siteprism.common import falsy_zero, literal_rows, materialize, running_total, top_k
 
 # Monthly limits and requests per minute of each plan (0 = unlimited).
 USAGE_TYPES = ["api_calls", "crawl_pages", "keyword_lookups", "audits", "content_generations", "js_renders"]
@@ -82,7 +82,10 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
     settled = F.max(busy).over(order.rangeBetween(-(w - 1), 0)) == 0
     near = near.withColumn("settled", settled)
     lone = F.coalesce(F.max("active").over(order.rangeBetween(-(w - 1), -1)), F.lit(0)) == 0
-    core = near.withColumn("start", ((F.col("active") == 1) & lone).cast("int")).filter(b == own)
+    # Written once: the two kinds of rows and the run numbers all read it.
+    core = materialize(
+        near.withColumn("start", ((F.col("active") == 1) & lone).cast("int")).filter(b == own)
+    )
 
     calm = core.filter("active = 0").select(
         *keys, "us", "requests", F.lit(True).alias("allowed"), (F.col("raw") - 1).cast("int").alias("current"),

@@ -84,7 +84,7 @@ def with_signature(pages: DataFrame) -> DataFrame:
     first = F.coalesce(F.try_element_at("_segs", F.lit(1)), F.lit(""))
     lang = F.when((F.length(first) == 2) & first.rlike(r"^\p{L}+$"), first)
     staged = staged.withColumn("_lang", lang).withColumn(
-        "_parts", F.when(F.col("_lang").isNotNull(), F.slice("_segs", 2, 100000)).otherwise(F.col("_segs"))
+        "_parts", F.when(F.col("_lang").isNotNull(), F.slice("_segs", F.lit(2), F.size("_segs"))).otherwise(F.col("_segs"))
     )
     parts, depth = F.col("_parts"), F.size("_parts")
     suffixed = lambda c: F.concat_ws("_", c, F.col("_lang"))
