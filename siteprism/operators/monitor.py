@@ -55,14 +55,14 @@ def consecutive_failures(checks: DataFrame, n: int) -> DataFrame:
     return g.select("site_id", F.when(F.col("c") < n, 0).otherwise(F.col("d")).alias("failures"))
 
 
-def uptime_alerts(rules: DataFrame, checks: DataFrame, max_n: int = 20) -> DataFrame:
+def uptime_alerts(rules: DataFrame, checks: DataFrame) -> DataFrame:
     """Critical alert per rule whose site is down with n of the newest n checks down.
 
     ``rules(rule_id, site_id, consecutive_failures)``, NULL = 2.  One top-N per
-    site serves rules with different n up to ``max_n`` (a larger n needs a
-    larger ``max_n``).
+    site, with the largest n of any rule, serves them all.
     """
     n = F.coalesce("consecutive_failures", F.lit(2))
+    max_n = rules.agg(F.max(n)).first()[0] or 2
     newest = newest_checks(checks.select("site_id", "check_id", "checked_at", "is_up"), max_n).groupBy("site_id").agg(
         ordered_list(F.col("is_up"), F.col("_rn")).alias("ups")
     )
