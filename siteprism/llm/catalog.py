@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from siteprism.llm import q_decontaminate, q_quality, q_sharding  # noqa: F401
+from siteprism.llm import q_decontaminate, q_pieces, q_quality, q_sharding, q_token_counts  # noqa: F401
 from siteprism.llm.registry import ORACLES, QUERIES  # noqa: F401

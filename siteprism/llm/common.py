@@ -23,10 +23,11 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | None = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of rows and bytes of text (one row at least)."""
-    size = batch.column(column).cast(pa.large_binary())
-    lengths = pc.fill_null(pc.binary_length(size), 0).to_pylist()
+    lengths = [0] * batch.num_rows
+    if column:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
@@ -42,7 +43,7 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str | None = "text") -> DataFrame:
     """`make()` runs once in a task and returns a function from a slice of rows to the output's columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
