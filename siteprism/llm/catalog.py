@@ -1,4 +1,4 @@
 """All registered queries of this subpackage."""
 
-from siteprism.llm import q_decontaminate, q_language, q_licences, q_pieces, q_quality, q_sharding, q_token_counts, q_toxicity  # noqa: F401
+from siteprism.llm import q_decontaminate, q_jaccard, q_language, q_licences, q_pieces, q_quality, q_sharding, q_token_counts, q_toxicity  # noqa: F401
 from siteprism.llm.registry import ORACLES, QUERIES  # noqa: F401
