@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,14 +24,14 @@ def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def slices(batch: pa.RecordBatch, column: str | None = "text") -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str | None = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded number of rows and bytes of text (one row at least)."""
     lengths = [0] * batch.num_rows
     if column:
         lengths = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
-        if i > start and (held + n > SLICE_BYTES or i - start >= SLICE_ROWS):
+        if i > start and (held + n > most or i - start >= SLICE_ROWS):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -43,13 +44,13 @@ def raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str | None = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, column: str | None = "text", most: int = SLICE_BYTES) -> DataFrame:
     """`make()` runs once in a task and returns a function from a slice of rows to the output's columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 work = work or make()
                 yield pa.RecordBatch.from_pydict(work(part))
 
@@ -65,3 +66,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder for tables of one run, inside the checkpoint folder that all executors share."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{context.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
