@@ -19,9 +19,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The two columns that operators read; whatever else a table holds (clashing names too) is left behind."""
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """The two columns that operators read; whatever else a table holds (clashing names too) is left behind.
+
+    carry: the whole row comes along as one column `row`, for stages that filter rows without a join.
+    """
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *own)
+
+
+def carried(rows: DataFrame) -> str:
+    """Schema of the columns that a pass over `rows` hands on: doc_id, and row where there is one."""
+    return ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in ("doc_id", "row"))
+
+
+def handed_on(part: pa.RecordBatch) -> dict:
+    return {c: part.column(c) for c in part.schema.names if c in ("doc_id", "row")}
 
 
 def slices(batch: pa.RecordBatch, column: str | None = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

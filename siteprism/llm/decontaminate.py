@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import map_slices, raw, texts
+from siteprism.llm.common import carried, handed_on, map_slices, raw, texts
 
 WINDOW = 13
 #: UTF-8 bytes of test items in one automaton.
@@ -81,13 +81,12 @@ def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = "doc_id {kind}, text string, n_words long, hits array<struct<first: long, after: long>>, items array<string>"
+_HITS = "{kept}, text string, n_words long, hits array<struct<first: long, after: long>>, items array<string>"
 _RUN = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
 
 def _scan(rows: DataFrame, block: list[tuple[str | None, bytes | None]], window: int) -> DataFrame:
     """One pass: adds the block's hits and items to those that the rows carry."""
-    kind = dict(rows.dtypes)["doc_id"]
 
     def make():
         matcher = Matcher(block, window)
@@ -100,11 +99,11 @@ def _scan(rows: DataFrame, block: list[tuple[str | None, bytes | None]], window:
                 n_words.append(len(words))
                 hits.append([{"first": a, "after": b} for a, b in joined(more + [(r["first"], r["after"]) for r in runs])])
                 items.append(sorted(found.union(names), key=lambda x: (x is not None, x)))
-            return {"doc_id": part.column("doc_id"), "text": part.column("text"), "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _RUN), "items": pa.array(items, pa.list_(pa.string()))}
+            return handed_on(part) | {"text": part.column("text"), "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _RUN), "items": pa.array(items, pa.list_(pa.string()))}
 
         return work
 
-    return map_slices(rows, make, _HITS.format(kind=kind))
+    return map_slices(rows, make, _HITS.format(kept=carried(rows)))
 
 
 def blocks_of(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None, bytes | None]]]:
@@ -118,14 +117,15 @@ def blocks_of(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None,
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """One row per document row: doc_id, text, n_words, hits (runs of hit words), items (ids with an occurring window, sorted).
 
     A NULL text has no words.  An item without words (or NULL) has no window.  Items with equal ids count as one; a NULL
-    id stays NULL.  Documents repeated in the input stay repeated.  Other columns of both tables are left behind.
+    id stays NULL.  Documents repeated in the input stay repeated.  Other columns of both tables are left behind, or
+    the documents' come along in `row` (carry).
     """
     empty = F.array().cast("array<struct<first: long, after: long>>")
-    rows = texts(docs, doc_id, text).select("doc_id", "text", empty.alias("hits"), F.array().cast("array<string>").alias("items"))
+    rows = texts(docs, doc_id, text, carry).select("*", empty.alias("hits"), F.array().cast("array<string>").alias("items"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     for block in blocks_of(items, block_bytes):
         rows = _scan(rows, block, window)
@@ -135,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
 def counts(found: DataFrame) -> DataFrame:
     """Digest of `hits`: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of the words at least is hit)."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn(
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *[c for c in found.columns if c == "row"]).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 

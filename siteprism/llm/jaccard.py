@@ -8,11 +8,12 @@ d = (1 - t) / (1 + t) * (sum of sizes).
 
 Pigeonhole join, per band of sizes: the sketch is dealt into k = d + 1 + spare
 chunks by the element's hash.  At most d chunks hold a difference, so 1 + spare
-chunks at least are equal.  Chunks of at most LIGHT elements tell little; they
-are left out unless a set has more than `spare` of them (then it is keyed by
-those too; equal chunks hold equal elements, so both sides agree on which are
-light, and one of the two sets always finds enough heavy ones).  Bands are as
-wide as one size ratio, so a set is keyed in its own band and in the next.
+chunks at least are equal.  Light chunks (of one element at most, at lower
+thresholds empty ones) tell little; they are left out unless a set has more
+than `spare` of them (then it is keyed by those too; equal chunks hold equal
+elements, so both sides agree on which are light, and pairs of which either set
+has few light ones meet under a heavy one).  Bands are as wide as one size
+ratio, so a set is keyed in its own band and in the next.
 
 Sets that meet under a key are candidates: they are tied to the key's smallest
 set, not to each other, so a key of any number of sets gives as many ties.  The
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from siteprism.llm.common import checkpointed, map_slices, raw, texts
 from siteprism.llm.graph import components
 
-LIGHT = 1
-SPARE = 0.13
+#: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
+SPARE = 0.35
 #: Elements in a block of a family.
 BLOCK = 1 << 20
 SKETCH_BITS = 4096
@@ -116,7 +117,7 @@ def chunks(band: int, percent: int) -> tuple[int, int]:
     d = int(allowed(2 * most, percent))
     if not d:
         return 1, 0
-    spare = 1 + int(np.ceil(SPARE * d))
+    spare = 2 + int(np.ceil(SPARE * d))
     return d + 1 + spare, spare
 
 
@@ -146,7 +147,7 @@ def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
             bits = mixed((dealt >> _U(24)) ^ _U(0x5EED))[order]
             value[full] = np.bitwise_xor.reduceat(bits, (np.cumsum(count) - count)[full])
         chunk_owner = np.repeat(np.arange(len(sets)), k)
-        light = count <= LIGHT
+        light = count <= (1 if percent >= 85 else 0)
         many = np.bincount(chunk_owner[light], minlength=len(sets)) > spare
         use = ~light | many[chunk_owner]
         number = np.arange(len(value)) - first[chunk_owner]

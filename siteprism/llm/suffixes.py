@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, map_slices, raw, shared_dir, texts
+from siteprism.llm.common import carried, checkpointed, handed_on, map_slices, raw, shared_dir, texts
 
 LENGTH, GRAM, GROUP = 200, 40, 8
 #: Bytes of text worked on at once.
@@ -142,9 +142,9 @@ def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
 _ROW = "text_key long, first long, last long, anchor long, core long, cover long"
 
 
-def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, text ('' for NULL), text_key."""
-    rows = texts(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = texts(docs, doc_id, text, carry).withColumn("text", F.coalesce("text", F.lit("")))
     return rows.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
 
 
@@ -327,16 +327,16 @@ def repeated(rows: DataFrame, batches: int) -> DataFrame:
     return out.unionByName(single)
 
 
-def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text ('' for NULL), kept (the bytes that stay), n_bytes, n_removed, n_spans; a row per row.
+def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", carry: bool = False, as_text: bool = False) -> DataFrame:
+    """doc_id, kept (the bytes that stay, or a text without the parts of characters that a cut leaves), n_bytes, n_removed, n_spans; a row per row.
 
     Batches are hash parts of the texts.  Texts shorter than LENGTH bytes never change; NULL counts as empty.  Repeated
-    rows and equal texts lose everything from LENGTH bytes on (each repeats the other).  Other columns are left behind.
+    rows and equal texts lose everything from LENGTH bytes on (each repeats the other).  Other columns are left
+    behind, or come along in `row` (carry).
     """
-    rows = keyed_texts(docs, doc_id, text)
+    rows = keyed_texts(docs, doc_id, text, carry)
     spans = repeated(rows, batches).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     joined = rows.join(spans, "text_key", "left")
-    kind = dict(rows.dtypes)["doc_id"]
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
@@ -350,11 +350,11 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
                     at = max(at, b)
                 left.append(t[at:])
                 rest = b"".join(left)
-                for k, v in (("kept", rest), ("n_bytes", len(t)), ("n_removed", len(t) - len(rest)), ("n_spans", spans)):
+                for k, v in (("kept", rest.decode("utf-8", "ignore") if as_text else rest), ("n_bytes", len(t)), ("n_removed", len(t) - len(rest)), ("n_spans", spans)):
                     out[k].append(v)
-            types = {"kept": pa.binary()}
-            return {"doc_id": part.column("doc_id"), "text": part.column("text")} | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
+            types = {"kept": pa.string() if as_text else pa.binary()}
+            return handed_on(part) | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
 
         return work
 
-    return map_slices(joined.select("doc_id", "text", "runs"), make, f"doc_id {kind}, text string, kept binary, n_bytes long, n_removed long, n_spans long", most=4 * SLICE)
+    return map_slices(joined.drop("text_key"), make, f"{carried(rows)}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long", most=4 * SLICE)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import map_slices, raw, texts
+from siteprism.llm.common import carried, handed_on, map_slices, raw, texts
 
 GRADES = 4
 SAMPLE = 4000
@@ -183,12 +183,13 @@ def descend(at: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.nda
     return w, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])).tolist()
 
 
-def severity(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def severity(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """doc_id, severity (expected grade, 0 to GRADES - 1), grade (the likeliest), p_toxic (chance of a grade above 0), toxic.
 
-    A row per row; NULL and empty texts score as texts without a known word.  Other columns are left behind.
+    A row per row; NULL and empty texts score as texts without a known word.  Other columns are left behind, or come along
+    in `row` (carry).
     """
-    rows = texts(docs, doc_id, text)
+    rows = texts(docs, doc_id, text, carry)
 
     def make():
         heads = model.heads()
@@ -199,9 +200,8 @@ def severity(docs: DataFrame, model: Model, threshold: float = 0.5, doc_id: str
                 scores.append(model.score([w for w in words_of(t) if w[:HEAD] in heads]))
             beyond = model.beyond(np.array(scores, np.float64))
             ends = np.concatenate([np.ones((len(scores), 1)), beyond, np.zeros((len(scores), 1))], axis=1)
-            return {"doc_id": part.column("doc_id"), "severity": pa.array(beyond.sum(1)), "grade": pa.array((ends[:, :-1] - ends[:, 1:]).argmax(1).astype(np.int32)), "p_toxic": pa.array(beyond[:, 0])}
+            return handed_on(part) | {"severity": pa.array(beyond.sum(1)), "grade": pa.array((ends[:, :-1] - ends[:, 1:]).argmax(1).astype(np.int32)), "p_toxic": pa.array(beyond[:, 0])}
 
         return work
 
-    kind = dict(rows.dtypes)["doc_id"]
-    return map_slices(rows, make, f"doc_id {kind}, severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= threshold)
+    return map_slices(rows, make, f"{carried(rows)}, severity double, grade int, p_toxic double").withColumn("toxic", F.col("p_toxic") >= threshold)
