@@ -180,7 +180,7 @@ class Scorer:
         """(language, score) of every text; `und` and 0 without a letter, a text or a language."""
         found = [windows_of(t or b"") for t in batch]
         ends = np.cumsum([len(w) for w in found])
-        logs = self.windows(np.concatenate(found)) if found else None
+        logs = self.windows(np.concatenate(found)) if found and self.network.langs else None
         out = []
         for t, w, end in zip(batch, found, ends):
             if not self.network.langs or not has_letter(t or b""):
