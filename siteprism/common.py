@@ -37,9 +37,15 @@ def session(app: str = "siteprism", master: str | None = None, **conf: str) -> S
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a temporary one only if unset."""
+    """The shared folder named by the cluster in spark.checkpoint.dir.
+
+    Where none is named, a temporary folder serves a session on one machine; a cluster without one is refused, as its
+    executors would write to disks that nobody else reads.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

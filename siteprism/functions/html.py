@@ -7,7 +7,9 @@ Java and RE2 read the same way.  Known limit: an attribute value with a raw
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,42 +20,42 @@ from siteprism.common import let
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
 
-# Named entities decoded in text and attributes ('&amp;' last).
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&euro;", "€"), ("&amp;", "&"),
-]
-
-_SQL_CHAR = {"'": "\\'"}
+# Character references by name: the HTML list of names that stand for one character, from the standard library.
+ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
 
 BLOCKS = r"(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|template\b[^>]*>.*?</template)\s*>|<!--.*?-->"
-LINK_CAP, EXTERNAL_CAP, IMAGE_CAP, HEADING_CAP, ANCHOR_CAP = 200, 100, 100, 20, 100
-
 
-def _decode_numbers(c: Column) -> Column:
-    """Decimal character references, by folding over the distinct ones."""
-    numbers = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&#(\d{1,7});"), 1))
-    return F.aggregate(
-        numbers,
-        c,
-        lambda acc, n: F.replace(
-            acc,
-            F.concat(F.lit("&#"), n, F.lit(";")),
-            F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32"),
-        ),
+_REFERENCES = r"(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"
+_NAMED = json.dumps(ENTITIES, ensure_ascii=True)
+
+
+def _code_point(digits: Column, base: int) -> Column:
+    """The character of a numeric reference; U+FFFD for 0, surrogates and whatever lies beyond U+10FFFF."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.length(bare).between(1, 7), F.conv(bare, base, 10).cast("bigint")).otherwise(0)
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    safe = F.when(good, code).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
+def _reference(piece: Column) -> Column:
+    """One piece of a text: a reference becomes its character, anything else (unknown names too) stays."""
+    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
+    named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    return (
+        F.when(~piece.startswith("&"), piece)
+        .when(piece == "&amp;", "&")
+        .when(piece.rlike("^&#[0-9]+;$"), _code_point(F.regexp_extract(piece, "([0-9]+)", 1), 10))
+        .when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, "[xX]([0-9a-fA-F]+)", 1), 16))
+        .when(name != "", F.coalesce(F.try_element_at(named, name), piece))
+        .otherwise(piece)
     )
 
 
 def unescape(c: Column) -> Column:
-    """Entities to characters; the work is skipped where there is no '&'."""
-    table = F.expr("array(" + ", ".join(f"""struct("{n}" n, '{_SQL_CHAR.get(v, v)}' v)""" for n, v in ENTITIES) + ")")
-    named = lambda x: F.aggregate(table, x, lambda acc, e: F.replace(acc, e["n"], e["v"]))
-    decode = lambda x: F.when(x.contains("&#"), _decode_numbers(x)).otherwise(x)
-    return let(c, lambda x: F.when(x.contains("&"), named(decode(x))).otherwise(x))
+    """Character references to characters, each once, from left to right; the work is skipped where there is no '&'."""
+    pieces = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFERENCES), 1), _reference), "")
+    return let(c, lambda x: F.when(x.contains("&"), pieces(x)).otherwise(x))
 
 
 def attr(tag: Column, name: str) -> Column:
@@ -138,7 +140,7 @@ def all_links(html: Column, base: Column, site_host: Column) -> Column:
         tag = F.regexp_extract(a, r"(?is)^(<a\s[^>]*>)", 1)
         return F.struct(
             attr(tag, "href").alias("href"),
-            F.left(inner_text(a), F.lit(ANCHOR_CAP)).alias("text"),
+            inner_text(a).alias("text"),
             F.array_contains(rel_tokens(tag), "nofollow").alias("nofollow"),
         )
 
@@ -165,7 +167,7 @@ def split_links(links: Column, internal: bool) -> Column:
     bare = F.transform(
         keep, lambda x: F.struct(x["url"].alias("url"), x["text"].alias("text"), x["nofollow"].alias("nofollow"))
     )
-    return F.slice(bare, 1, LINK_CAP if internal else EXTERNAL_CAP)
+    return bare
 
 
 def images(html: Column, base: Column) -> Column:
@@ -180,16 +182,12 @@ def images(html: Column, base: Column) -> Column:
         )
 
     found = F.filter(F.transform(tags(html, "img"), parts), lambda x: x["src"] != "")
-    return F.slice(
-        F.transform(
-            found,
-            lambda x: F.struct(
-                U.resolve(base, x["src"]).alias("url"), x["alt"].alias("alt"),
-                x["width"].alias("width"), x["height"].alias("height"),
-            ),
+    return F.transform(
+        found,
+        lambda x: F.struct(
+            U.resolve(base, x["src"]).alias("url"), x["alt"].alias("alt"),
+            x["width"].alias("width"), x["height"].alias("height"),
         ),
-        1,
-        IMAGE_CAP,
     )
 
 
@@ -440,8 +438,8 @@ _FEATURES: dict[str, tuple[list[str], Callable[[Column, Column, Column], Column]
     "meta_robots": (["meta_robots"], lambda html, url, host: F.col("meta_robots")),
     "canonical_url": ([], lambda html, url, host: canonical(html)),
     "h1": ([], lambda html, url, host: headings(html, "h1")),
-    "h2": ([], lambda html, url, host: F.slice(headings(html, "h2"), 1, HEADING_CAP)),
-    "h3": ([], lambda html, url, host: F.slice(headings(html, "h3"), 1, HEADING_CAP)),
+    "h2": ([], lambda html, url, host: headings(html, "h2")),
+    "h3": ([], lambda html, url, host: headings(html, "h3")),
     "internal_links": (["_links"], lambda html, url, host: split_links(F.col("_links"), True)),
     "external_links": (["_links"], lambda html, url, host: split_links(F.col("_links"), False)),
     "images": ([], lambda html, url, host: images(html, url)),
@@ -449,7 +447,7 @@ _FEATURES: dict[str, tuple[list[str], Callable[[Column, Column, Column], Column]
     "word_count": (["text_content"], lambda html, url, host: X.word_count(F.col("text_content"))),
     "text_content_hash": (["text_content"], lambda html, url, host: F.md5("text_content")),
     "structured_data": ([], lambda html, url, host: structured_data(html)),
-    "schema_errors": ([], lambda html, url, host: F.transform(schema_errors(html), lambda b: F.left(b, F.lit(200)))),
+    "schema_errors": ([], lambda html, url, host: schema_errors(html)),
     "open_graph": ([], lambda html, url, host: meta_map(html, "property", "og:")),
     "twitter_cards": ([], lambda html, url, host: meta_map(html, "name", "twitter:")),
     "hreflang": ([], lambda html, url, host: hreflang(html)),

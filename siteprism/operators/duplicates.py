@@ -1,11 +1,10 @@
-"""Near-duplicate pages: MinHash bands, one representative per bucket, exact check."""
+"""Near-duplicate pages: an exact similarity join by prefix filtering."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteprism.common import materialize
 from siteprism.functions import text as X
 
 
@@ -23,35 +22,44 @@ def shingles(pages: DataFrame, n: int = 3) -> DataFrame:
     return words.select("site_id", "page_seq", "url", F.array_distinct(F.when(F.size(w) >= n, runs).otherwise(short)).alias("shingles"))
 
 
-def near_duplicates(pages: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 2) -> DataFrame:
-    """``near_duplicate_of``: the earliest page of the site found similar enough.
+def near_duplicates(pages: DataFrame, percent: int = 80) -> DataFrame:
+    """``near_duplicate_of``: the earliest earlier page of the site whose shingle sets' Jaccard similarity is high enough.
 
-    Pages meet in MinHash buckets.  Every page is compared with the first page
-    of each of its buckets, never with all of them, so a bucket holding a third
-    of all pages costs one comparison per page; the exact Jaccard similarity of
-    the shingle sets decides.  Buckets are reduced with a partial aggregate,
-    and the joins put unique rows against the large side.
+    Exact, by prefix filtering.  Pages with equal sets are one class.  With the rarest shingles first, two similar sets
+    share one of their first ``n - ceil(t * n) + 1``; shingles of a single class are the rarest and can't be shared, so
+    they only take up places.  Navigation and other boilerplate is frequent and falls behind the prefix.  Classes that
+    share a prefix shingle and have fitting sizes are compared once.
     """
-    base = materialize(shingles(pages))
-    mins = [F.array_min(F.transform("shingles", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(bands * rows)]
-    keys = F.array(*[
-        F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("_m")[b * rows + r] for r in range(rows)]).alias("key")) for b in range(bands)
-    ])
-    signed = materialize(
-        base.withColumn("_m", F.array(*mins)).select("site_id", "page_seq", F.explode(keys).alias("k")).select(
-            "site_id", "page_seq", F.col("k.band").alias("band"), F.col("k.key").alias("key")
-        )
+    sized = shingles(pages).withColumn("shingles", F.array_sort("shingles")).withColumns(
+        {"n": F.size("shingles"), "digest": F.xxhash64("shingles", F.size("shingles"))}
     )
-    first = signed.groupBy("site_id", "band", "key").agg(F.min("page_seq").alias("rep"), F.count("*").alias("n")).filter("n > 1")
-    pairs = (
-        signed.join(first.drop("n"), ["site_id", "band", "key"]).filter("rep < page_seq").select("site_id", "page_seq", "rep").distinct()
+    classes = sized.groupBy("site_id", "digest").agg(F.min(F.struct("page_seq", "url")).alias("m"), F.first("n").alias("n"))
+    classes = classes.select("site_id", "digest", F.col("m.page_seq").alias("rep"), F.col("m.url").alias("rep_url"), "n")
+    # one set stands for a class: the rows of one digest carry equal sets
+    sets = sized.join(classes.select("site_id", F.col("rep").alias("page_seq"), "digest"), ["site_id", "page_seq", "digest"]).select(
+        "site_id", F.col("page_seq").alias("rep"), "n", "shingles"
+    ).dropDuplicates(["site_id", "rep"])
+    tokens = sets.select("site_id", "rep", "n", F.explode("shingles").alias("s"))
+    shared = tokens.groupBy("site_id", "s").agg(F.count("*").alias("df")).filter("df > 1")
+    held = tokens.join(shared, ["site_id", "s"])
+    mine = Window.partitionBy("site_id", "rep")
+    place = F.row_number().over(mine.orderBy("df", "s")) + F.col("n") - F.count("*").over(mine)
+    need = F.ceil(F.col("n") * percent / 100.0)
+    prefix = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - need + 1).select("site_id", "rep", "n", "s")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    same = (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.s") == F.col("b.s"))
+    pairs = a.join(b, same & (F.col("a.rep") < F.col("b.rep")) & fits).select(F.col("a.site_id").alias("site_id"), F.col("a.rep").alias("first"), F.col("b.rep").alias("rep")).distinct()
+    left = sets.select("site_id", F.col("rep").alias("first"), F.col("shingles").alias("a"))
+    both = F.size(F.array_intersect("a", "shingles"))
+    checked = pairs.join(left, ["site_id", "first"]).join(sets, ["site_id", "rep"]).select(
+        "site_id", "rep", "first", both.alias("both"), (F.size("a") + F.size("shingles") - both).alias("all")
+    ).filter(100 * F.col("both") >= percent * F.col("all"))
+    best = checked.groupBy("site_id", "rep").agg(F.min(F.struct("first", (F.col("both") / F.col("all")).alias("similarity"))).alias("m"))
+    named = best.join(classes.select("site_id", F.col("rep").alias("f"), "rep_url"), (best["site_id"] == classes["site_id"]) & (F.col("m.first") == F.col("f"))).select(
+        best["site_id"], "rep", F.struct(F.col("m.first").alias("seq"), F.col("rep_url").alias("url"), F.col("m.similarity").alias("similarity")).alias("best")
     )
-    left = base.select("site_id", "page_seq", F.col("shingles").alias("a"), "url")
-    right = base.select("site_id", F.col("page_seq").alias("rep"), F.col("shingles").alias("b"), F.col("url").alias("near_duplicate_of"))
-    both = F.size(F.array_intersect("a", "b"))
-    similarity = both / (F.size("a") + F.size("b") - both)
-    checked = pairs.join(left, ["site_id", "page_seq"]).join(right, ["site_id", "rep"]).select(
-        "site_id", "page_seq", "url", "rep", "near_duplicate_of", similarity.alias("similarity")
-    ).filter(F.col("similarity") >= threshold)
-    best = checked.groupBy("site_id", "page_seq").agg(F.min(F.struct("rep", "url", "near_duplicate_of", "similarity")).alias("m"))
-    return best.select("site_id", "page_seq", "m.url", "m.near_duplicate_of", "m.similarity")
+    own = F.struct(F.col("rep").alias("seq"), F.col("rep_url").alias("url"), F.lit(1.0).alias("similarity"))
+    earliest = classes.join(named, ["site_id", "rep"], "left").select("site_id", "digest", F.least(own, F.col("best")).alias("e"))
+    found = sized.select("site_id", "page_seq", "url", "digest").join(earliest, ["site_id", "digest"]).filter(F.col("e.seq") < F.col("page_seq"))
+    return found.select("site_id", "page_seq", "url", F.col("e.url").alias("near_duplicate_of"), F.col("e.similarity").alias("similarity"))

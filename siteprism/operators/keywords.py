@@ -255,15 +255,17 @@ def ranking_changes(keywords: DataFrame, limit: int = 20) -> DataFrame:
     return top_k(rows, ["site_id", "change_type"], [F.col("_key"), F.col("keyword_id")], limit, "rank").drop("_key")
 
 
-def intent_clusters(keywords: DataFrame, pool: int = 30, listed: int = 10) -> DataFrame:
-    """Best keywords per site by volume per difficulty, grouped by intent."""
+def intent_clusters(keywords: DataFrame, pool: int | None = None, listed: int = 10) -> DataFrame:
+    """Keywords per site and intent: totals over all (on request over the `pool` best of a site), and the `listed` best by volume per difficulty."""
     v = F.coalesce("search_volume", F.lit(0))
     d = F.greatest(F.when(F.coalesce("difficulty", F.lit(0)) == 0, F.lit(1)).otherwise(F.col("difficulty")), F.lit(1))
-    best = top_k(keywords, ["site_id"], [(v / d).desc(), F.col("keyword_id")], pool)
-    return best.groupBy("site_id", F.coalesce("intent", F.lit("informational")).alias("intent")).agg(
-        F.slice(ordered_list(F.col("text"), F.col("_rn")), 1, listed).alias("keywords"),
-        F.sum(v).cast("bigint").alias("total_volume"), F.count("*").alias("keyword_count"), F.min("_rn").alias("first_rank"),
-    ).withColumn("name", F.concat(F.initcap("intent"), F.lit(" Keywords")))
+    order = [(v / d).desc(), F.col("keyword_id")]
+    best = keywords if pool is None else top_k(keywords, ["site_id"], order, pool).drop("_rn")
+    best = best.withColumn("intent", F.coalesce("intent", F.lit("informational")))
+    key = ["site_id", "intent"]
+    top = top_k(best, key, order, listed).groupBy(*key).agg(ordered_list(F.col("text"), F.col("_rn")).alias("keywords"))
+    totals = best.groupBy(*key).agg(F.sum(v).cast("bigint").alias("total_volume"), F.count("*").alias("keyword_count"))
+    return totals.join(top, key).withColumn("name", F.concat(F.initcap("intent"), F.lit(" Keywords")))
 
 
 def topic_clusters(keywords: DataFrame, k: int = 8, features: str | None = None, seed: int = 7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,16 +44,17 @@ def out_degree(edges: DataFrame) -> DataFrame:
 
 
 def crawl_depth(
-    edges: DataFrame, roots: DataFrame, seeds: DataFrame, max_depth: int = 15, max_pages: int = 10000
+    edges: DataFrame, roots: DataFrame, seeds: DataFrame, max_depth: int | None = None, max_pages: int | None = None
 ) -> DataFrame:
     """Breadth-first depth: roots 0, seeds 1, a link target one more than its source.
 
     ``edges(site_id, src, dst)``, ``roots(site_id, url)``, ``seeds(site_id, url)``
-    → ``(site_id, url, depth)``.  At most ``max_depth`` rounds, each a distributed join of the
-    new level with the edges.  Every level is written to the shared stage
-    folder, so lineage stays one round long and a lost executor costs one
-    round.  ``max_pages`` keeps the shallowest pages of a site; within a level
-    the order of the reference's queue is not defined, here it is by URL hash.
+    → ``(site_id, url, depth)``, all reachable pages.  Each round is a distributed
+    join of the new level with the edges and ends the search when it finds
+    nothing new.  Every level is written to the shared stage folder, so lineage
+    stays one round long and a lost executor costs one round.  On request only
+    ``max_depth`` levels are searched, and the ``max_pages`` shallowest pages of a
+    site kept (within a level by URL hash).
     """
     edges = materialize(edges.select("site_id", "src", "dst").distinct())
     start = roots.select("site_id", "url", F.lit(0).alias("depth")).unionByName(
@@ -61,7 +63,7 @@ def crawl_depth(
     first = materialize(start.groupBy("site_id", "url").agg(F.min("depth").alias("depth")))
     late = first.filter("depth = 1")
     visited = frontier = first.filter("depth = 0")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = (
             frontier.join(edges, (frontier.site_id == edges.site_id) & (frontier.url == edges.src))
             .select(edges.site_id, edges.dst.alias("url"))
@@ -74,6 +76,8 @@ def crawl_depth(
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
+    if max_pages is None:
+        return visited
     bucket = F.pmod(F.xxhash64("url"), F.lit(4096))
     return first_n(visited, ["site_id"], {"depth": F.col("depth"), "_b": bucket}, [F.col("url")], max_pages)
 
@@ -128,12 +132,14 @@ def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     return joined.select(*urls.columns, "_robots").mapInPandas(check, f"{fields}, allowed boolean")
 
 
-def seed_filter(sitemap_urls: DataFrame, sites: DataFrame, max_pages: int = 10000) -> DataFrame:
-    """Sitemap URLs on the site's own hosts, first max_pages in sitemap order.
+def seed_filter(sitemap_urls: DataFrame, sites: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """Sitemap URLs on the site's own hosts; on request the first max_pages in sitemap order.
 
     ``sitemap_urls(site_id, seq, url)``.
     """
     inside = internal_urls(sitemap_urls, sites).filter("is_internal").drop("is_internal")
+    if max_pages is None:
+        return inside
     bucket = {"_b": F.floor(F.col("seq") / 1000)}
     return first_n(inside, ["site_id"], bucket, [F.col("seq"), F.col("url")], max_pages)
 

@@ -230,20 +230,21 @@ def example_urls(grouped: DataFrame, n: int = 10) -> DataFrame:
 
 
 def url_wildcards(grouped: DataFrame) -> DataFrame:
-    """Up to five distinct wildcard patterns from the first twenty pages of a template."""
-    first = top_k(grouped.select("site_id", "template_id", "page_seq", "url"), ["site_id", "template_id"], [F.col("page_seq")], 20)
+    """The first five distinct wildcard patterns (in text order) of all pages of a template."""
+    first = grouped.select("site_id", "template_id", "url")
     p = U.path(F.col("url"))
     p = F.regexp_replace(p, r"/\d+", "/{id}")
     p = F.regexp_replace(p, r"/[a-f0-9-]{36}", "/{uuid}")
     p = F.regexp_replace(p, r"/[a-z]{2}/", "/{lang}/")
-    return first.groupBy("site_id", "template_id").agg(F.slice(F.sort_array(F.collect_set(p)), 1, 5).alias("url_patterns"))
+    patterns = first.select("site_id", "template_id", p.alias("p")).distinct()
+    return top_k(patterns, ["site_id", "template_id"], [F.col("p")], 5).groupBy("site_id", "template_id").agg(ordered_list(F.col("p"), F.col("_rn")).alias("url_patterns"))
 
 
-def unclassified(pages: DataFrame, profiles: DataFrame, n: int = 20) -> DataFrame:
-    """Pages that are no template's example, first n per site."""
+def unclassified(pages: DataFrame, profiles: DataFrame, n: int | None = None) -> DataFrame:
+    """Pages that are no template's example; on request the first n per site with their rank."""
     examples = profiles.select("site_id", F.explode("example_urls").alias("url")).distinct()
     rest = pages.select("site_id", "page_seq", "url").join(examples, ["site_id", "url"], "left_anti")
-    return top_k(rest, ["site_id"], [F.col("page_seq")], n, "rank")
+    return rest if n is None else top_k(rest, ["site_id"], [F.col("page_seq")], n, "rank")
 
 
 def top_pages_per_template(pages: DataFrame, n: int = 3) -> DataFrame:

@@ -131,8 +131,8 @@ def metric_status(c: Column, metric: str) -> Column:
     return _status(_level(c, good, fair))
 
 
-def latest_snapshots(snapshots: DataFrame, strategy: str | None = None, template: str | None = None, limit: int | None = 50) -> DataFrame:
-    """Newest snapshots per (site, URL, strategy), ties kept, newest first.
+def latest_snapshots(snapshots: DataFrame, strategy: str | None = None, template: str | None = None, limit: int | None = None) -> DataFrame:
+    """Newest snapshots per (site, URL, strategy), ties kept; all, or on request the `limit` newest of a site with their rank.
 
     ``rank() = 1`` becomes a group limit before the shuffle.  The template
     filter comes after, the per-site limit last.
@@ -154,8 +154,8 @@ def performance_history(snapshots: DataFrame, url: str, strategy: str, days: int
 
 
 def site_summary(snapshots: DataFrame) -> DataFrame:
-    """Averages per site over its latest ≤ 100 snapshots; 0 averages become NULL."""
-    s = latest_snapshots(snapshots, limit=100)
+    """Averages per site over the latest snapshots of all its pages; 0 averages become NULL."""
+    s = latest_snapshots(snapshots)
     mobile, desktop = F.col("strategy") == "mobile", F.col("strategy") == "desktop"
     mean = lambda c, cond: falsy_zero(F.avg(F.when(cond, F.col(c))))
     rated = F.count_if(F.coalesce("cwv_status", F.lit("")) != "")
@@ -172,19 +172,19 @@ def site_summary(snapshots: DataFrame) -> DataFrame:
 
 def worst_pages(snapshots: DataFrame, n: int = 5) -> DataFrame:
     """Mobile only: highest LCP, highest CLS and lowest score per site."""
-    s = latest_snapshots(snapshots, limit=100).filter("strategy = 'mobile'")
-    base = ["site_id", "url", "snapshot_id", "recency"]
+    s = latest_snapshots(snapshots, "mobile")
+    base = ["site_id", "url", "snapshot_id", "checked_at"]
     rows = s.select(*base, F.explode(F.array(
         F.struct(F.lit("lcp").alias("list"), F.col("lcp_ms").cast("double").alias("value"), (-F.col("lcp_ms")).cast("double").alias("key")),
         F.struct(F.lit("cls").alias("list"), F.col("cls").alias("value"), (-F.col("cls")).alias("key")),
         F.struct(F.lit("score").alias("list"), F.col("performance_score").cast("double").alias("value"), F.col("performance_score").cast("double").alias("key")),
     )).alias("m")).select(*base, "m.*").filter("value is not null")
-    return top_k(rows, ["site_id", "list"], [F.col("key"), F.col("recency")], n, "rank").select("site_id", "list", "url", "value", "rank")
+    return top_k(rows, ["site_id", "list"], [F.col("key"), F.col("checked_at").desc(), F.col("snapshot_id")], n, "rank").select("site_id", "list", "url", "value", "rank")
 
 
 def common_opportunities(snapshots: DataFrame, n: int = 10) -> DataFrame:
     """Most frequent opportunities per site; the oldest snapshot names them."""
-    o = latest_snapshots(snapshots, limit=100).select("site_id", "recency", F.explode("opportunities").alias("o"))
+    o = latest_snapshots(snapshots).select("site_id", F.struct((-F.unix_micros(F.col("checked_at").cast("timestamp"))).alias("age"), "snapshot_id").alias("recency"), F.explode("opportunities").alias("o"))
     g = o.groupBy("site_id", F.col("o.id").alias("id")).agg(
         F.count("*").alias("affected_pages"), F.sum("o.savings_ms").cast("bigint").alias("total_savings_ms"),
         F.max_by(F.col("o.title"), "recency").alias("title"), F.min("recency").alias("_first"),
@@ -194,7 +194,7 @@ def common_opportunities(snapshots: DataFrame, n: int = 10) -> DataFrame:
 
 def opportunities_summary(snapshots: DataFrame, pages: int = 10) -> DataFrame:
     """Mobile latest: totals and mean score per opportunity with its worst pages."""
-    o = latest_snapshots(snapshots, "mobile", limit=100).select("site_id", "recency", "url", F.explode("opportunities").alias("o")).select(
+    o = latest_snapshots(snapshots, "mobile").select("site_id", F.struct((-F.unix_micros(F.col("checked_at").cast("timestamp"))).alias("age"), "snapshot_id").alias("recency"), "url", F.explode("opportunities").alias("o")).select(
         "site_id", "recency", "url", "o.*"
     )
     g = o.groupBy("site_id", "id").agg(

@@ -57,7 +57,7 @@ def rich_html() -> Column:
             4, none,
             F.concat(_s('<meta name="description" content="'), F.left(t, _s(40)), _s('">')),
             F.concat(_s('<meta name="description" content="'), t, _s(" "), t, _s(" "), t, _s('">')),
-            F.concat(_s("<meta content='"), t, _s(" / "), t, _s("' name='description'/>")),
+            F.concat(_s("<meta content='"), t, _s(" / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; "), t, _s("' name='description'/>")),
         ),
         cases(9, _s('<meta name="robots" content="NoIndex, nofollow">')),
         cases(

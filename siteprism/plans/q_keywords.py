@@ -35,9 +35,9 @@ _FOUND = f"""{D.KEYWORDS}, found AS (SELECT 's' || (l_partkey % 40) AS site_id,
 ded AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY site_id, lower(text) ORDER BY seq) = 1)"""
 
 
-@query("k01_dedupe_keywords", f"WITH {_FOUND} SELECT site_id, seq, lower(text) AS key FROM ded QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY seq) <= 100")
+@query("k01_dedupe_keywords", f"WITH {_FOUND} SELECT site_id, seq, lower(text) AS key FROM ded")
 def k01(spark: SparkSession, sf: str) -> DataFrame:
-    return K.dedupe_keywords(_found(spark, sf), 100).select("site_id", "seq", F.lower("text").alias("key"))
+    return K.dedupe_keywords(_found(spark, sf)).select("site_id", "seq", F.lower("text").alias("key"))
 
 
 @query(
@@ -212,14 +212,14 @@ def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("cluster_id"), F.col("s_name").alias("label"), D._pick(F.col("s_suppkey"), 5, *D.INTENTS, "other").alias("intent")
     )
-    m = table(spark, sf, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("keyword_id")).agg(
+    m = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cluster_id"), F.col("l_partkey").alias("keyword_id")).agg(
         F.min(D.line_seq()).alias("seq")
     )
     return c, m
 
 
 _CL = f"""{D.KEYWORDS}, cl AS (SELECT s_suppkey AS cluster_id, s_name AS label, CASE s_suppkey % 5 {' '.join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(D.INTENTS))} ELSE 'other' END AS intent FROM supplier),
-mem AS (SELECT l_suppkey AS cluster_id, l_partkey AS keyword_id, min({D._SEQ}) AS seq FROM lineitem WHERE l_quantity > 25 GROUP BY ALL),
+mem AS (SELECT l_suppkey AS cluster_id, l_partkey AS keyword_id, min({D._SEQ}) AS seq FROM lineitem GROUP BY ALL),
 ck AS (SELECT mem.*, text, search_volume FROM mem JOIN kw USING (keyword_id))"""
 
 
@@ -267,7 +267,7 @@ def k16(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "k17_intent_clusters",
-    f"""WITH {D.KEYWORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY coalesce(search_volume, 0)::DOUBLE / greatest(coalesce(nullif(difficulty, 0), 1), 1) DESC, keyword_id) AS rn FROM kw QUALIFY rn <= 30)
+    f"""WITH {D.KEYWORDS}, b AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY coalesce(search_volume, 0)::DOUBLE / greatest(coalesce(nullif(difficulty, 0), 1), 1) DESC, keyword_id) AS rn FROM kw)
     SELECT site_id, coalesce(intent, 'informational') AS intent, upper(left(coalesce(intent, 'informational'), 1)) || substr(coalesce(intent, 'informational'), 2) || ' Keywords' AS name,
       array_to_string((list(text ORDER BY rn))[1:10], ',') AS keywords, sum(coalesce(search_volume, 0))::BIGINT AS total_volume FROM b GROUP BY ALL""",
 )

@@ -55,7 +55,7 @@ _SNAP = """snap AS (SELECT event_id AS snapshot_id, 's' || (user_id % 10) AS sit
 sc AS (SELECT *, CASE greatest(CASE WHEN lcp_ms <= 2500 THEN 1 WHEN lcp_ms <= 4000 THEN 2 ELSE 3 END, CASE WHEN cls <= 0.1::DOUBLE THEN 1 WHEN cls <= 0.25::DOUBLE THEN 2 ELSE 3 END,
   CASE WHEN tbt_ms <= 200 THEN 1 WHEN tbt_ms <= 600 THEN 2 ELSE 3 END) WHEN 1 THEN 'good' WHEN 2 THEN 'needs_improvement' ELSE 'poor' END AS cwv_status FROM snap)"""
 _LATEST = _SNAP + """, newest AS (SELECT * FROM sc QUALIFY checked_at = max(checked_at) OVER (PARTITION BY site_id, url, strategy)),
-lat AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY checked_at DESC, snapshot_id)::INT AS recency FROM newest QUALIFY recency <= 100)"""
+lat AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY checked_at DESC, snapshot_id)::INT AS recency FROM newest)"""
 
 
 def _psi(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,9 +121,9 @@ def v04(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots(spark, sf).select("snapshot_id", "cwv_status", V.metric_status(F.col("fcp_ms"), "fcp").alias("fcp_status"))
 
 
-@query("v05_latest_snapshots", f"WITH {_LATEST} SELECT site_id, url, strategy, snapshot_id, checked_at, recency FROM lat WHERE recency <= 50")
+@query("v05_latest_snapshots", f"WITH {_LATEST} SELECT site_id, url, strategy, snapshot_id, checked_at FROM lat")
 def v05(spark: SparkSession, sf: str) -> DataFrame:
-    return V.latest_snapshots(snapshots(spark, sf)).select("site_id", "url", "strategy", "snapshot_id", "checked_at", "recency")
+    return V.latest_snapshots(snapshots(spark, sf)).select("site_id", "url", "strategy", "snapshot_id", "checked_at")
 
 
 @query("v06_performance_history", f"WITH {_SNAP} SELECT snapshot_id, checked_at, performance_score FROM snap WHERE url = 'https://x.test/7' AND strategy = 'mobile' AND checked_at >= {_t('20 DAY')}")
@@ -167,7 +167,7 @@ def v09(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "v10_opportunities_summary",
     f"""WITH {_SNAP}, n AS (SELECT * FROM sc WHERE strategy = 'mobile' QUALIFY checked_at = max(checked_at) OVER (PARTITION BY site_id, url)),
-    l AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY checked_at DESC, snapshot_id) AS recency FROM n QUALIFY recency <= 100)
+    l AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY checked_at DESC, snapshot_id) AS recency FROM n)
     SELECT site_id, opp_id AS id, count(*) AS affected_pages, sum(opp_ms)::BIGINT AS total_savings_ms, sum(opp_bytes)::BIGINT AS total_savings_bytes, round(avg(opp_score), 2) AS avg_score,
       array_to_string((list(url ORDER BY opp_ms DESC, recency))[1:10], ',') AS pages FROM l GROUP BY ALL""",
 )

@@ -57,7 +57,7 @@ def f03(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("f04_headings", _feat("array_to_string(h1, chr(10)) AS h1, array_to_string(h2[1:20], chr(10)) AS h2, array_to_string(h3[1:20], chr(10)) AS h3"))
+@query("f04_headings", _feat("array_to_string(h1, chr(10)) AS h1, array_to_string(h2, chr(10)) AS h2, array_to_string(h3, chr(10)) AS h3"))
 def f04(spark: SparkSession, sf: str) -> DataFrame:
     return P.features(spark, sf, ["h1", "h2", "h3"]).select("page_id", *[F.array_join(h, "\n").alias(h) for h in ("h1", "h2", "h3")])
 

@@ -35,11 +35,11 @@ def _cluster_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 def _plan_issues(spark: SparkSession, sf: str) -> DataFrame:
     i = D.stored_issues(spark, sf).withColumn("site_id", F.col("site_id") % 6)
-    return i.filter("affected_count > 45").withColumn("type", F.concat("type", F.lit("_"), (F.col("audit_id") % 9).cast("string")))
+    return i.withColumn("type", F.concat("type", F.lit("_"), (F.col("audit_id") % 9).cast("string")))
 
 
 _OPP = f"""{_CL}, {D.ISSUES}, cs AS (SELECT cluster_id % 6 AS site_id, cluster_id, label AS name, intent, (SELECT count(*) FROM mem m WHERE m.cluster_id = cl.cluster_id) AS n_keywords FROM cl),
-pi AS (SELECT site_id % 6 AS site_id, type || '_' || (audit_id % 9) AS type, severity FROM iss WHERE affected_count > 45),
+pi AS (SELECT site_id % 6 AS site_id, type || '_' || (audit_id % 9) AS type, severity FROM iss),
 t AS (SELECT site_id, type, count(*) AS n, min(CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END)::INT AS priority FROM pi GROUP BY ALL),
 opp AS (SELECT site_id, 1 AS src, 'technical' AS type, type AS category, 'Fix Check ' || replace(substr(type, 7), '_', ' ') || ' Issues' AS title, 'Found ' || n || ' ' || type || ' issues to fix' AS description,
     priority, CASE WHEN n > 3 THEN 'medium' ELSE 'low' END AS effort, CASE WHEN priority <= 2 THEN 'high' ELSE 'medium' END AS impact FROM t
@@ -328,7 +328,7 @@ def _tree(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame
     "l03_crawl_depth",
     """WITH RECURSIVE o AS (SELECT o_orderkey AS k FROM orders),
     e AS (SELECT a.k AS s, b.k AS d FROM (SELECT k, unnest([k * 8, k * 8 + 7, k * 8 + 14, (k // 16) * 7 + k % 7]) AS t FROM o) a JOIN o b ON b.k = a.t),
-    w AS (SELECT k, 0 AS depth FROM o WHERE k < 7 UNION SELECT k, 1 FROM o WHERE k % 1000 = 999 UNION SELECT e.d, w.depth + 1 FROM w JOIN e ON e.s = w.k WHERE w.depth < 15)
+    w AS (SELECT k, 0 AS depth FROM o WHERE k < 7 UNION SELECT k, 1 FROM o WHERE k % 1000 = 999 UNION SELECT e.d, w.depth + 1 FROM w JOIN e ON e.s = w.k WHERE w.depth < 40)
     SELECT k % 7 AS site_id, 'u' || k AS url, min(depth)::INT AS depth FROM w GROUP BY k""",
 )
 def l03(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,12 +360,12 @@ def l06(spark: SparkSession, sf: str) -> DataFrame:
     return G.robots_allowed(p, P.robots(spark, sf), "OtherBot").select("page_id", "allowed")
 
 
-@query("l07_seed_filter", "SELECT p_partkey AS seq FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) <= 500")
+@query("l07_seed_filter", "SELECT p_partkey AS seq FROM part")
 def l07(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     urls = table(spark, sf, "part").select((k % 3).alias("site_id"), k.alias("seq"), F.concat(F.lit("https://a.site"), (k % 3).cast("string"), F.lit(".test/"), k.cast("string")).alias("url"))
     s = urls.select("site_id").distinct().withColumn("base_url", F.concat(F.lit("https://www.site"), F.col("site_id").cast("string"), F.lit(".test")))
-    return G.seed_filter(urls, s, 500).select("seq")
+    return G.seed_filter(urls, s).select("seq")
 
 
 @query("l08_crawl_stats", "SELECT l_orderkey AS crawl_id, count(*) AS pages_crawled, sum(l_linenumber % 3)::BIGINT AS errors_count, count_if(l_returnflag = 'R') AS js_rendered_count FROM lineitem GROUP BY l_orderkey")
@@ -376,13 +376,32 @@ def l08(spark: SparkSession, sf: str) -> DataFrame:
     return G.crawl_stats(li, ["crawl_id"])
 
 
-@query("f13_near_duplicates")
-def f13(spark: SparkSession, sf: str) -> DataFrame:
-    """Near copies among the documents of a source (hash based, rows only)."""
-    d = table(spark, sf, "documents").select(F.col("source").alias("site_id"), F.col("doc_id").alias("page_seq"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("text_content"))
+def _near_sql(site: str) -> str:
+    return f"""WITH w AS (SELECT {site} AS site_id, doc_id, {S.word_list('lower(text)')} AS w FROM documents),
+    s AS (SELECT DISTINCT site_id, doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) u(i) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    c AS (SELECT a.site_id, a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.site_id = b.site_id AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT c.site_id, b AS page_seq, b::VARCHAR AS url, min(a)::VARCHAR AS near_duplicate_of, arg_min(k / (x.n + y.n - k), a) AS similarity
+    FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k) GROUP BY c.site_id, b"""
+
+
+def _near(spark: SparkSession, sf: str, site) -> DataFrame:
+    d = table(spark, sf, "documents").select(site.alias("site_id"), F.col("doc_id").alias("page_seq"), F.col("doc_id").cast("string").alias("url"), F.col("text").alias("text_content"))
     return N.near_duplicates(d)
 
 
+@query("f13_near_duplicates", _near_sql("source"))
+def f13(spark: SparkSession, sf: str) -> DataFrame:
+    """Near copies among the documents of a source."""
+    return _near(spark, sf, F.col("source"))
+
+
+@query("f13_near_duplicates_lang", _near_sql("lang"))
+def f13_lang(spark: SparkSession, sf: str) -> DataFrame:
+    """Near copies among the documents of a language: few, large sites."""
+    return _near(spark, sf, F.col("lang"))
+
+
 @query("d01_duplicate_content", "SELECT source AS site_id, doc_id AS page_seq, count(*) OVER (PARTITION BY source, md5(text)) AS group_size FROM documents QUALIFY group_size > 1")
 def d01(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select(
@@ -457,12 +476,13 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("io01_read_pages", f"SELECT page_id, {S.host('url')} AS tenant_id, length(html)::INT AS n FROM pages WHERE {S.host('url')} = 'blog.tionsh.example.com'")
+@query("io01_read_pages", f"SELECT page_id, {S.host('url')} AS tenant_id, length(html)::INT AS n FROM pages WHERE {S.host('url')} = (SELECT min({S.host('url')}) FROM pages)")
 def io01(spark: SparkSession, sf: str) -> DataFrame:
     """Pages written by tenant, read back with the tenant predicate (pruned)."""
     path = _folder(spark, "pages")
-    P.raw_pages(spark, sf).withColumnRenamed("site_id", "tenant_id").write.partitionBy("tenant_id").parquet(path)
-    return IO.read_pages(spark, path, "blog.tionsh.example.com").select("page_id", "tenant_id", F.length("html").alias("n"))
+    pages = P.raw_pages(spark, sf).withColumnRenamed("site_id", "tenant_id")
+    pages.write.partitionBy("tenant_id").parquet(path)
+    return IO.read_pages(spark, path, pages.agg(F.min("tenant_id")).first()[0]).select("page_id", "tenant_id", F.length("html").alias("n"))
 
 
 @query("io02_robots_facts", f"WITH {S.RICH} SELECT site_id, CASE WHEN content IS NULL THEN '' ELSE 'https://' || site_id || '/sitemap.xml' END AS sitemap_urls, CASE WHEN content IS NULL THEN NULL WHEN hub_id % 5 = 0 OR hub_id % 7 = 0 THEN 3 ELSE hub_id % 7 END::DOUBLE AS crawl_delay FROM site JOIN robots USING (site_id)")
@@ -550,15 +570,17 @@ def io09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "io10_site_export",
-    f"""WITH {D.RUNS} SELECT site_id::VARCHAR AS site_id, 'audits' AS section, '{{"audit_id":' || audit_id || CASE WHEN score IS NULL THEN '' ELSE ',"score":' || score END || ',"status":"' || status || '"}}' AS record
+    f"""WITH {D.RUNS}, {D.KEYWORDS} SELECT site_id::VARCHAR AS site_id, 'audits' AS section, '{{"audit_id":' || audit_id || CASE WHEN score IS NULL THEN '' ELSE ',"score":' || score END || ',"status":"' || status || '"}}' AS record
       FROM runs QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY completed_at DESC, audit_id DESC) <= 10
-    UNION ALL SELECT p_partkey::VARCHAR, 'content_briefs', '{{"brief_id":' || p_partkey || ',"target_keyword":"' || p_name || '","status":"draft"}}' FROM part""",
+    UNION ALL SELECT p_partkey::VARCHAR, 'content_briefs', '{{"brief_id":' || p_partkey || ',"target_keyword":"' || p_name || '","status":"draft"}}' FROM part
+    UNION ALL SELECT keyword_id::VARCHAR, 'keywords', '{{"keyword":"' || text || '"' || CASE WHEN search_volume IS NULL THEN '' ELSE ',"search_volume":' || search_volume END ||
+      CASE WHEN current_position IS NULL THEN '' ELSE ',"position":' || current_position END || ',"is_tracked":' || CASE WHEN is_tracked THEN 'true' ELSE 'false' END || '}}' FROM kw""",
 )
 def io10(spark: SparkSession, sf: str) -> DataFrame:
     k = table(spark, sf, "part")
     briefs = k.select(F.col("p_partkey").alias("site_id"), F.col("p_partkey").alias("brief_id"), F.col("p_name").alias("target_keyword"), F.lit("draft").alias("status"))
-    none = D.keywords(spark, sf).filter(F.lit(False)).withColumn("site_id", F.col("keyword_id"))
-    return IO.site_export(D.audit_runs(spark, sf), none, briefs).withColumn("site_id", F.col("site_id").cast("string"))
+    words = D.keywords(spark, sf).withColumn("site_id", F.col("keyword_id"))
+    return IO.site_export(D.audit_runs(spark, sf), words, briefs).withColumn("site_id", F.col("site_id").cast("string"))
 
 
 @query("l09_link_hosts", f"WITH {S.FEATURES}, u AS (SELECT unnest(external_links).url AS url FROM feat) SELECT {S.host('url')} AS host, count(*) AS n FROM u GROUP BY ALL")

@@ -162,7 +162,7 @@ def t08(spark: SparkSession, sf: str) -> DataFrame:
     "t09_url_wildcards",
     f"""WITH {BASE}, f AS (SELECT site_id, template_id, regexp_replace(regexp_replace(regexp_replace({S.path('url')}, '/\\d+', '/{{id}}', 'g'),
       '/[a-f0-9-]{{36}}', '/{{uuid}}', 'g'), '/[a-z]{{2}}/', '/{{lang}}/', 'g') AS p
-      FROM grouped QUALIFY row_number() OVER (PARTITION BY site_id, template_id ORDER BY page_seq) <= 20)
+      FROM grouped)
     SELECT site_id, template_id, array_to_string(list_sort(list(DISTINCT p))[1:5], chr(10)) AS url_patterns FROM f GROUP BY ALL""",
 )
 def t09(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,12 +174,12 @@ def t09(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "t10_unclassified_pages",
     f"""WITH {BASE}, e AS (SELECT site_id, url FROM grouped QUALIFY row_number() OVER (PARTITION BY site_id, template_id ORDER BY page_seq) <= 10)
-    SELECT site_id, url, row_number() OVER (PARTITION BY site_id ORDER BY page_seq)::INT AS rank FROM grouped g
-    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.site_id = g.site_id AND e.url = g.url) QUALIFY rank <= 20""",
+    SELECT site_id, url FROM grouped g
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.site_id = g.site_id AND e.url = g.url)""",
 )
 def t10(spark: SparkSession, sf: str) -> DataFrame:
     g = T.template_groups(typed_pages(spark, sf))
-    return T.unclassified(g, T.example_urls(g)).select("site_id", "url", "rank")
+    return T.unclassified(g, T.example_urls(g)).select("site_id", "url")
 
 
 @query(

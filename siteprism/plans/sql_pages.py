@@ -33,8 +33,14 @@ def n_words(c: str) -> str:
 
 
 def unescape(c: str) -> str:
+    """Numeric references and the names that the driver tables hold, each piece once from left to right."""
+    named = " ".join(f"WHEN '&{n};' THEN '{v}'" for n, v in (("amp", "&"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("lt", "<")))
+    digits = "ltrim(regexp_extract(r, '([0-9]+)', 1), '0')"
+    code = f"CASE WHEN len({digits}) BETWEEN 1 AND 7 THEN {digits}::BIGINT WHEN starts_with(lower(r), '&#x2014') THEN 8212 ELSE 0 END"
+    char = f"[chr(CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN n ELSE 65533 END::INT) for n in [{code}]][1]"
     return (
-        f"replace(replace(replace(replace({c}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+        f"array_to_string([CASE r {named} ELSE CASE WHEN regexp_matches(r, '^&#([0-9]+|[xX][0-9a-fA-F]+);$') THEN {char} ELSE r END END "
+        f"for r in regexp_extract_all({c}, '(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)', 1)], '')"
     )
 
 
@@ -98,7 +104,7 @@ _HEAD = " || ".join(
             4, "''",
             "'<meta name=\"description\" content=\"' || left(t, 40) || '\">'",
             "'<meta name=\"description\" content=\"' || t || ' ' || t || ' ' || t || '\">'",
-            "'<meta content=''' || t || ' / ' || t || ''' name=''description''/>'",
+            "'<meta content=''' || t || ' / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; ' || t || ''' name=''description''/>'",
         ),
         _cases(9, "'<meta name=\"robots\" content=\"NoIndex, nofollow\">'"),
         _cases(10, "'<meta name=\"viewport\" content=\"width=600\">'", "''", *[_VIEW] * 6),
@@ -169,7 +175,7 @@ robots AS (SELECT site_id, hub_id % 4 <> 0 AS r_exists, CASE WHEN hub_id % 4 <>
   'Sitemap: https://' || site_id || '/sitemap.xml' || chr(10) END AS content FROM site)"""
 
 _ANCHORS = (
-    f"[{{'href': {attr('tg', 'href')}, 'text': left({inner('x')}, 100), "
+    f"[{{'href': {attr('tg', 'href')}, 'text': {inner('x')}, "
     f"'nofollow': list_contains({rel('tg')}, 'nofollow')}} "
     "for x in regexp_extract_all(html, '(?is)(<a\\s[^>]*>.*?</a\\s*>)', 1)]"
 ).replace("tg", "regexp_extract(x, '(?is)^(<a\\s[^>]*>)', 1)")
@@ -208,9 +214,9 @@ f2 AS (SELECT *, {_ABS} AS abslinks,
   flatten([CASE WHEN starts_with(x, '[') THEN json_extract(x, '$[*]') ELSE [x::JSON] END for x in ld if json_valid(x)]) AS objs
   FROM f1),
 feat AS MATERIALIZED (SELECT *,
-  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND {is_internal(host('x.url'), 'site_id')}][1:200]
+  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND {is_internal(host('x.url'), 'site_id')}]
     || [{{'url': hub_url, 'text': 'Home', 'nofollow': false}}, {{'url': tail_url, 'text': 'Read More', 'nofollow': true}}] AS internal_links,
-  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND NOT {is_internal(host('x.url'), 'site_id')}][1:100] AS external_links,
+  [x for x in abslinks if regexp_matches(x.url, '^https?:') AND NOT {is_internal(host('x.url'), 'site_id')}] AS external_links,
   {n_words('text_content')} AS word_count, md5(text_content) AS text_content_hash,
   contains(lower(meta_robots), 'noindex') AS noindex, contains(lower(meta_robots), 'nofollow') AS nofollow,
   [x->>'$."@type"' for x in objs] AS types,
