@@ -36,6 +36,7 @@ GUIDES = [
     ("Missing Language Declaration", "The html element names no language.", "Screen readers and search engines have to guess it.", "Set the lang attribute.", "<html lang=\"en\">"),
     ("Missing Viewport Meta", "The viewport is not declared.", "Phones show the desktop layout.", "Declare the viewport.", "<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">"),
     ("Viewport Not Responsive", "The viewport has a fixed width.", "The page does not fit small screens.", "Use the width of the device.", "<meta name=\"viewport\" content=\"width=device-width, initial-scale=1\">"),
+    ("4xx Errors", "Pages answer with a client error.", "Visitors and crawlers reach a page that isn't there.", "Restore the page, redirect its address or drop the links to it.", "Redirect 301 /old /new"),
     ("Slow Server Response", "The server needs more than 600ms.", "Slow pages are crawled less and left sooner.", "Profile slow requests, cache, and move closer to visitors.", "Cache-Control: public, max-age=600"),
 ]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,14 +28,13 @@ def failure_runs(checks: DataFrame, n: int = 2) -> DataFrame:
     """A row whenever a site's newest n checks are all down; state is n flags per site."""
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        flags = list(state.get[0]) if state.exists else []
+        flags = deque(state.get[0] if state.exists else [], maxlen=n)
         hits = []
-        for b in batches:
-            for at, up in b.sort_values("checked_at")[["checked_at", "is_up"]].itertuples(index=False):
-                flags = [*flags, bool(up)][-n:]
-                if len(flags) == n and not any(flags):
-                    hits.append((key[0], at, n))
-        state.update((flags,))
+        for at, up in _ordered(batches, "checked_at")[["checked_at", "is_up"]].itertuples(index=False):
+            flags.append(bool(up))
+            if len(flags) == n and not any(flags):
+                hits.append((key[0], at, n))
+        state.update((list(flags),))
         yield pd.DataFrame(hits, columns=["site_id", "checked_at", "failures"])
 
     return checks.groupBy("site_id").applyInPandasWithState(
@@ -45,27 +45,30 @@ def failure_runs(checks: DataFrame, n: int = 2) -> DataFrame:
 def rate_limited(requests: DataFrame, keys: list[str], limit: int, window_seconds: int = 60) -> DataFrame:
     """Sliding limit over a stream; state is the accepted times of the last window.
 
-    Rows of a micro-batch are decided in time order per key.
+    All rows of a key in a micro-batch are decided in time order, however they are split into chunks; requests of one
+    time share one decision, as in the batch form.
     """
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
+        times = deque(state.get[0] if state.exists else [])
         w = window_seconds * 1_000_000
-        for b in batches:
-            b = b.sort_values("ts")
-            allowed = []
-            for at in b["ts"]:
-                us = at.value // 1000
-                times = [t for t in times if t > us - w]
-                ok = len(times) < limit
-                allowed.append(ok)
-                if ok:
+        rows = _ordered(batches, "ts")
+        allowed, before, ok = [], None, False
+        for at in rows["ts"]:
+            us = at.value // 1000
+            if us != before:
+                while times and times[0] <= us - w:
+                    times.popleft()
+                ok = len(times) < limit or bool(times and times[-1] == us)
+                if ok and not (times and times[-1] == us):
                     times.append(us)
-            out = b[["ts"]].assign(allowed=allowed)
-            for k, v in zip(keys, key):
-                out[k] = v
-            yield out[[*keys, "ts", "allowed"]]
-        state.update((times,))
+                before = us
+            allowed.append(ok)
+        state.update((list(times),))
+        out = rows[["ts"]].assign(allowed=allowed)
+        for k, v in zip(keys, key):
+            out[k] = v
+        yield out[[*keys, "ts", "allowed"]]
 
     fields = ", ".join(f"{k} {_type(requests, k)}" for k in keys)
     return requests.groupBy(*keys).applyInPandasWithState(
@@ -79,5 +82,10 @@ def cooled_alerts(candidates: DataFrame, cooldown_minutes: int) -> DataFrame:
     return fired.filter("allowed").select("rule_id", F.col("ts").alias("created_at"))
 
 
+def _ordered(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch in time order; they may come in several chunks."""
+    return pd.concat(list(batches)).sort_values(by, kind="stable")
+
+
 def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()

@@ -124,3 +124,25 @@ def test_streams(spark, tmp_path):
     ev = req.select(F.col("tenant").alias("rule_id"), F.col("ts").alias("created_at"))
     _drain(S.cooled_alerts(_stream(spark, ev, str(tmp_path / "e")), 1), "cooled")
     assert spark.table("cooled").count() == 5
+
+
+def test_streams_in_small_chunks(spark, tmp_path):
+    """Shuffled input in chunks of five rows: decisions follow time, equal times share one."""
+    rnd = random.Random(8)
+    times = sorted(T0 + dt.timedelta(seconds=rnd.randrange(400)) for _ in range(60))
+    rows = [("t", t) for t in times]
+    rnd.shuffle(rows)
+    kept, want = [], {}
+    for t in sorted(set(times)):
+        kept = [k for k in kept if k > t - dt.timedelta(seconds=60)]
+        want[t] = len(kept) < 3
+        kept += [t] if want[t] else []
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        req = spark.createDataFrame(rows, "tenant string, ts timestamp").repartition(3)
+        _drain(S.rate_limited(_stream(spark, req, str(tmp_path / "r")), ["tenant"], 3), "limited_small")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    got = [(r.ts.replace(tzinfo=None), r.allowed) for r in spark.table("limited_small").collect()]
+    assert len(got) == 60 and all(want[t] == ok for t, ok in got)
