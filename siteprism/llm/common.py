@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteprism.common import stage_dir
+
 #: Rows handed to Python code at once; a slice also ends at so many bytes of text.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
 
@@ -73,11 +75,11 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where no folder is set at all (tests on one machine) a temporary one is taken.
+    Only where none is named and the session runs on one machine (tests) a temporary one is taken.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(stage_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -85,5 +87,23 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder for tables of one run, inside the checkpoint folder that all executors share."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(stage_dir(spark))
     return f"{context.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared folder: columns are compressed there, unlike a checkpoint's rows."""
+    spark, schema = df.sparkSession, df.schema
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished queries.
+
+    Spark drops them when the driver collects its garbage, which a driver with little to do may not do for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

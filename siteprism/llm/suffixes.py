@@ -35,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import carried, checkpointed, handed_on, map_slices, raw, shared_dir, texts
+from siteprism.llm.common import carried, handed_on, map_slices, raw, shared_dir, stored, texts
 
 LENGTH, GRAM, GROUP = 200, 40, 8
 #: Bytes of text worked on at once.
 SLICE = 1 << 20
+#: Bits of a bitmap, and of each of its rows.
+BITS, ROW_BITS = 1 << 26, 1 << 15
 _U = np.uint64
 _PLACE = 24
 _rng = np.random.default_rng(20240)
@@ -101,12 +103,11 @@ def pieces_of(text: bytes) -> list[tuple[int, bytes]]:
     return [(a, text[a : a + SLICE + LENGTH - 1]) for a in range(0, len(text) - LENGTH + 1, SLICE)]
 
 
-def segments(data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
+def segments(prints: Fingerprints, data: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of concatenated texts: owner, first and last (window starts), anchor, core, cover.
 
     ends: where each text ends in `data`.
     """
-    prints = Fingerprints(data)
     empty = {k: np.zeros(0, np.int64) for k in ("owner", "first", "last", "anchor")} | {k: np.zeros(0, _U) for k in ("core", "cover")}
     if len(data) < LENGTH:
         return empty
@@ -148,24 +149,73 @@ def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", car
     return rows.withColumn("text_key", F.xxhash64("text", F.octet_length("text")))
 
 
-def suffix_array(rows: DataFrame) -> DataFrame:
-    """Suffixes of texts (text, text_key), unsorted; texts met before in a slice are left out but marked as known to repeat (fresh rows twice)."""
+def cut(prints: Fingerprints, found: dict[str, np.ndarray], width: int) -> dict[str, np.ndarray]:
+    """Windows of segments in groups of `width` offsets to the suffix; a group's core is what all its windows share."""
+    counts = found["last"] - found["first"] + 1
+    unit = np.repeat(np.arange(len(counts)), counts)
+    if not len(unit):
+        return found
+    start = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts) + found["first"][unit]
+    group = (found["anchor"][unit] - start) // width
+    heads = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (group[1:] != group[:-1])]))
+    who, first, last = unit[heads], start[heads], start[np.concatenate([heads[1:] - 1, [len(unit) - 1]])]
+    anchor, offset = found["anchor"][who], group[heads]
+    low = anchor - offset * width  # the latest start of the group's windows
+    return {
+        "owner": found["owner"][who],
+        "first": first,
+        "last": last,
+        "anchor": anchor,
+        "core": prints.of(low, low - width + 1 + LENGTH, (offset * 2 + 1).astype(_U) + _mixed(found["core"][who])),
+        "cover": prints.of(first, last + LENGTH, (anchor - first) * 1024 + last - first),
+    }
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """(bucket, bits) of the keys (column key): BITS bits at most, whatever the number of keys."""
+    bit = F.col("key").bitwiseAND(F.lit(BITS - 1))
+    rows = keys.select((F.shiftright(bit, 15)).alias("bucket"), bit.bitwiseAND(F.lit(ROW_BITS - 1)).alias("bit"))
+    return rows.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def broadcast_bitmap(keys: DataFrame):
+    """The bitmap as a broadcast string of BITS / 8 bytes."""
+    out = bytearray(BITS // 8)
+    for r in bitmap(keys).collect():
+        out[r["bucket"] * ROW_BITS // 8 : (r["bucket"] + 1) * ROW_BITS // 8] = r["bits"]
+    return keys.sparkSession.sparkContext.broadcast(bytes(out))
+
+
+def suffix_array(rows: DataFrame, cuts: tuple = ()) -> DataFrame:
+    """Suffixes of texts (text, text_key), unsorted.  cuts: (broadcast bitmap of marks, width) for each time they are cut.
+
+    Of equal texts in a slice two take part, which is enough to show that they repeat.
+    """
 
     def make():
+        marks = [(np.frombuffer(b.value, np.uint8), width) for b, width in cuts]
+
         def work(part: pa.RecordBatch) -> dict:
             offsets, blocks, keys, seen = [], [], [], {}
             for key, t in zip(part.column("text_key").to_pylist(), raw(part.column("text"))):
                 times = seen[key] = seen.get(key, 0) + 1
-                if len(t) >= LENGTH and times <= 2:  # two equal texts show the match; more add nothing
+                if len(t) >= LENGTH and times <= 2:
                     for offset, block in pieces_of(t):
                         offsets.append(offset)
                         blocks.append(block)
                         keys.append(key)
             ends = np.cumsum([len(b) for b in blocks]).astype(np.int64)
-            found = segments(np.frombuffer(b"".join(blocks), np.uint8), ends)
+            data = np.frombuffer(b"".join(blocks), np.uint8)
+            prints = Fingerprints(data)
+            found = segments(prints, data, ends)
+            own = np.array(keys, np.int64).view(_U)
+            for marked, width in marks:
+                bit = ((found["core"] ^ own[found["owner"]]) & _U(BITS - 1)).astype(np.int64)
+                there = (marked[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+                found = cut(prints, {k: v[there] for k, v in found.items()}, width)
             owner = found["owner"]
-            shift = np.array(offsets, np.int64)[owner] - (ends - [len(b) for b in blocks])[owner] if len(blocks) else owner
-            out = {"text_key": pa.array(np.array(keys, np.int64)[owner] if len(keys) else owner)}
+            shift = (np.array(offsets, np.int64) - ends + [len(b) for b in blocks])[owner] if blocks else owner
+            out = {"text_key": pa.array(own[owner].view(np.int64))}
             out |= {k: pa.array(found[k] + shift) for k in ("first", "last", "anchor")}
             return out | {k: pa.array(found[k].view(np.int64)) for k in ("core", "cover")}
 
@@ -175,31 +225,36 @@ def suffix_array(rows: DataFrame) -> DataFrame:
 
 
 def scan(arrays: DataFrame) -> DataFrame:
-    """The rows of suffix arrays that have an equal core, with `repeats` (an equal cover lies next to it) and `open`.
+    """Adds to the rows of sorted suffix arrays what their neighbours tell.
 
-    Open are rows that don't repeat, and the ends of a run of equal covers that has other covers of its core beside it.
-    One pass over the sorted rows that keeps a row at a time, so a core may have any number of rows.
+    near: a neighbour has an equal core (with a column `fresh`: and one of both is fresh); repeats: and an equal cover;
+    open: the row has to be cut finer, as it doesn't repeat, or as a witness, being the end of a run of equal covers that
+    has another cover of its core beside it.  One pass over the sorted rows that keeps a row at a time, so a core may
+    have any number of rows.
     """
     names = [c for c, _ in arrays.dtypes]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        before: tuple[int, int] | None = None
+        before: tuple[int, int, bool] | None = None
 
         def judged(rows: pa.Table, after: bool) -> pa.RecordBatch:
             """All rows, or all but the last if more may follow."""
             nonlocal before
             core, cover = rows.column("core").to_numpy(), rows.column("cover").to_numpy()
-            same_core = np.concatenate([[before is not None and before[0] == core[0]], core[1:] == core[:-1], [False]])
-            same = np.concatenate([[before is not None and before == (core[0], cover[0])], (core[1:] == core[:-1]) & (cover[1:] == cover[:-1]), [False]])
+            fresh = rows.column("fresh").to_numpy() if "fresh" in names else np.ones(len(core), bool)
+            last = before or (core[0] + 1 if core[0] < 0 else core[0] - 1, 0, False)
+            same_core = np.concatenate([[last[0] == core[0]], core[1:] == core[:-1], [False]])
+            same = np.concatenate([[last[1] == cover[0]], cover[1:] == cover[:-1], [False]]) & same_core
+            either = np.concatenate([[last[2] | fresh[0]], fresh[1:] | fresh[:-1], [False]])
             n = len(core) - after
-            repeats = (same[:-1] | same[1:])[:n]
-            keep = (same_core[:-1] | same_core[1:])[:n]
-            edge = ((~same & same_core)[:-1] | (~same & same_core)[1:])[:n]
+            two = lambda x: (x[:-1] | x[1:])[:n]  # noqa: E731  with the row before or after
             if n:
-                before = (core[n - 1], cover[n - 1])
-            out = rows.slice(0, n).append_column("repeats", pa.array(repeats)).append_column("open", pa.array(~repeats | edge)).filter(pa.array(keep))
-            return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in out.columns], names=[*names, "repeats", "open"])
+                before = (core[n - 1], cover[n - 1], fresh[n - 1])
+            near, repeats = two(same_core & either), two(same & either)
+            out = {c: rows.column(c).slice(0, n).combine_chunks() for c in names}
+            marks = {"near": near, "repeats": repeats, "open": near & (~two(same) | two(~same & same_core))}
+            return pa.RecordBatch.from_pydict({c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in out.items()} | {c: pa.array(v) for c, v in marks.items()})
 
         for batch in batches:
             if batch.num_rows:
@@ -211,7 +266,7 @@ def scan(arrays: DataFrame) -> DataFrame:
             yield judged(held, False)
 
     schema = ", ".join(f"{c} {t}" for c, t in arrays.dtypes)
-    return arrays.mapInArrow(run, f"{schema}, repeats boolean, open boolean")
+    return arrays.mapInArrow(run, f"{schema}, near boolean, repeats boolean, open boolean")
 
 
 def in_order(arrays: DataFrame) -> DataFrame:
@@ -232,99 +287,52 @@ class IndexFamily:
         self.levels: list[Level] = []
 
     def add(self, rows: DataFrame, last: bool = False) -> list[DataFrame]:
-        """Scans of a batch (text, text_key) against itself and all levels; `last`: no batch follows, so no level is written."""
-        spark = rows.sparkSession
-        array, size, merged = suffix_array(rows), 1, []
+        """Matches of a batch (text, text_key) with itself and all levels, rows of both sides.
+
+        The batch is merged with the levels of its size one after the other, found from the smallest; the pass that
+        merges them also scans them, and its result is the new level.  Other levels are scanned with the batch only.
+        `last`: no batch follows, so all levels take part in one pass and none is written.
+        """
+        array, size, merged = suffix_array(rows).withColumn("fresh", F.lit(True)), 1, []
         while self.levels and (self.levels[-1].size == size or last):
             level = self.levels.pop()
             merged.append(level.rows)
             size += level.size
-        together = array
-        for level in merged:
-            together = together.unionByName(level)
+        together = self._with(array, merged)
         if last:
-            return [scan(in_order(together))]
+            return [scan(in_order(together)).filter("near")]
         path = f"{self.folder}/level-{size}-{uuid.uuid4().hex}"
-        in_order(together).write.parquet(path)
-        level = Level(size, spark.read.schema(together.schema).parquet(path))
-        found = [scan(in_order(level.rows))] + [scan(in_order(array.unionByName(x.rows))) for x in self.levels]
-        self.levels.append(level)
+        scanned = scan(in_order(together))
+        scanned.write.parquet(path)
+        scanned = rows.sparkSession.read.schema(scanned.schema).parquet(path)
+        found = [scanned.filter("near")] + [scan(in_order(self._with(array, [x.rows]))).filter("near") for x in self.levels]
+        self.levels.append(Level(size, scanned.select(*array.columns)))
         return found
 
-
-def cut(units: DataFrame, width: int) -> DataFrame:
-    """Windows of units (bytes, base, first, last, anchor, core) in groups of `width` offsets to the suffix; their core is what all windows of a group share."""
-
-    def make():
-        def work(part: pa.RecordBatch) -> dict:
-            blocks = part.column("bytes").to_pylist()
-            firsts, lasts, anchors, cores = (part.column(c).to_numpy() for c in ("first", "last", "anchor", "core"))
-            ends = np.cumsum([len(b) for b in blocks]).astype(np.int64)
-            begins = ends - [len(b) for b in blocks] if blocks else ends
-            prints = Fingerprints(np.frombuffer(b"".join(blocks), np.uint8))
-            counts = lasts - firsts + 1
-            unit = np.repeat(np.arange(len(blocks)), counts)
-            start = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts) + firsts[unit]
-            group = (anchors[unit] - start) // width
-            new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (group[1:] != group[:-1])]) if len(unit) else np.zeros(0, bool)
-            heads = np.flatnonzero(new)
-            tails = np.concatenate([heads[1:] - 1, [len(unit) - 1]]) if len(heads) else heads
-            who, first, last, g = unit[heads], start[heads], start[tails], group[heads]
-            shift = begins[who] - part.column("base").to_numpy()[who]
-            low = anchors[who] - g * width  # the latest start of the group's windows
-            core = prints.of(low + shift, low - width + 1 + LENGTH + shift, (g * 2 + 1).astype(_U) + _mixed(cores[who].view(_U)))
-            cover = prints.of(first + shift, last + LENGTH + shift, (anchors[who] - first) * 1024 + last - first)
-            out = {"text_key": pa.array(part.column("text_key").to_numpy()[who])}
-            out |= {k: pa.array(v) for k, v in (("first", first), ("last", last), ("anchor", anchors[who]))}
-            return out | {"core": pa.array(core.view(np.int64)), "cover": pa.array(cover.view(np.int64))}
-
-        return work
-
-    return map_slices(units, make, _ROW, "bytes", SLICE)
-
-
-def bytes_of(rows: DataFrame, open_units: DataFrame) -> DataFrame:
-    """Units with the bytes that their windows cover (from `base` on); one text stands for a text_key.
-
-    The units of a text travel as one array to the text, so a text is moved and cut once.
-    """
-    lists = open_units.groupBy("text_key").agg(F.collect_list(F.struct("first", "last", "anchor", "core")).alias("units"))
-    one = rows.select("text_key", "text").join(lists, "text_key").dropDuplicates(["text_key"])
-
-    def make():
-        def work(part: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("text_key", "base", "bytes", "first", "last", "anchor", "core")}
-            for key, t, units in zip(part.column("text_key").to_pylist(), raw(part.column("text")), part.column("units").to_pylist()):
-                for u in units:
-                    # the shared core of a group may reach beyond the windows that are present, never beyond the text
-                    low, high = max(0, u["first"] - GROUP), min(len(t), u["last"] + LENGTH + GROUP)
-                    for k, v in (("text_key", key), ("base", low), ("bytes", t[low:high]), *u.items()):
-                        out[k].append(v)
-            return {k: pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()}
-
-        return work
-
-    return map_slices(one, make, "text_key long, base long, bytes binary, first long, last long, anchor long, core long", most=SLICE)
+    @staticmethod
+    def _with(array: DataFrame, others: list[DataFrame]) -> DataFrame:
+        for x in others:
+            array = array.unionByName(x.withColumn("fresh", F.lit(False)))
+        return array
 
 
 def repeated(rows: DataFrame, batches: int) -> DataFrame:
-    """(text_key, first, last): runs of window starts whose window occurs elsewhere."""
+    """(text_key, first, last): runs of window starts whose window occurs elsewhere (a run may come more than once)."""
     family = IndexFamily(shared_dir(rows.sparkSession))
     found: DataFrame | None = None
     for b in range(batches):
         batch = rows.filter(F.pmod(F.col("text_key"), F.lit(batches)) == b) if batches > 1 else rows
         for part in family.add(batch, b == batches - 1):
             found = part if found is None else found.unionByName(part)
-    keys = ["text_key", "first", "last", "anchor", "core"]
-    judged = checkpointed(found.groupBy(*keys).agg(F.max("repeats").alias("repeats"), F.max("open").alias("open")))
-    out = judged.filter("repeats").select("text_key", "first", "last")
-    units = checkpointed(bytes_of(rows, judged.filter("open")))
-    groups = checkpointed(scan(in_order(cut(units, GROUP))).select(*keys, "repeats", "open").distinct())
-    out = out.unionByName(groups.filter("repeats").select("text_key", "first", "last"))
-    rest = groups.filter("open").select("text_key", F.col("first").alias("f"), F.col("last").alias("l"), F.col("anchor").alias("a"))
-    finer = units.join(rest, ["text_key"]).filter("a = anchor and f >= first and l <= last").select("text_key", "base", "bytes", F.col("f").alias("first"), F.col("l").alias("last"), "anchor", "core")
-    single = scan(in_order(cut(finer, 1))).filter("repeats").select("text_key", "first", "last").distinct()
-    return out.unionByName(single)
+    kept_columns = ["text_key", "first", "last", "core", "repeats", "open"]
+    whole = stored(found.select(*kept_columns))
+    mark = F.col("core").bitwiseXOR(F.col("text_key")).alias("key")  # of a suffix in a text
+    cuts = ((broadcast_bitmap(whole.filter("open").select(mark)), GROUP),)
+    groups = stored(scan(in_order(suffix_array(rows, cuts))).filter("near").select(*kept_columns))
+    cuts += ((broadcast_bitmap(groups.filter("open").select(mark)), 1),)
+    single = stored(scan(in_order(suffix_array(rows, cuts))).filter("repeats").select(*kept_columns))
+    runs = [x.filter("repeats").select("text_key", "first", "last") for x in (whole, groups, single)]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
 def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", carry: bool = False, as_text: bool = False) -> DataFrame:
@@ -335,8 +343,14 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
     behind, or come along in `row` (carry).
     """
     rows = keyed_texts(docs, doc_id, text, carry)
-    spans = repeated(rows, batches).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    joined = rows.join(spans, "text_key", "left")
+    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    bits = F.broadcast(bitmap(spans.select(F.col("text_key").alias("key"))))  # BITS / ROW_BITS rows at most
+    bit = F.col("text_key").bitwiseAND(F.lit(BITS - 1))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit.bitwiseAND(F.lit(ROW_BITS - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(bits, F.shiftright(bit, 15) == F.col("bucket"), "left").withColumn("may", F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")), F.lit(0)) == 1).drop("bucket", "bits")
+    # only texts that may hold a run are moved to their runs
+    still = marked.filter("not may").withColumn("runs", F.lit(None).cast("array<struct<first: long, last: long>>"))
+    joined = marked.filter("may").join(spans, "text_key", "left").select(*still.columns).unionByName(still).drop("may")
 
     def make():
         def work(part: pa.RecordBatch) -> dict:

@@ -8,7 +8,7 @@ from conftest import table
 from llm_helpers import rows_of
 
 from siteprism.llm import suffixes
-from siteprism.llm.suffixes import LENGTH, kept, segments, sliding_least
+from siteprism.llm.suffixes import LENGTH, Fingerprints, kept, segments, sliding_least
 
 
 def brute(pairs):
@@ -79,7 +79,7 @@ def test_segments_hold_every_window_once():
     sizes = [0, 199, 200, 201, 1000, 5, 777]
     data = rng.integers(97, 101, sum(sizes)).astype(np.uint8)
     ends = np.cumsum(sizes)
-    got = segments(data, ends)
+    got = segments(Fingerprints(data), data, ends)
     starts = sorted(s for a, b in zip(got["first"], got["last"]) for s in range(a, b + 1))
     assert starts == [s for e, n in zip(ends, sizes) for s in range(e - n, e - LENGTH + 1)]
     assert ((got["anchor"] >= got["last"]) & (got["anchor"] + suffixes.GRAM <= got["first"] + LENGTH)).all()
