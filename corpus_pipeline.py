@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm import decontaminate, jaccard, pieces, suffixes, toxicity
@@ -21,17 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id (of equal rows, one).
+    """One document of each group of near copies: the one with the smallest id.
 
-    Texts without words are in no group, so all of them stay.
+    Texts without words are in no group and stay.  Rows without an id stay, as no id tells which of them to keep.  Of
+    rows that repeat an id and a text one stays.
     """
     found = jaccard.join(docs, SHINGLE, PERCENT)
-    stays = found.filter(F.col("n_shingles") > 0).filter("doc_id <=> component_id").select("doc_id").distinct()
+    stays = found.filter("n_shingles > 0 and doc_id = component_id").select("doc_id").distinct()
     empty = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")) == 0
-    rows = docs.withColumn("_empty", empty)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = rows.filter(~F.col("_empty")).join(stays, rows["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    return one.unionByName(rows.filter("_empty")).select(*docs.columns)
+    apart = empty | F.col("doc_id").isNull()
+    one = docs.filter(~apart).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.select(*docs.columns).unionByName(docs.filter(apart))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, map_slices, raw, texts
+from siteprism.llm.common import checkpointed, map_slices, raw, stored, texts
 from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
@@ -335,8 +335,9 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     no row of the component has an id); rows that repeat an id are rows of their own.  Other columns are left behind.
     """
     node_rows = checkpointed(nodes(docs, n, doc_id, text))
-    families = checkpointed(components(ties(keyed(docs, n, percent, doc_id, text))))
-    labels = components(verified(docs, node_rows, families, n, percent, doc_id, text))
+    tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
+    families = checkpointed(components(tied))
+    labels = components(stored(verified(docs, node_rows, families, n, percent, doc_id, text)))
     marked = node_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.dropna(subset=["label"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return marked.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
