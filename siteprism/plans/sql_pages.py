@@ -36,7 +36,7 @@ def unescape(c: str) -> str:
     """Numeric references and the names that the driver tables hold, each piece once from left to right."""
     named = " ".join(f"WHEN '&{n};' THEN '{v}'" for n, v in (("amp", "&"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("lt", "<")))
     digits = "ltrim(regexp_extract(r, '([0-9]+)', 1), '0')"
-    code = f"CASE WHEN len({digits}) BETWEEN 1 AND 7 THEN {digits}::BIGINT WHEN starts_with(lower(r), '&#x2014') THEN 8212 ELSE 0 END"
+    code = f"CASE WHEN lower(r) = '&#x2014;' THEN 8212 WHEN len({digits}) BETWEEN 1 AND 7 THEN {digits}::BIGINT ELSE 0 END"
     char = f"[chr(CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN n ELSE 65533 END::INT) for n in [{code}]][1]"
     return (
         f"array_to_string([CASE r {named} ELSE CASE WHEN regexp_matches(r, '^&#([0-9]+|[xX][0-9a-fA-F]+);$') THEN {char} ELSE r END END "
