@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm import decontaminate, jaccard, pieces, suffixes, toxicity
-from siteprism.llm.common import shared_dir, table
+from siteprism.llm.common import restored, shared_dir, table
 from siteprism.llm.q_pieces import MODEL
 from siteprism.llm.vocabulary import read
 
@@ -17,7 +17,7 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model, fitted on the labelled ones among them, doesn't call toxic."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.severity(docs, model, carry=True).filter("not toxic").select("row.*")
+    return restored(toxicity.severity(docs, model, carry=True).filter("not toxic"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,17 +41,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = suffixes.kept(docs, carry=True, as_text=True).filter("n_bytes = 0 or n_removed < n_bytes")
     same = F.col("n_removed") == 0
-    new = {
-        "text": F.when(same, F.col("row.text")).otherwise(F.col("kept")),
-        "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("kept").cast("long")),
-    }
-    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    chars = F.when(same, F.col("row.columns.n_chars")).otherwise(F.length("kept").cast("long"))
+    return restored(out.withColumn("text", F.col("kept")), docs.columns, n_chars=chars)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words comes from the benchmark."""
     hits = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return decontaminate.counts(hits).filter("not contaminated").select("row.*")
+    return restored(decontaminate.counts(hits).filter("not contaminated"), docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.common import stage_dir
@@ -24,19 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """The two columns that operators read; whatever else a table holds (clashing names too) is left behind.
 
-    carry: the whole row comes along as one column `row`, for stages that filter rows without a join.
+    carry: the other columns come along in `row`, for stages that filter rows without a join; see `restored`.
     """
-    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    own = [F.struct(F.col(f"`{text}`").isNull().alias("null_text"), F.struct(*others).alias("columns")).alias("row")] if carry else []
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), *own)
 
 
 def carried(rows: DataFrame) -> str:
-    """Schema of the columns that a pass over `rows` hands on: doc_id, and row where there is one."""
-    return ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in ("doc_id", "row"))
+    """Schema of the columns that a pass over `rows` hands on: doc_id, and row and text where rows are carried."""
+    return ", ".join(f"{c} {t}" for c, t in rows.dtypes if c in _handed(rows.columns))
 
 
 def handed_on(part: pa.RecordBatch) -> dict:
-    return {c: part.column(c) for c in part.schema.names if c in ("doc_id", "row")}
+    return {c: part.column(c) for c in part.schema.names if c in _handed(part.schema.names)}
+
+
+def _handed(columns: list[str]) -> tuple[str, ...]:
+    return ("doc_id", "row", "text") if "row" in columns else ("doc_id",)
+
+
+def restored(df: DataFrame, columns: list[str], text: str = "text", **new: Column) -> DataFrame:
+    """The carried rows as they were, with the columns `columns` of the input; `new` replaces some."""
+    old = F.when(~F.col("row.null_text"), F.col("text"))
+    return df.select(*[new.get(c, old if c == text else F.col(f"row.columns.`{c}`")).alias(c) for c in columns])
 
 
 def slices(batch: pa.RecordBatch, column: str | None = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

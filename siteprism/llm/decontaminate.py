@@ -81,7 +81,7 @@ def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_HITS = "{kept}, text string, n_words long, hits array<struct<first: long, after: long>>, items array<string>"
+_HITS = "{kept}, {text} n_words long, hits array<struct<first: long, after: long>>, items array<string>"
 _RUN = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
 
 
@@ -99,11 +99,11 @@ def _scan(rows: DataFrame, block: list[tuple[str | None, bytes | None]], window:
                 n_words.append(len(words))
                 hits.append([{"first": a, "after": b} for a, b in joined(more + [(r["first"], r["after"]) for r in runs])])
                 items.append(sorted(found.union(names), key=lambda x: (x is not None, x)))
-            return handed_on(part) | {"text": part.column("text"), "n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _RUN), "items": pa.array(items, pa.list_(pa.string()))}
+            return handed_on(part) | {"text": part.column("text")} | {"n_words": pa.array(n_words, pa.int64()), "hits": pa.array(hits, _RUN), "items": pa.array(items, pa.list_(pa.string()))}
 
         return work
 
-    return map_slices(rows, make, _HITS.format(kept=carried(rows)))
+    return map_slices(rows, make, _HITS.format(kept=carried(rows), text="" if "row" in rows.columns else "text string, "))
 
 
 def blocks_of(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None, bytes | None]]]:
@@ -135,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
 def counts(found: DataFrame) -> DataFrame:
     """Digest of `hits`: n_words, n_hit, n_items, items_sha256 and contaminated (a twentieth of the words at least is hit)."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, r: n + r["after"] - r["first"])
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *[c for c in found.columns if c == "row"]).withColumn(
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), *([c for c in found.columns if c in ("row", "text")] if "row" in found.columns else [])).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
 

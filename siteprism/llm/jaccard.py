@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, map_slices, raw, stored, texts
+from siteprism.llm.common import checkpointed, map_slices, raw, release, stored, texts
 from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
@@ -45,7 +45,9 @@ SPARE = 0.35
 #: Elements in a block of a family.
 BLOCK = 1 << 20
 SKETCH_BITS = 4096
-_WORDS_KEPT = 1 << 20
+_WORDS_KEPT = 1 << 18
+#: Bytes of text keyed at once.
+SLICE = 2 << 20
 _U = np.uint64
 
 
@@ -196,7 +198,7 @@ def keyed(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: s
 
         return work
 
-    return map_slices(texts(docs, doc_id, text).select("text"), make, "key long, node long, other long")
+    return map_slices(texts(docs, doc_id, text).select("text"), make, "key long, node long, other long", most=SLICE)
 
 
 def ties(keys: DataFrame) -> DataFrame:
@@ -337,7 +339,9 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     node_rows = checkpointed(nodes(docs, n, doc_id, text))
     tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
     families = checkpointed(components(tied))
-    labels = components(stored(verified(docs, node_rows, families, n, percent, doc_id, text)))
+    release(docs.sparkSession)
+    labels = checkpointed(components(stored(verified(docs, node_rows, families, n, percent, doc_id, text))))
+    release(docs.sparkSession)
     marked = node_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.dropna(subset=["label"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return marked.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

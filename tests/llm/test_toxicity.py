@@ -58,4 +58,4 @@ def test_edge_rows(spark, edge, empty, edge_pairs):
     assert severity(empty, none).count() == 0 and fit(empty, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")).weights == {}
     assert features_of([]) == {}
     row = rows_of(severity(edge, none, carry=True))[0]["row"]
-    assert set(row) == set(edge.columns)
+    assert set(row["columns"]) == set(edge.columns) - {"text"}
