@@ -30,20 +30,40 @@ from siteprism.llm.vocabulary import SPACE, Vocabulary
 #: Characters indexed at once; units remembered in a task, and their longest length.
 INDEX_CHARS = 1 << 18
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
-PAIRS = 2_000_000
+PAIRS = 1_000_000
+#: Bytes of text encoded at once.
+SLICE = 1 << 21
+_NEVER = float("inf")
 
 
 def merged(text: str, vocabulary: Vocabulary) -> list[str]:
     """Merge neighbours by best score, leftmost first at ties, until no two make a piece."""
+    if len(text) > 40:
+        return _merged_long(text, vocabulary)
+    rank = vocabulary.rank.get
+    parts = list(text)
+    ranks = [rank(a + b, _NEVER) for a, b in zip(text, text[1:])]
+    while ranks and (best := min(ranks)) < _NEVER:
+        i = ranks.index(best)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del ranks[i]
+        if i:
+            ranks[i - 1] = rank(parts[i - 1] + parts[i], _NEVER)
+        if i < len(ranks):
+            ranks[i] = rank(parts[i] + parts[i + 1], _NEVER)
+    return parts
+
+
+def _merged_long(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The same with a queue, for texts of any length."""
     parts: list[str | None] = list(text)
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    id_of, scores = vocabulary.id_of, vocabulary.scores
     heap: list[tuple[float, int, str]] = []
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < len(parts) and (both := parts[i] + parts[j]) in id_of:
-            heapq.heappush(heap, (-scores[id_of[both]], i, both))
+        if j < len(parts) and (both := parts[i] + parts[j]) in vocabulary.rank:
+            heapq.heappush(heap, (vocabulary.rank[both], i, both))
 
     for i in range(len(parts)):
         offer(i)
@@ -112,6 +132,7 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.base = len(vocabulary.pieces)  # a character without a piece counts as base + its code point
         self.start = self.base + 0x110000
+        self.own = list(range(self.base))  # one int object per id, however often it is remembered
         self.pairs = np.zeros(0, np.int64)
         self.answers = np.zeros(0, bool)
         self.unknown = min(vocabulary.scores[i] for i in vocabulary.id_of.values()) - 10.0
@@ -169,18 +190,28 @@ class Encoder:
             live = np.flatnonzero(last[starts[a:b]] >= 0) + a
             live = live[self.follows(last[starts[live]], ids[live])]
             last[ends[live]], begin[ends[live]] = ids[live], starts[live]
-        # ends of units coincide with separators, so no two units share a place
-        out = []
-        begin, last = begin.tolist(), last.tolist()
-        for u, f, n in zip(units, firsts.tolist(), lengths.tolist()):
-            if u.startswith(SPACE * 2):  # runs of space marks have pieces of one score: pairs don't settle them
+        # walk all paths back at once; ends of units lie on separators, so no two units share a place
+        walked, place, who = [], (firsts + lengths)[~spaced], np.flatnonzero(~spaced)
+        while len(place):
+            walked.append((who, begin[place], last[place]))
+            place = begin[place]
+            on = place > firsts[who]
+            place, who = place[on], who[on]
+        steps = [np.concatenate(x) for x in zip(*walked)] if walked else [np.zeros(0, np.int64)] * 3
+        by = np.lexsort((steps[1], steps[0]))
+        ends = np.searchsorted(steps[0][by], np.arange(len(units)), "right").tolist()
+        bare_at = np.flatnonzero(steps[2][by] >= self.base).tolist()
+        path = [self.own[i] if i < self.base else i for i in steps[2][by].tolist()]
+        odd = set(np.searchsorted(ends, bare_at, "right").tolist())
+        out, a = [], 0
+        for k, (u, b) in enumerate(zip(units, ends)):
+            if k in odd:
+                out.append(tuple(i for t in path[a:b] for i in ([t] if t < self.base else self.vocabulary.fallback(chr(t - self.base)))))
+            elif a == b:  # runs of space marks have pieces of one score: pairs don't settle them
                 out.append(tuple(i for p in merged(u, self.vocabulary) for i in self._ids(p, [0, len(p)])))
-                continue
-            path, at = [], f + n
-            while at > f:
-                path.append(last[at])
-                at = begin[at]
-            out.append(tuple(i for t in reversed(path) for i in ([t] if t < self.base else self.vocabulary.fallback(chr(t - self.base)))))
+            else:
+                out.append(tuple(path[a:b]))
+            a = b
         return out
 
     def _ids(self, unit: str, cuts: list[int]) -> list[int]:
@@ -219,32 +250,27 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({u: None for units in split for u in units if u not in known})
-        here: dict[str, tuple[int, ...]] = {}
+        new = sorted(set(itertools.chain.from_iterable(split)).difference(known))
         held: list[str] = []
         size = 0
         for u in [*new, None]:
             if held and (u is None or size + len(u) > INDEX_CHARS):
-                here.update(zip(held, self.learn(held)))
+                known.update(zip(held, self.learn(held)))
                 held, size = [], 0
             if u is not None:
                 held.append(u)
                 size += len(u) + 1
-        known.update((u, ids) for u, ids in here.items() if len(u) <= REMEMBERED_CHARS)
-        get = known.get
-        out = []
-        for units in split:
-            ids: list[int] = []
-            for u in units:
-                ids.extend(get(u) or here[u])
-            out.append(ids)
+        out = [list(itertools.chain.from_iterable(map(known.__getitem__, units))) for units in split]
+        for u in new:
+            if len(u) > REMEMBERED_CHARS:
+                del known[u]
         return out
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, kind: str = "merge", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, ids (array of piece ids); a row per row.
+    """doc_id, ids (array of piece ids), round_trip (whether decoding gives the text again, space marks as spaces); a row per row.
 
-    NULL keeps NULL ids, the empty text has none.  Other columns are left behind.
+    NULL keeps NULL ids, the empty text has none; both come back.  Other columns are left behind.
     """
     rows = texts(docs, doc_id, text)
 
@@ -254,12 +280,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, kind: str = "merge", doc_id:
         def work(part: pa.RecordBatch) -> dict:
             batch = part.column("text").to_pylist()
             found = encoder.encode([t or "" for t in batch])
+            back = [t is None or vocabulary.decode(x) == t.replace(SPACE, " ") for t, x in zip(batch, found)]
             ids = pa.array([None if t is None else x for t, x in zip(batch, found)], pa.list_(pa.int32()))
-            return {"doc_id": part.column("doc_id"), "text": part.column("text"), "ids": ids}
+            return {"doc_id": part.column("doc_id"), "ids": ids, "round_trip": pa.array(back, pa.bool_())}
 
         return work
 
-    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, ids array<int>")
+    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>, round_trip boolean", most=SLICE)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", into: str = "decoded") -> DataFrame:

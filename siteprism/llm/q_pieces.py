@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import table
-from siteprism.llm.pieces import decode, encode
+from siteprism.llm.pieces import encode
 from siteprism.llm.registry import query
-from siteprism.llm.vocabulary import SPACE, read
+from siteprism.llm.vocabulary import read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 @query("op5_pieces")
 def op5_pieces(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip (the ids' text is the document's, space marks being spaces)."""
-    vocabulary = read(model)
-    out = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
-    same = F.col("decoded").eqNullSafe(F.replace("text", F.lit(SPACE), F.lit(" ")))
-    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    """doc_id, n_tokens, ids, round_trip (decoding the ids gives the text again)."""
+    out = encode(table(spark, sf_dir, "documents"), read(model))
+    return out.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "round_trip")

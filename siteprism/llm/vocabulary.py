@@ -32,6 +32,11 @@ class Vocabulary:
     id_of: dict[str, int] = field(compare=False)
     bytes_of: dict[int, int] = field(compare=False)
 
+    @cached_property
+    def rank(self) -> dict[str, float]:
+        """Pieces by their turn in merging: the best score is the lowest rank."""
+        return {p: -self.scores[i] for p, i in self.id_of.items()}
+
     @cached_property
     def byte_ids(self) -> list[int]:
         return sorted(self.bytes_of, key=self.bytes_of.get)
@@ -69,25 +74,17 @@ class Vocabulary:
         """Ids of a character outside the vocabulary."""
         return [self.byte_ids[b] for b in char.encode()] if self.bytes_of else [self.unknown]
 
+    @cached_property
+    def as_bytes(self) -> list[bytes]:
+        """What each id stands for in a text."""
+        shown = {"n": lambda p: p.replace(SPACE, " ").encode(), "u": lambda p: " ⁇ ".encode(), "c": lambda p: b""}
+        return [bytes([self.bytes_of[i]]) if k == "b" else shown[k](p) for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD, control pieces nothing, ids outside ValueError."""
-        out, held = [], bytearray()
-        for i in ids:
-            if not 0 <= i < len(self.pieces):
-                raise ValueError(f"no piece {i}")
-            if i in self.bytes_of:
-                held.append(self.bytes_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if self.kinds[i] == "n":
-                out.append(self.pieces[i])
-            elif self.kinds[i] == "u":
-                out.append(f"{SPACE}⁇{SPACE}")
-        out.append(held.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        if ids and not 0 <= min(ids) <= max(ids) < len(self.pieces):
+            raise ValueError("an id is outside the vocabulary")
+        return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def read(path: str) -> Vocabulary:
