@@ -443,7 +443,7 @@ def q04(spark: SparkSession, sf: str) -> DataFrame:
 @query("q05_join", "SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def q05(spark: SparkSession, sf: str) -> DataFrame:
     o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
-    return o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
+    return o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).select("o_orderkey", "c_name", "n_name")
 
 
 @query("q06_with_children", "SELECT c_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
