@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import table
-from siteprism.llm.licence_texts import TEMPLATES
+from siteprism.llm.licence_texts import MORE, TEMPLATES
 from siteprism.llm.licences import THRESHOLD, scan
 from siteprism.llm.registry import query
 
@@ -48,5 +48,7 @@ SELECT doc_id, licence, score, coalesce(licences, '') AS licences FROM d LEFT JO
 
 @query("op2_licences", SQL)
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), [(n, t) for n, _, t in TEMPLATES])
+    """Whole lines, paragraphs and texts as in the SQL, and notices and texts anywhere, which the SQL doesn't look for."""
+    every = [*TEMPLATES, *MORE]
+    found = scan(table(spark, sf_dir, "documents"), [(n, t) for n, _, t in every], passages=[(n, t) for n, form, t in every if form != "line"])
     return found.withColumn("licences", F.array_join("licences", ","))
