@@ -43,6 +43,7 @@ SLICE = 1 << 20
 #: Bits of a bitmap, and of each of its rows.
 BITS, ROW_BITS = 1 << 26, 1 << 15
 _U = np.uint64
+#: Bits of a hash that hold a place in a part.
 _PLACE = 24
 _rng = np.random.default_rng(20240)
 _CODES = _rng.integers(0, 1 << 64, 256, dtype=_U)
@@ -96,6 +97,21 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
+def anchors(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of every `width` neighbours, by all but the lowest bits; the first one at ties.
+
+    Those bits hold the place while minima are taken, counted from the start of a part that they can number.
+    """
+    out = np.zeros(max(0, len(grams) - width + 1), np.int64)
+    low = _U((1 << _PLACE) - 1)
+    step = (1 << _PLACE) - width + 1
+    for a in range(0, len(out), step):
+        part = grams[a : a + step + width - 1]
+        keyed = (part & ~low) | np.arange(len(part), dtype=_U)
+        out[a : a + step] = (sliding_least(keyed, width) & low).astype(np.int64) + a
+    return out
+
+
 def pieces_of(text: bytes) -> list[tuple[int, bytes]]:
     """(offset, bytes) of parts of a bounded size that together hold every window of the text once."""
     if len(text) <= 2 * SLICE:
@@ -112,8 +128,7 @@ def segments(prints: Fingerprints, data: np.ndarray, ends: np.ndarray) -> dict[s
     if len(data) < LENGTH:
         return empty
     grams = prints.grams(GRAM)
-    keyed = (grams & ~_U((1 << _PLACE) - 1)) | np.arange(len(grams), dtype=_U)
-    anchor = (sliding_least(keyed, LENGTH - GRAM + 1) & _U((1 << _PLACE) - 1)).astype(np.int64)
+    anchor = anchors(grams, LENGTH - GRAM + 1)
     lengths = np.diff(ends, prepend=0)
     windows = np.maximum(lengths - LENGTH + 1, 0)
     valid = np.zeros(len(anchor) + 1, np.int64)

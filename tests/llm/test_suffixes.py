@@ -87,6 +87,20 @@ def test_segments_hold_every_window_once():
     assert all((sliding_least(x, w) == [x[i : i + w].min() for i in range(501 - w)]).all() for w in (1, 2, 3, 161))
 
 
+def test_places_beyond_the_bits_that_hold_them(monkeypatch):
+    rng = np.random.default_rng(11)
+    passage = rng.integers(0, 256, 700).astype(np.uint8)
+    long = rng.integers(0, 256, 5000).astype(np.uint8)
+    long[3900:4600] = passage  # over a limit of 1024 bytes and over its fourfold
+    whole = segments(Fingerprints(long), long, np.array([len(long)]))
+    monkeypatch.setattr(suffixes, "_PLACE", 10)
+    got = segments(Fingerprints(long), long, np.array([len(long)]))
+    assert all((got[k] == whole[k]).all() for k in whole)
+    assert ((got["anchor"] >= got["last"]) & (got["anchor"] + suffixes.GRAM <= got["first"] + LENGTH)).all()
+    alone = segments(Fingerprints(passage), passage, np.array([len(passage)]))
+    assert set(alone["core"].tolist()) <= set(got["core"].tolist())
+
+
 def test_levels_double(spark, tmp_path):
     family = suffixes.IndexFamily(str(tmp_path))
     rows = suffixes.keyed_texts(table(spark, [(1, "q" * 300)]))
