@@ -441,17 +441,19 @@ def audit_hits(
 
 def audit(
     pages: DataFrame, sites: DataFrame, robots: DataFrame | None = None, sitemaps: DataFrame | None = None,
-    only: list[int] | None = None, with_details: bool = True,
+    only: list[int] | None = None, with_details: bool = True, hits: DataFrame | None = None,
 ) -> DataFrame:
     """One row per (site, check): exactly 100 per site, or the `only` ones.
 
     For a full audit hand in materialised page features (see
     :func:`audit_features`).  Its hits are written once as narrow rows and read
     for the counts and for the bounded lists, each with only its own columns.
+    ``hits``: those of :func:`audit_hits`, where a caller has written them.
     """
-    hits = audit_hits(pages, sites, robots, sitemaps, only)
-    if only is None:  # counts and lists would each repeat the link and group joins
-        hits = materialize(hits)
+    if hits is None:
+        hits = audit_hits(pages, sites, robots, sitemaps, only)
+        if only is None:  # counts and lists would each repeat the link and group joins
+            hits = materialize(hits)
     order = [F.col("ord"), F.col("page_seq"), F.col("url")]
     counts = hits.groupBy("site_id", "check_id").agg(
         F.sum("n").alias("affected_count"), F.sum("metric").alias("_sum"), F.count("*").alias("_pages")

@@ -10,20 +10,31 @@ from siteprism.operators import audit as A
 from siteprism.operators import issues as I
 
 
-def page_fixes(issues: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+def page_fixes(issues: DataFrame, sites: DataFrame, hits: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(issue × page rows, per-page severity counts with their order key).
 
     ``issues(site_id, title, severity, fix, affected_urls, details)``; without
     URLs the site root stands in.  ``current``/``target`` come from the detail
-    entry of the same URL.
+    entry of the same URL.  With ``hits`` (of :func:`audit_hits`, for issues
+    with a check_id) every hit page counts; the lists in the issues are only
+    previews of ten URLs.
     """
     j = issues.join(sites.select("site_id", "base_url"), "site_id")
-    urls = F.when(F.coalesce(F.size("affected_urls"), F.lit(0)) > 0, F.col("affected_urls")).otherwise(F.array("base_url"))
-    rows = j.withColumn("url", F.explode(urls))
-    entry = F.try_element_at(F.filter("details", lambda d: F.get_json_object(d, "$.url") == F.col("url")), F.lit(1))
+    if hits is None:
+        urls = F.when(F.coalesce(F.size("affected_urls"), F.lit(0)) > 0, F.col("affected_urls")).otherwise(F.array("base_url"))
+        rows = j.withColumn("url", F.explode(urls))
+        rows = rows.withColumn("entry", F.try_element_at(F.filter("details", lambda d: F.get_json_object(d, "$.url") == F.col("url")), F.lit(1)))
+    else:
+        keys = ["site_id", "check_id"]
+        narrow = j.select(*keys, "base_url", "title", "severity", "fix")
+        placed = hits.filter("url is not null").select(*keys, "url")
+        root = narrow.join(placed.select(*keys).distinct(), keys, "left_anti").withColumn("url", F.col("base_url"))
+        told = hits.select(*keys, "ord", "page_seq", F.posexplode("details").alias("pos", "d")).withColumn("url", F.get_json_object("d", "$.url"))
+        entries = told.filter("url is not null").groupBy(*keys, "url").agg(F.min_by("d", F.struct("ord", "page_seq", "pos")).alias("entry"))
+        rows = narrow.join(placed, keys).unionByName(root).join(entries, [*keys, "url"], "left")
     rows = rows.select(
         "site_id", "url", "title", F.lower(F.coalesce("severity", F.lit("low"))).alias("severity"), "fix",
-        F.get_json_object(entry, "$.current").alias("current"), F.get_json_object(entry, "$.target").alias("target"),
+        F.get_json_object("entry", "$.current").alias("current"), F.get_json_object("entry", "$.target").alias("target"),
     )
     s = F.col("severity")
     counts = rows.groupBy("site_id", "url").agg(*[F.count_if(s == x).alias(x) for x in ("critical", "high", "medium", "low")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteprism.common import materialize
 from siteprism.operators import audit as A
 from siteprism.operators.rules import RULES
 from siteprism.plans import pages as P
@@ -39,6 +40,14 @@ def checks(spark: SparkSession, sf: str, only: list[int] | None = None, with_det
     return A.audit(pages, P.sites(spark, sf), P.robots(spark, sf), P.sitemaps(spark, sf), only, with_details)
 
 
+def checks_and_hits(spark: SparkSession, sf: str, with_details: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The full audit and the uncut hits behind it, written once."""
+    columns = sorted({c for r in RULES for c in READS.get(r[0], [])})
+    facts = (A.audit_features(P.features(spark, sf, columns)), P.sites(spark, sf), P.robots(spark, sf), P.sitemaps(spark, sf))
+    hits = materialize(A.audit_hits(*facts))
+    return A.audit(*facts, with_details=with_details, hits=hits), hits
+
+
 def _check(check_id: int):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return checks(spark, sf, [check_id]).select(

@@ -16,7 +16,7 @@ from siteprism.plans import facts as D
 from siteprism.plans import pages as P
 from siteprism.plans import sql_audit as SA
 from siteprism.plans import sql_pages as S
-from siteprism.plans.q_audit import _ISSUES, checks
+from siteprism.plans.q_audit import _ISSUES, checks, checks_and_hits
 from siteprism.plans.q_keywords import _CL, _clusters
 from siteprism.plans.registry import query, table
 from siteprism.sources import io as IO
@@ -212,6 +212,27 @@ def r01r(spark: SparkSession, sf: str) -> DataFrame:
     return _fixes(spark, sf)[0].select("site_id", "url", "title", "severity", "fix")
 
 
+_ALL_FIXES = f"""{_ISSUES}, fx AS (SELECT i.site_id, h.url, title, severity, fix FROM issues i JOIN hits h ON h.site_id = i.site_id AND h.check_id = i.check_id WHERE h.url IS NOT NULL
+  UNION ALL SELECT i.site_id, base_url, title, severity, fix FROM issues i JOIN site s ON s.site_id = i.site_id WHERE urls = ''),
+fc AS (SELECT site_id, url, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low FROM fx GROUP BY ALL)"""
+
+
+def _all_fixes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, hits = checks_and_hits(spark, sf)
+    return R.page_fixes(A.to_issues(c), P.sites(spark, sf), hits)
+
+
+@query("r01_page_fixes_uncut", f"WITH {_ALL_FIXES} SELECT site_id, url, critical, high, medium, low, critical + high + medium + low AS total, critical * 100 + high * 10 + medium AS weight FROM fc")
+def r01u(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page that a check hits, not only the ten URLs of an issue's preview."""
+    return _all_fixes(spark, sf)[1]
+
+
+@query("r01_page_fix_rows_uncut", f"WITH {_ALL_FIXES} SELECT site_id, url, title, severity, fix FROM fx")
+def r01ru(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_fixes(spark, sf)[0].select("site_id", "url", "title", "severity", "fix")
+
+
 @query(
     "r02_audit_report",
     f"""WITH {_ISSUES} SELECT site_id, severity, title, urls, CASE WHEN affected_count > (CASE WHEN urls = '' THEN 0 ELSE len(string_split(urls, chr(10))) END)

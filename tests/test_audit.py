@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteprism.operators import audit as A
 from siteprism.operators import issues as I
+from siteprism.operators import reports as R
 
 PAGE = """site_id string, page_seq bigint, url string, status_code int, title string, meta_description string, canonical_url string,
 h1 array<string>, h2 array<string>, h3 array<string>, internal_links array<struct<url:string,text:string,nofollow:boolean>>,
@@ -105,3 +106,23 @@ def test_deduction_variants(spark):
 def test_grade(spark):
     df = spark.createDataFrame([(s,) for s in (95, 94, 85, 80, 75, 70, 60, 59)], "s int")
     assert [r[0] for r in df.select(A.grade(F.col("s"))).collect()] == ["A+", "A", "B+", "B", "C+", "C", "D", "F"]
+
+
+def test_page_fixes_hold_every_page(spark):
+    """A check that hits more pages than an issue lists."""
+    names = [c.split()[0] for c in PAGE.replace("\n", " ").split(", ")]
+    rows = [{**DEFAULT, "page_seq": i, "url": f"https://example.com/{i}", "title": "Short", "word_count": 150} for i in range(60)]
+    pages = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], PAGE)
+    sites = spark.createDataFrame([("s", "https://example.com")], "site_id string, base_url string")
+    hits = A.audit_hits(pages, sites)
+    checks = A.audit(pages, sites, hits=hits)
+    fixes, counts = R.page_fixes(A.to_issues(checks), sites, hits)
+    found = {(r["url"], r["title"]): r for r in fixes.collect()}
+    titles = {r["check_id"]: r["check_name"] for r in checks.collect()}
+    for i in range(60):
+        assert ("https://example.com/%d" % i, titles[51]) in found
+        short = found["https://example.com/%d" % i, titles[12]]
+        assert (short["current"], short["target"]) == ("5", "50-60 chars")
+    assert {r["url"] for r in counts.collect()} >= {f"https://example.com/{i}" for i in range(60)}
+    failed_without_urls = {r["check_name"] for r in checks.collect() if not r["passed"] and not r["affected_urls"]}
+    assert {t for u, t in found if u == "https://example.com" and t in failed_without_urls} == failed_without_urls
