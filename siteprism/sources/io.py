@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteprism.common import top_k
+from siteprism.common import materialize, top_k
 from siteprism.functions import text as X
 from siteprism.operators.keywords import API_INTENTS, classify_intent
 
@@ -60,22 +62,29 @@ def robots_facts(robots: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_urls(documents: DataFrame, roots: DataFrame, max_depth: int = 3) -> DataFrame:
-    """Page URLs of sitemap trees, nested documents up to max_depth.
+def sitemap_urls(documents: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Page URLs of sitemap trees, with all nested documents or on request those up to max_depth.
 
     ``documents(url, xml)``, ``roots(site_id, url)`` → ``(site_id, url, depth)``.
-    Each of the fixed four rounds joins the level's documents by URL.
+    Each round joins the level's documents by URL, is written to the shared
+    stage folder and ends the search when it finds no new document.  A site's
+    document counts once, at its least depth, so cycles end too.
     """
     locs = documents.select(
         "url", F.explode(F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<loc>(.*?)</loc>"), 1), X.strip)).alias("loc")
     ).filter("loc <> ''")
-    nested = F.col("loc").endswith(".xml") | F.lower("loc").contains("sitemap")
-    level, out = roots.select("site_id", "url").distinct(), None
-    for depth in range(max_depth + 1):
-        found = level.join(locs, "url").select("site_id", "loc", nested.alias("nested"))
+    locs = materialize(locs.withColumn("nested", F.col("loc").endswith(".xml") | F.lower("loc").contains("sitemap")))
+    level, out = materialize(roots.select("site_id", "url").distinct()), None
+    visited = level
+    for depth in itertools.count() if max_depth is None else range(max_depth + 1):
+        found = materialize(level.join(locs, "url").select("site_id", "loc", "nested"))
         pages = found.filter(~F.col("nested")).select("site_id", F.col("loc").alias("url"), F.lit(depth).alias("depth"))
         out = pages if out is None else out.unionByName(pages)
-        level = found.filter("nested").select("site_id", F.col("loc").alias("url")).distinct()
+        new = found.filter("nested").select("site_id", F.col("loc").alias("url")).distinct()
+        level = materialize(new.join(visited, ["site_id", "url"], "left_anti"))
+        if level.isEmpty():
+            break
+        visited = visited.unionByName(level)
     return out
 
 

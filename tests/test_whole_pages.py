@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siteprism import common
 from siteprism.functions import html as H
 from siteprism.operators import duplicates as N
+from siteprism.sources.io import sitemap_urls
 
 
 @pytest.mark.parametrize(
@@ -75,3 +76,15 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch, spark):
 
     with pytest.raises(ValueError):
         common.stage_dir(Session())
+
+
+def test_sitemaps_of_six_levels_and_cycles(spark):
+    loc = lambda *urls: "".join(f"<url><loc>{u}</loc></url>" for u in urls)
+    docs = [(f"https://x/{i}.xml", loc(f"https://x/{i + 1}.xml", f"https://x/p{i}", "https://x/0.xml")) for i in range(6)]
+    documents = spark.createDataFrame([*docs, ("https://x/6.xml", loc("https://x/p6", "https://x/3.xml"))], "url string, xml string")
+    roots = spark.createDataFrame([("s", "https://x/0.xml"), ("t", "https://x/5.xml")], "site_id string, url string")
+    found = lambda **kw: sorted(tuple(r) for r in sitemap_urls(documents, roots, **kw).collect())
+    expected = [("s", f"https://x/p{i}", i) for i in range(7)]
+    expected += [("t", f"https://x/p{i}", {5: 0, 6: 1, 0: 1, 3: 2, 1: 2, 4: 3, 2: 3}[i]) for i in range(7)]
+    assert found() == sorted(expected)
+    assert found(max_depth=1) == sorted(x for x in expected if x[2] <= 1)
