@@ -567,6 +567,35 @@ def io07(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{path}/seo_audit_checks").select("site_id", "check_id", "passed", F.array_join("affected_urls", "\n").alias("urls"))
 
 
+@query(
+    "io07_write_audit_uncut",
+    f"""WITH {_ISSUES} SELECT 'run' AS part, site_id, NULL::INT AS check_id, NULL AS url, {SA.SCORE}::BIGINT AS n FROM {SA.WEIGHTED} GROUP BY site_id
+    UNION ALL SELECT 'check', site_id, check_id, NULL, passed::BIGINT FROM checks
+    UNION ALL SELECT 'issue', site_id, check_id, NULL, affected_count FROM issues
+    UNION ALL SELECT 'hit', site_id, check_id, url, n::BIGINT FROM hits""",
+)
+def io07u(spark: SparkSession, sf: str) -> DataFrame:
+    """The tables of all 100 checks and of their uncut hits, written by tenant and all read back."""
+    c, hits = checks_and_hits(spark, sf, with_details=True)
+    c = materialize(c)
+    owned = lambda df: df.withColumn("tenant_id", F.lit("t1"))
+    path = _folder(spark, "audit")
+    IO.write_audit(path, owned(A.audit_score(c)), owned(c), owned(A.to_issues(c)), hits=owned(hits))
+    none = lambda kind: F.lit(None).cast(kind)
+    parts = [
+        ("run", "audit_runs", none("int"), none("string"), "score"), ("check", "seo_audit_checks", "check_id", none("string"), "passed"),
+        ("issue", "seo_issues", "check_id", none("string"), "affected_count"), ("hit", "seo_audit_hits", "check_id", "url", "n"),
+    ]
+    column = lambda x: F.col(x) if isinstance(x, str) else x
+    read = [
+        spark.read.parquet(f"{path}/{name}").select(
+            F.lit(part).alias("part"), "site_id", column(check).alias("check_id"), column(url).alias("url"), F.col(n).cast("bigint").alias("n")
+        )
+        for part, name, check, url, n in parts
+    ]
+    return read[0].unionByName(read[1]).unionByName(read[2]).unionByName(read[3])
+
+
 @query("io08_issue_export", f"WITH {D.ISSUES} SELECT category AS \"Category\", severity AS \"Severity\", title AS \"Title\", type AS \"Description\", url AS \"Affected URL\", status AS \"Recommendation\" FROM iss")
 def io08(spark: SparkSession, sf: str) -> DataFrame:
     """Issue export written as CSV and read back."""

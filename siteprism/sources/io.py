@@ -138,15 +138,19 @@ def keyword_rows(raw: DataFrame) -> DataFrame:
 # -------------------------------------------------------------- IO-7 … IO-10 sinks
 
 
-def write_audit(path: str, runs: DataFrame, checks: DataFrame, issues: DataFrame, by: tuple[str, ...] = ("tenant_id",)) -> None:
-    """Audit run, check and issue tables laid out by tenant.
+def write_audit(
+    path: str, runs: DataFrame, checks: DataFrame, issues: DataFrame, by: tuple[str, ...] = ("tenant_id",), hits: DataFrame | None = None
+) -> None:
+    """Audit run, check and issue tables laid out by tenant, and with ``hits`` the uncut table of all hits.
 
     Rows are clustered by site within files; partitioning by site as well
     would create one folder per site, so add it only for few sites.  Stored
-    check rows keep 20 URLs.
+    check rows keep 20 URLs as a preview; every URL and detail is in
+    ``seo_audit_hits``.
     """
     stored = checks.withColumn("affected_urls", F.slice("affected_urls", 1, 20)).withColumn("passed", F.col("passed").cast("int"))
-    for name, df in (("audit_runs", runs), ("seo_audit_checks", stored), ("seo_issues", issues)):
+    tables = [("audit_runs", runs), ("seo_audit_checks", stored), ("seo_issues", issues)]
+    for name, df in tables + ([] if hits is None else [("seo_audit_hits", hits)]):
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteprism.operators import audit as A
 from siteprism.operators import issues as I
 from siteprism.operators import reports as R
+from siteprism.sources.io import write_audit
 
 PAGE = """site_id string, page_seq bigint, url string, status_code int, title string, meta_description string, canonical_url string,
 h1 array<string>, h2 array<string>, h3 array<string>, internal_links array<struct<url:string,text:string,nofollow:boolean>>,
@@ -126,3 +127,16 @@ def test_page_fixes_hold_every_page(spark):
     assert {r["url"] for r in counts.collect()} >= {f"https://example.com/{i}" for i in range(60)}
     failed_without_urls = {r["check_name"] for r in checks.collect() if not r["passed"] and not r["affected_urls"]}
     assert {t for u, t in found if u == "https://example.com" and t in failed_without_urls} == failed_without_urls
+
+
+def test_stored_audit_keeps_every_hit(spark, tmp_path):
+    """A check that hits more pages than a stored check row lists."""
+    names = [c.split()[0] for c in PAGE.replace("\n", " ").split(", ")]
+    rows = [{**DEFAULT, "page_seq": i, "url": f"https://example.com/{i}", "word_count": 150} for i in range(60)]
+    pages = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], PAGE)
+    sites = spark.createDataFrame([("s", "https://example.com")], "site_id string, base_url string")
+    hits = A.audit_hits(pages, sites, only=[51]).withColumn("tenant_id", F.lit("t"))
+    checks = A.audit(pages, sites, only=[51], hits=hits).withColumn("tenant_id", F.lit("t"))
+    write_audit(str(tmp_path), A.audit_score(checks).withColumn("tenant_id", F.lit("t")), checks, A.to_issues(checks).withColumn("tenant_id", F.lit("t")), hits=hits)
+    stored = spark.read.parquet(f"{tmp_path}/seo_audit_hits")
+    assert {r["url"] for r in stored.collect()} == {f"https://example.com/{i}" for i in range(60)}
