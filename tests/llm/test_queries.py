@@ -18,10 +18,10 @@ def test_query(spark, con, name):
     fn = catalog.QUERIES[name]
     if name in catalog.ORACLES:
         message, n = compare(spark, con, fn, catalog.ORACLES[name], SF)
-        assert not message and n == 200
+        assert not message and n == (500 if name.startswith(("op11", "op13")) else 200)
     else:
         assert fn(spark, SF).count() == 200
 
 
 def test_one_query_for_each_operator():
-    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in catalog.QUERIES} == {f"op{i}" for i in range(1, 14)}
