@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +27,10 @@ PLAN_FACTOR = {"pro": 4, "enterprise": 20}
 PLAN_DEFAULT = {"pro": 120, "enterprise": 600}
 DEFAULT_PER_MINUTE, NO_TENANT_PER_MINUTE = 60, 30
 
+#: Columns of a shard's table of fresh starts; a time before all others.
+_TABLE = ["starts", "kinds", "counts", "lasts"]
+_NEVER = -(1 << 62)
+
 
 def plan_table(spark: SparkSession) -> DataFrame:
     cols = ", ".join(f"{c} int" for c in USAGE_TYPES)
@@ -45,6 +49,79 @@ def effective_limit(path: Column, plan: Column) -> Column:
     return F.when(plan.isNull(), F.lit(NO_TENANT_PER_MINUTE)).otherwise(F.coalesce(custom * factor, default))
 
 
+def _accepted_from(times: np.ndarray, window: int, limit: int, history: np.ndarray) -> np.ndarray:
+    """Places of accepted times (ascending), given at most `limit` times accepted before.
+
+    The next accepted time comes after the last one and a window or more after the one `limit` acceptances back, so
+    `limit` of them follow at once from the `limit` before.
+    """
+    n, turns = len(times), np.arange(limit)
+    free = np.append(np.searchsorted(times, times + window), n)  # the first place that no longer sees this one
+    bound = np.zeros(limit, np.int64)
+    bound[limit - len(history) :] = np.searchsorted(times, history + window)
+    found, last = [], -1
+    while last < n - 1:
+        bound[0] = max(bound[0], last + 1)
+        places = np.maximum.accumulate(bound - turns) + turns
+        found.append(places[places < n])
+        last = int(places[-1])
+        bound = free[np.minimum(places, n)].copy()
+    return np.concatenate([*found, np.zeros(0, np.int64)])
+
+
+def _fresh_starts(times: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a shard makes of every state that may be carried in.
+
+    A state counts through at most `limit` + 1 starts without a history (see `sliding_rate_limit`), all within a window
+    of the shard's first time.  Returns the starts' times, each one's kind, and per kind the number of accepted times and
+    the last `limit` of them (newest first, _NEVER where there are fewer).
+    """
+    n, turns = len(times), np.arange(limit)
+    free = np.append(np.searchsorted(times, times + window), n)
+    starts = np.arange(min(n, free[0] + 1))
+    kinds, counts, lasts, first = [], [], [], 0
+    step = max(1, (1 << 20) // limit)
+    for a in range(0, len(starts), step):
+        own = starts[a : a + step]
+        kind, places = np.arange(len(own)), own[:, None] + turns
+        before = np.full_like(places, -1)
+        blocks = 0
+        while (places[:, -1] < n).any():
+            on = places[:, -1] < n
+            later = free[np.minimum(places[on], n)]
+            later[:, 0] = np.maximum(later[:, 0], places[on, -1] + 1)
+            later = np.maximum.accumulate(later - turns, 1) + turns
+            before[on], places[on] = places[on], later
+            blocks = blocks + on.astype(np.int64)  # a number per kind
+            # states never cross, so equal ones are neighbours: they stay equal
+            same = (places[1:] == places[:-1]).all(1) & (before[1:] == before[:-1]).all(1) & (np.diff(blocks) == 0)
+            if same.any():
+                to = np.concatenate([[0], np.cumsum(~same)])
+                kind, keep = to[kind], np.concatenate([[True], ~same])
+                places, before, blocks = places[keep], before[keep], blocks[keep]
+        held = (places < n).sum(1)
+        both = np.concatenate([before, places], 1)
+        at = held[:, None] + limit - 1 - turns  # the newest accepted, and back
+        taken = np.take_along_axis(both, at, 1)
+        kinds.append(kind + first)
+        counts.append(held + limit * blocks)
+        lasts.append(np.where(taken >= 0, times[np.maximum(taken, 0)], _NEVER))
+        first += len(places)
+    return times[starts], np.concatenate(kinds), np.concatenate(counts), np.concatenate(lasts)
+
+
+def _carried_on(carried: np.ndarray, window: int, limit: int, starts: np.ndarray, kinds: np.ndarray, counts: np.ndarray, lasts: np.ndarray) -> np.ndarray:
+    """The last accepted times (newest first) behind a shard, from those before it and its table of fresh starts."""
+    at = np.concatenate([[0], np.searchsorted(starts, carried + window)])
+    base = np.concatenate([[0], limit - 1 - np.arange(len(carried))])
+    inside = at < len(starts)
+    kind = kinds[np.minimum(at, len(starts) - 1)]
+    total = base + np.where(inside, counts[kind], 0)
+    back = (total - total.min())[:, None] + np.arange(limit)
+    times = np.where(inside[:, None] & (back < limit), np.take_along_axis(lasts[kind], np.minimum(back, limit - 1), 1), _NEVER).max(0)
+    return times[times > _NEVER]
+
+
 def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_seconds: int = 60, bucket: int = 20) -> DataFrame:
     """Accept or reject each request by the accepted ones in the last window.
 
@@ -55,13 +132,24 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
     A rejected request does not count, so decisions feed back.  They only do
     where raw traffic exceeds the limit:
 
-    * requests are cut into (key, time bucket) groups with a halo of three
-      windows before and one after, which splits a huge key over many tasks;
+    * requests are cut into (key, time bucket) shards of `bucket` windows with a
+      halo of three windows before and one after;
     * if a window holds no more than `limit` raw requests, the request is
-      accepted for certain;
-    * only requests within one window of an overloaded one go on.  They form
-      runs separated by a full window, each streamed in time order through a
-      queue of at most `limit` accepted times.
+      accepted for certain; only requests within one window of an overloaded one
+      go on.
+
+    A key may be overloaded without a pause, so its shards are decided in
+    parallel too.  With A(i) accepted up to request i, A(i) is the smaller of
+    A(i - 1) + 1 and limit + A(last request a window before i): sums and minima
+    only.  So a state that is carried into a shard (the last `limit` accepted
+    times) acts there as the minimum over a few fresh starts, each shifted by a
+    constant: one at the shard's first request, and one where each of those
+    times leaves the window.
+
+    1. every shard works out all fresh starts of its first window (equal ones
+       merge on the way) and keeps how many they accept and the last few;
+    2. one pass per key over these tables, a row per shard, carries the state on;
+    3. every shard decides its requests from its own state.
     """
     w = window_seconds * 1_000_000
     size = w * bucket
@@ -80,42 +168,58 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
     near = counted.withColumn("active", F.max(busy).over(order.rangeBetween(-(w - 1), w - 1)))
     # Without an overloaded request in the window everything in it was accepted.
     settled = F.max(busy).over(order.rangeBetween(-(w - 1), 0)) == 0
-    near = near.withColumn("settled", settled)
-    lone = F.coalesce(F.max("active").over(order.rangeBetween(-(w - 1), -1)), F.lit(0)) == 0
-    # Written once: the two kinds of rows and the run numbers all read it.
-    core = materialize(
-        near.withColumn("start", ((F.col("active") == 1) & lone).cast("int")).filter(b == own)
-    )
+    # Written once: the two kinds of rows and both passes over shards read it.
+    core = materialize(near.withColumn("settled", settled).filter(b == own))
 
     calm = core.filter("active = 0").select(
         *keys, "us", "requests", F.lit(True).alias("allowed"), (F.col("raw") - 1).cast("int").alias("current"),
         F.lit(None).cast("int").alias("retry_after"),
     )
-    runs = running_total(core.filter("active = 1"), keys, F.col("_bucket"), [t], F.col("start"), "run")
-    ordered = runs.select(*keys, "run", "us", "requests", "settled", "raw").repartition(*keys, "run").sortWithinPartitions(*keys, "run", "us")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, accepted = None, deque()
-        for pdf in batches:
-            names = list(zip(*[pdf[k] for k in keys], pdf["run"]))
-            allowed, current, retry = [], [], []
-            for key, us, settled, raw in zip(names, pdf["us"].tolist(), pdf["settled"], pdf["raw"].tolist()):
+    open_ = core.filter("active = 1").select(*keys, "_bucket", "us", "requests", "settled", "raw")
+    shard = [*keys, "_bucket"]
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in open_.select(*shard).schema)
+
+    def summarise(rows: pa.Table) -> pa.Table:
+        parts = _fresh_starts(np.sort(rows.column("us").to_numpy()), w, limit)
+        head = {c: rows.column(c).slice(0, 1).combine_chunks() for c in shard}
+        return pa.table(head | {c: pa.array([x.ravel()], pa.list_(pa.int64())) for c, x in zip(_TABLE, parts)})
+
+    tables = open_.select(*shard, "us").groupBy(*shard).applyInArrow(summarise, f"{named}, " + ", ".join(f"{c} array<bigint>" for c in _TABLE))
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, np.zeros(0, np.int64)
+        for batch in batches:
+            before = []
+            for key, *row in zip(zip(*[batch.column(k).to_pylist() for k in keys]), *[batch.column(c) for c in _TABLE]):
                 if key != now:
-                    now, accepted = key, deque()
-                while accepted and accepted[0] <= us - w:
-                    accepted.popleft()
-                n = raw - 1 if settled else len(accepted)
-                allowed.append(n < limit)
-                current.append(n)
-                retry.append(None if n < limit else (accepted[0] + w - us) // 1_000_000)
-                if n < limit:
-                    accepted.append(us)
-            yield pdf.drop(columns=["run", "settled", "raw"]).assign(allowed=allowed, current=current, retry_after=pd.array(retry, dtype="Int32"))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
-    decided = ordered.mapInPandas(decide, f"{fields}, allowed boolean, current int, retry_after int")
+                    now, state = key, np.zeros(0, np.int64)
+                before.append(state.tolist())
+                starts, kinds, counts, lasts = (x.values.to_numpy() for x in row)
+                state = _carried_on(state, w, limit, starts, kinds, counts, lasts.reshape(-1, limit))
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in shard} | {"state": pa.array(before, pa.list_(pa.int64()))})
+
+    states = tables.repartition(*keys).sortWithinPartitions(*shard).mapInArrow(carry, f"{named}, state array<bigint>")
+
+    def decide(rows: pa.Table, state: pa.Table) -> pa.Table:
+        rows = rows.sort_by("us")
+        us = rows.column("us").to_numpy()
+        history = state.column("state")[0].values.to_numpy()[::-1]
+        places = _accepted_from(us, w, limit, history)
+        allowed = np.zeros(len(us), bool)
+        allowed[places] = True
+        taken = np.concatenate([history, us[places]])
+        oldest = np.searchsorted(taken, us - w, "right")
+        current = np.searchsorted(taken, us) - oldest
+        settled = rows.column("settled").to_numpy(zero_copy_only=False)
+        current = np.where(settled, rows.column("raw").to_numpy() - 1, current)
+        wait = (taken[np.minimum(oldest, len(taken) - 1)] + w - us) // 1_000_000
+        out = {c: rows.column(c) for c in (*keys, "us", "requests")}
+        return pa.table(out | {"allowed": allowed, "current": pa.array(current, pa.int32()), "retry_after": pa.array(wait, pa.int32(), mask=allowed)})
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calm.schema)
+    decided = open_.groupBy(*shard).cogroup(states.groupBy(*shard)).applyInArrow(decide, shape)
     remaining = F.when(F.col("allowed"), F.greatest(F.lit(0), F.lit(limit) - F.col("current") - 1)).otherwise(F.lit(0))
-    return calm.unionByName(decided.select(calm.columns)).withColumn("remaining", remaining).withColumn("ts", F.timestamp_micros("us"))
+    return calm.unionByName(decided).withColumn("remaining", remaining).withColumn("ts", F.timestamp_micros("us"))
 
 
 def rolling_counts(requests: DataFrame, keys: list[str], window_seconds: int = 60) -> DataFrame:
@@ -150,41 +254,48 @@ def quota_check(usage: DataFrame, quota: DataFrame) -> DataFrame:
     """Accept usage in time order while the month's total stays within the quota.
 
     ``usage(tenant_id, usage_type, ts, event_id, amount)``; quota 0 is
-    unlimited and refused usage does not count.  A two-level running total
-    settles almost everything: inside the quota accepted; larger than the room
-    left at that point refused, since usage never shrinks.  Only the rest is
-    streamed per (tenant, type, month) with the running sum as its state.
+    unlimited and refused usage does not count.  Usage never shrinks, so the
+    room left at some point only gets smaller, and rounds settle it for all
+    (tenant, type, month) groups at once:
+
+    * an amount of more than half the room is large, the others are small; a
+      running total in two levels adds up the small ones only;
+    * a round ends for a group with its first large amount that still fits
+      (accepted) or its first small one that doesn't (refused): before it, small
+      ones are accepted and large ones refused;
+    * what comes later and exceeds the new room is refused, the rest stays open.
+
+    A large amount taken, or small ones that fill the room by more than half,
+    leave less than half of it: rounds grow with the logarithm of the quota.
     """
     keys = ["tenant_id", "usage_type", "month"]
     u = usage.withColumn("month", F.trunc(F.col("ts").cast("date"), "month")).join(
         quota_long(quota), ["tenant_id", "usage_type"], "left"
     )
-    order = [F.col("ts"), F.col("event_id")]
-    total = running_total(u, keys, F.date_trunc("hour", "ts"), order, F.col("amount"), "total")
-    limit = F.coalesce("quota", F.lit(0))
-    inside = (limit == 0) | (F.col("total") <= limit)
-    safe = total.filter((limit > 0) & inside).groupBy(*keys).agg(F.max("total").alias("_floor"))
-    j = total.join(safe, keys, "left").withColumn("_floor", F.coalesce("_floor", F.lit(0)))
-    settled = F.when(inside, F.lit(True)).when(F.col("amount") > limit - F.col("_floor"), F.lit(False))
-    j = j.withColumn("allowed", settled)
     cols = [*usage.columns, "month", "quota"]
-    sure = j.filter("allowed is not null").select(*cols, "allowed")
-    open_ = j.filter("allowed is null").select(*cols, "_floor").repartition(*keys).sortWithinPartitions(*keys, "ts", "event_id")
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used = None, 0
-        for pdf in batches:
-            out = []
-            for *key, amount, quota_, floor in zip(*[pdf[k] for k in keys], pdf["amount"], pdf["quota"], pdf["_floor"]):
-                if key != now:
-                    now, used = key, floor
-                fits = used + amount <= quota_
-                used += amount if fits else 0
-                out.append(fits)
-            yield pdf.drop(columns="_floor").assign(allowed=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sure.schema)
-    return sure.unionByName(open_.mapInPandas(decide, fields))
+    limited = F.coalesce(F.col("quota"), F.lit(0)) > 0
+    done = u.filter(~limited).select(*cols, F.lit(True).alias("allowed"))
+    open_ = u.filter(limited).select(*cols, F.col("quota").cast("bigint").alias("_room"))
+    order = [F.col("ts"), F.col("event_id")]
+    amount, room, before = F.col("amount"), F.col("_room"), F.col("_before")
+    while True:
+        small = F.coalesce(amount * 2 <= room, F.lit(True))
+        added = F.when(small, F.coalesce(amount, F.lit(0))).otherwise(F.lit(0))
+        total = running_total(open_, keys, F.date_trunc("hour", "ts"), order, added, "_total")
+        rows = total.withColumns({"_small": small, "_before": F.col("_total") - added})
+        rows = materialize(rows.withColumn("_ends", F.when(small, F.col("_total") > room).otherwise(amount <= room - before)))
+        first = rows.filter("_ends").groupBy(*keys).agg(
+            F.min(F.struct(*order, F.when(F.col("_small"), room - before).otherwise(room - before - amount).alias("left"))).alias("_end")
+        )
+        j = rows.join(first, keys, "left")
+        at, end = F.struct(*order), F.struct("_end.ts", "_end.event_id")
+        earlier = F.col("_end").isNull() | (at < end)
+        allowed = F.when(earlier, F.col("_small")).when(at == end, ~F.col("_small")).when(amount > F.col("_end.left"), F.lit(False))
+        judged = materialize(j.withColumns({"allowed": allowed, "_room": F.coalesce("_end.left", "_room")}).select(*cols, "_room", "allowed"))
+        done = done.unionByName(judged.filter("allowed IS NOT NULL").drop("_room"))
+        open_ = judged.filter("allowed IS NULL").drop("allowed")
+        if open_.isEmpty():
+            return done
 
 
 def usage_summary(monthly: DataFrame, quota: DataFrame) -> DataFrame:

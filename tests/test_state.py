@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,83 @@ def test_quota_amounts(spark):
         assert got[i] == ok
 
 
+def test_limit_of_a_key_without_a_pause(spark):
+    """One key holds nine tenths of all rows and never drops below the limit; no task gets more than a few shards of it."""
+    rnd = random.Random(9)
+    times = sorted(rnd.sample(range(0, 2400 * 10**6, 1000), 18_000))
+    rows = [("hot", T0 + dt.timedelta(microseconds=t)) for t in times] + [(f"k{i}", T0 + dt.timedelta(seconds=j)) for i in range(20) for j in range(100)]
+    df = spark.createDataFrame(rows, "tenant string, ts timestamp")
+    out = L.sliding_rate_limit(df, ["tenant"], 7, window_seconds=20, bucket=2)
+    got = {(r.tenant, r.ts.replace(tzinfo=None)): (r.allowed, r.current, r.retry_after) for r in out.collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", "k3"):
+        for t, ok, n in naive_limit([t for k, t in rows if k == key], 7, 20):
+            assert got[key, t][:2] == (ok, n) and (got[key, t][2] is None) == ok
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan and "FlatMapCoGroupsInArrow" in plan
+    shards = df.groupBy("tenant", F.floor(F.unix_micros("ts") / 40_000_000).alias("shard")).count()
+    assert shards.agg(F.max("count")).first()[0] < 400  # of 18,000
+
+
+@pytest.mark.parametrize("limit", [1, 4])
+def test_state_is_carried_over_any_shards(limit):
+    """Limits as sums and minima: shards decided apart and joined by tables of fresh starts."""
+    rng = np.random.default_rng(limit)
+    for _ in range(300):
+        w, step = int(rng.integers(5, 60)), int(rng.integers(1, 4))
+        times = np.unique(rng.integers(0, w * 30, rng.integers(1, 200)))
+        if rng.random() < 0.5:
+            times = np.union1d(times, np.arange(0, w * 30, step))
+        kept, want = [], []
+        for t in times.tolist():
+            kept = [k for k in kept if k > t - w]
+            want.append(len(kept) < limit)
+            kept += [t] if want[-1] else []
+        state, got = np.zeros(0, np.int64), np.zeros(len(times), bool)
+        shard = times // (w * int(rng.integers(1, 4)))
+        for b in np.unique(shard):
+            own = np.flatnonzero(shard == b)
+            got[own[L._accepted_from(times[own], w, limit, state[::-1])]] = True
+            state = L._carried_on(state, w, limit, *L._fresh_starts(times[own], w, limit))
+        assert got.tolist() == want
+
+
+def test_cooldown_of_one_rule(spark):
+    rnd = random.Random(4)
+    times = sorted({T0 + dt.timedelta(seconds=rnd.randrange(40_000)) for _ in range(3000)})
+    got = {r.ts.replace(tzinfo=None): r.fires for r in M.cooldown_sequence(spark.createDataFrame([(1, t) for t in times], "rule_id int, ts timestamp"), 5).collect()}
+    last = None
+    for t in times:
+        fires = last is None or t >= last + dt.timedelta(minutes=5)
+        last = t if fires else last
+        assert got[t] == fires
+
+
+def test_quota_of_a_hot_tenant(spark, monkeypatch):
+    """Amounts of all sizes in an order that refuses many; rounds stay few, whatever the number of rows."""
+    rnd = random.Random(6)
+    rows, quota = [], 5000
+    for i in range(3000):
+        amount = rnd.choice([1, 2, 3, 50, 700, 2400, 2600, 4999, 6000, 0])
+        rows.append(("hot", "audits", T0 + dt.timedelta(minutes=rnd.randrange(20_000)), i, amount))
+    # small and nearly full amounts in turn: each refusal alone would be a round of its own
+    rows += [("turns", "audits", T0 + dt.timedelta(seconds=i), 10_000 + i, 1 if i % 2 == 0 else quota - i // 2) for i in range(400)]
+    rows += [("none", "audits", T0, 20_000, 10**6), ("nulls", "audits", T0, 20_001, 1)]
+    usage = spark.createDataFrame(rows, "tenant_id string, usage_type string, ts timestamp, event_id int, amount int")
+    quotas = spark.createDataFrame([(t, 0, 0, 0, q, 0, 0) for t, q in (("hot", quota), ("turns", quota), ("none", 0))], "tenant_id string, " + ", ".join(f"{c} int" for c in L.USAGE_TYPES))
+    rounds = []
+    real = L.running_total
+    monkeypatch.setattr(L, "running_total", lambda *a: rounds.append(1) or real(*a))
+    got = {r.event_id: r.allowed for r in L.quota_check(usage, quotas).collect()}
+    assert len(got) == len(rows) and got[20_000] and got[20_001]
+    for tenant in ("hot", "turns"):
+        used = 0
+        for *_, i, amount in sorted([r for r in rows if r[0] == tenant], key=lambda r: r[2:4]):
+            assert got[i] == (used + amount <= quota), (tenant, i)
+            used += amount if got[i] else 0
+    assert len(rounds) <= 13  # 2 ** 13 > 5000
+
+
 def test_uptime_edges(spark):
     sites = spark.createDataFrame([("a",), ("none",)], "site_id string")
     checks = spark.createDataFrame([("a", i, T0 + dt.timedelta(hours=i), i > 2) for i in range(4)], "site_id string, check_id int, checked_at timestamp, is_up boolean")
