@@ -105,57 +105,76 @@ def band_paths(base: DataFrame, parents: DataFrame, level: int, fanout: int, ban
     own = F.col("a.low")
 
     def joined(side) -> Column:
-        return F.array_join(F.transform(F.filter("p.children", side), lambda x: x["digest"]), "")
+        return F.unhex(F.array_join(F.transform(F.filter("p.children", side), lambda x: x["digest"]), ""))
 
     step = F.struct(F.col("a.level").alias("level"), joined(lambda x: x["high"] <= own).alias("before"), joined(lambda x: x["low"] > own).alias("after"))
     return met.select("a.tree", "a.low", step.alias("step")).groupBy("tree", "low").agg(F.array_sort(F.collect_list("step")).alias("path"))
 
 
+def _no_path() -> Column:
+    return F.array().cast("array<struct<level: int, before: binary, after: binary>>")
+
+
 @dataclass
 class Forest:
-    """nodes: tree, n, level, low, high, digest, children (empty at leaves); roots: tree, digest; paths: tree, low, path (from the leaf up)."""
+    """nodes: tree, n, level, low, high, digest, children (empty at leaves); roots: tree, digest.
+
+    steps: per band its first level and (tree, low, path) of the nodes there.
+    """
 
     nodes: DataFrame
     roots: DataFrame
-    paths: DataFrame
-
-
-def forest(leaves: DataFrame, fanout: int = FANOUT, band: int = BAND) -> Forest:
+    steps: list[tuple[int, DataFrame]]
+    fanout: int
+
+    def with_paths(self, leaves: DataFrame) -> DataFrame:
+        """Adds path (from the leaf up) to rows with tree and low, which are moved for their first band and together with that path."""
+        path, above = _no_path(), None
+        for level, found in reversed(self.steps[1:]):  # a node stands for all leaves below, so these tables are small
+            above = found if above is None else self._continued(found, above, level)
+        if self.steps:
+            leaves = leaves.join(self.steps[0][1], ["tree", "low"], "left")
+            path = F.coalesce("path", _no_path())
+        leaves = leaves.withColumn("path", path)
+        return leaves if above is None else self._continued(leaves, stored(above), 0)
+
+    def _continued(self, rows: DataFrame, above: DataFrame, level: int) -> DataFrame:
+        size = self.fanout ** (level + BAND)
+        up = above.select("tree", F.col("low").alias("up"), F.col("path").alias("rest"))
+        joined = rows.withColumn("up", F.floor(F.col("low") / size).cast("long") * size).join(up, ["tree", "up"], "left")
+        return joined.withColumn("path", F.concat("path", F.coalesce("rest", _no_path()))).drop("up", "rest")
+
+
+def forest(leaves: DataFrame, fanout: int = FANOUT) -> Forest:
     """Trees over ranked leaves (tree, n, low, high, digest).  A tree of one leaf has it as its root and an empty path."""
     kinds = "array<struct<low: bigint, high: bigint, digest: string>>"
     base = leaves.select("tree", "n", "low", "high", "digest")
     nodes = base.select("tree", "n", F.lit(0).alias("level"), "low", "high", "digest", F.array().cast(kinds).alias("children"))
-    bands, level = [], 0
+    steps, level = [], 0
     most = base.agg(F.max("n").alias("n")).first()["n"] or 0
     while fanout**level < most:
         live = base.filter(F.col("n") > fanout**level)
-        parents = stored(band_of_parents(live, level, fanout, band))
-        bands.append((level, stored(band_paths(live, parents, level, fanout, band))))
+        parents = stored(band_of_parents(live, level, fanout, BAND))
+        steps.append((level, stored(band_paths(live, parents, level, fanout, BAND))))
         nodes = nodes.unionByName(parents)
-        level += band
+        level += BAND
         base = parents.filter(F.col("level") == level).drop("level", "children")
-    roots = nodes.filter("low = 0 and high = n").withColumn("turn", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("level"))))
-    paths = None
-    for level, found in reversed(bands):
-        if paths is None:
-            paths = found
-            continue
-        own = found.withColumn("up", F.floor(F.col("low") / fanout ** (level + band)).cast("long") * fanout ** (level + band))
-        above = paths.select("tree", F.col("low").alias("up"), F.col("path").alias("rest"))
-        paths = own.join(above, ["tree", "up"], "left").select("tree", "low", F.concat("path", F.coalesce("rest", F.array().cast("array<struct<level: int, before: string, after: string>>"))).alias("path"))
-    if paths is None:
-        paths = leaves.select("tree", "low", F.array().cast("array<struct<level: int, before: string, after: string>>").alias("path")).limit(0)
-    return Forest(nodes, roots.filter("turn = 1").select("tree", "digest"), paths)
+    tops = nodes.filter("low = 0 and high = n").withColumn("turn", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("level"))))
+    return Forest(nodes, tops.filter("turn = 1").select("tree", "digest"), steps, fanout)
+
+
+def _hex(digests: Column) -> Column:
+    return F.lower(F.hex(digests))
 
 
 def folded(leaf: Column, path: Column) -> Column:
     """The root that a leaf and the siblings on its path give."""
-    return F.aggregate(path, leaf, lambda d, s: F.sha2(F.concat(s["before"], d, s["after"]), 256))
+    return F.aggregate(path, leaf, lambda d, s: F.sha2(F.concat(_hex(s["before"]), d, _hex(s["after"])), 256))
 
 
 def proof_digest(path: Column) -> Column:
     """Digest of all siblings of a path, level by level, left to right."""
-    return F.sha2(F.array_join(F.transform(path, lambda s: F.concat(s["before"], s["after"])), ""), 256)
+    return F.sha2(F.array_join(F.transform(path, lambda s: _hex(F.concat(s["before"], s["after"]))), ""), 256)
 
 
 @dataclass
@@ -183,12 +202,11 @@ def manifest(docs: DataFrame, fields: list[str] = FIELDS, group: str = "lang", o
     lower = forest(leaves, fanout)
     tops = stored(ranked(lower.roots.select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), "digest"), "tree", ["name"]))
     upper = forest(tops, fanout)
-    none = F.array().cast("array<struct<level: int, before: string, after: string>>")
-    subroots = tops.join(upper.paths, ["tree", "low"], "left").join(upper.roots.withColumnRenamed("digest", "root"), "tree")
-    subroots = subroots.select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", F.coalesce("path", none).alias("above"))
-    out = leaves.join(lower.paths, ["tree", "low"], "left").join(subroots, "tree")
-    path = F.concat(F.coalesce("path", none), "above")
-    return Manifest(out.select(F.col("order_key").alias(order), F.col("digest").alias("leaf"), "leaf_now", "subroot", "root", path.alias("path")), lower.nodes.unionByName(upper.nodes))
+    subroots = upper.with_paths(tops).join(upper.roots.withColumnRenamed("digest", "root"), "tree")
+    subroots = stored(subroots.select(F.col("name").alias("tree"), F.col("digest").alias("subroot"), "root", F.col("path").alias("above")))
+    out = lower.with_paths(leaves).join(subroots, "tree")
+    shown = [F.col("order_key").alias(order), F.col("digest").alias("leaf"), "leaf_now", "subroot", "root", F.concat("path", "above").alias("path")]
+    return Manifest(out.select(*shown), lower.nodes.unionByName(upper.nodes))
 
 
 def checked(found: Manifest) -> DataFrame:

@@ -10,7 +10,7 @@ from llm_helpers import rows_of
 from oracle import compare, duck
 from pyspark.sql import functions as F
 
-from siteprism.llm import q_merkle
+from siteprism.llm import merkle, q_merkle
 from siteprism.llm.merkle import FIELDS, TOP, checked, forest, group_key, manifest
 
 
@@ -83,14 +83,15 @@ def test_tampering_is_seen_only_where_it_happened(docs):
     assert {v for r, v in verified if hit(r)} == {False} and {v for r, v in verified if not hit(r)} == {True}
 
 
-def test_bands_of_any_height_give_the_same_trees(spark, docs):
+def test_bands_of_any_height_give_the_same_trees(spark, docs, monkeypatch):
     ids = docs.filter("doc_id >= 100").select(F.lit("t").alias("tree"), F.lit(623).cast("long").alias("n"), (F.col("doc_id") - 100).alias("low"), (F.col("doc_id") - 99).alias("high"), F.sha2("text", 256).alias("digest"))
     leaves = ids.collect()
     root, paths = climb([r["digest"] for r in sorted(leaves, key=lambda r: r["low"])], 2)
     for band in (1, 3, 8):
-        trees = forest(ids, 2, band)
+        monkeypatch.setattr(merkle, "BAND", band)
+        trees = forest(ids, 2)
         assert [r["digest"] for r in trees.roots.collect()] == [root]
-        got = {r["low"]: [(s["before"], s["after"]) for s in r["path"]] for r in trees.paths.collect()}
+        got = {r["low"]: [(s["before"].hex(), s["after"].hex()) for s in r["path"]] for r in trees.with_paths(ids).collect()}
         assert got == dict(enumerate(paths))
 
 
