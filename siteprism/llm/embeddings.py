@@ -119,7 +119,7 @@ def placed(nodes: DataFrame, pivots: list[list[float]]) -> DataFrame:
 def meetings(rows: DataFrame, n_pivots: int, reach: float) -> tuple[DataFrame, DataFrame]:
     """(rows with their tile, (tile, x, y, side) for every two tiles x <= y that may hold a link; side 0: the tile alone, 1 and 2: one of two)."""
     cell = ["label", "dims", "home"]
-    parts = rows.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts"))
+    parts = stored(rows.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).cast("long").alias("parts")))
     cut = rows.join(parts, cell).withColumn("part", F.pmod(F.xxhash64("node"), "parts")).drop("parts")
     ranges = [f(F.col("far")[k]).alias(f"{name}{k}") for k in range(n_pivots) for f, name in ((F.min, "low"), (F.max, "high"))]
     tiles = stored(cut.groupBy(*cell, "part").agg(*ranges).withColumn("tile", F.monotonically_increasing_id()))
