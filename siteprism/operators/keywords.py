@@ -10,14 +10,16 @@ from siteprism.functions import text as X
 from siteprism.functions import urls as U
 
 # Substrings that decide the search intent, tested in this order.
-TRANSACTIONAL = (
-    "book reserve reserva reservar buy comprar purchase order price precio cheap barato discount descuento deal "
-    "oferta coupon cupon sale booking disponibilidad availability quote presupuesto hire contratar"
-).split()
-COMMERCIAL = (
-    "best mejor top review reseña compare comparar vs versus alternative alternativa recommended recomendado rating "
-    "valoracion opinion opiniones which cual worth value quality calidad"
-).split()
+TRANSACTIONAL = [
+    "book", "reserve", "reserva", "reservar", "buy", "comprar", "purchase", "order", "price", "precio", "cheap",
+    "barato", "discount", "descuento", "deal", "oferta", "coupon", "cupon", "sale", "booking", "disponibilidad",
+    "availability", "quote", "presupuesto", "hire", "contratar",
+]
+COMMERCIAL = [
+    "best", "mejor", "top", "review", "reseña", "compare", "comparar", "vs", "versus", "alternative", "alternativa",
+    "recommended", "recomendado", "rating", "valoracion", "opinion", "opiniones", "which", "cual", "worth", "value",
+    "quality", "calidad",
+]
 INFORMATIONAL = [
     "how", "como", "what", "que", "why", "por que", "when", "cuando", "where", "donde", "who", "quien", "guide",
     "guia", "tutorial", "tips", "consejos", "ideas", "example", "ejemplo", "definition", "meaning", "significado",
@@ -268,33 +270,6 @@ def intent_clusters(keywords: DataFrame, pool: int | None = None, listed: int =
     return totals.join(top, key).withColumn("name", F.concat(F.initcap("intent"), F.lit(" Keywords")))
 
 
-def topic_clusters(keywords: DataFrame, k: int = 8, features: str | None = None, seed: int = 7) -> DataFrame:
-    """Keywords grouped by topic with TF-IDF (or given vectors) and k-means.
-
-    ``keywords(site_id, keyword_id, text)``; ``features`` names an
-    ``array<double>`` column to use instead of the text.  Sites with fewer than
-    three keywords get the single cluster "mixed".
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-    from pyspark.ml.functions import array_to_vector
-
-    if features:
-        data, stages, col = keywords.withColumn("_v", array_to_vector(F.col(features))), [], "_v"
-    else:
-        data, col = keywords, "_tfidf"
-        stages = [
-            RegexTokenizer(inputCol="text", outputCol="_tok", pattern="\\s+"),
-            HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=1 << 12), IDF(inputCol="_tf", outputCol="_tfidf"),
-        ]
-    model = Pipeline(stages=[*stages, KMeans(k=k, seed=seed, maxIter=10, featuresCol=col, predictionCol="cluster")]).fit(data)
-    sizes = keywords.groupBy("site_id").agg(F.count("*").alias("_n"))
-    out = model.transform(data).select("site_id", "keyword_id", "cluster").join(sizes, "site_id")
-    label = F.when(F.col("_n") < 3, "mixed").otherwise(F.concat(F.lit("topic_"), F.col("cluster").cast("string")))
-    return out.select("site_id", "keyword_id", label.alias("cluster_label"))
-
-
 def suggest_format(intent: Column) -> Column:
     return (
         F.when(intent == "informational", "Blog post or guide").when(intent == "transactional", "Product page or landing page")

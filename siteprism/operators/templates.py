@@ -39,11 +39,12 @@ LANG_SUFFIXES = ["_en", "_es", "_de", "_fr", "_it", "_pt"]
 CONTENT_SUFFIXES = ["_long_form", "_gallery", "_minimal"]
 
 # Words that are no theme.
-THEME_STOPWORDS = (
-    "the a an and or but in on at to for of with by from is are was were be been being have has had do does did "
-    "will would could should may might must shall can need de la el los las un una en y que del por con para es "
-    "son o7 hotels hotel - |"
-).split()
+THEME_STOPWORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are",
+    "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "shall", "can", "need", "de", "la", "el", "los", "las", "un", "una", "en", "y",
+    "que", "del", "por", "con", "para", "es", "son", "o7", "hotels", "hotel", "-", "|",
+]
 
 
 def _any_of(parts: Column, names: list[str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
 from siteprism.operators import keywords as K
+from siteprism.operators import topics as T
 from siteprism.plans import facts as D
 from siteprism.plans.registry import query, table
 
@@ -275,20 +276,70 @@ def k17(spark: SparkSession, sf: str) -> DataFrame:
     return K.intent_clusters(D.keywords(spark, sf)).select("site_id", "intent", "name", F.array_join("keywords", ",").alias("keywords"), "total_volume")
 
 
-@query("k18_topic_clusters")
+_TOPICS, _ROUNDS = 8, 5
+
+
+def _topic_sql(rows: str) -> str:
+    """Topics over all sites at once.  rows: CTEs that end with ids (site_id, keyword_id) and x (site_id, keyword_id, i, v)."""
+    apart = """SELECT q.site_id, q.keyword_id, z.k, (q.norm + z.norm - 2 * coalesce(sum(x.v * c.v), 0))::BIGINT AS d
+      FROM sq q JOIN n{n} z USING (site_id) LEFT JOIN x USING (site_id, keyword_id) LEFT JOIN c{n} c ON c.site_id = q.site_id AND c.k = z.k AND c.i = x.i GROUP BY q.site_id, q.keyword_id, q.norm, z.k, z.norm"""
+    norm = "n{n} AS MATERIALIZED (SELECT s.site_id, s.k, coalesce(sum(v * v), 0) AS norm FROM s{n} s LEFT JOIN c{n} USING (site_id, k) GROUP BY s.site_id, s.k)"
+    steps = [
+        "sizes AS (SELECT site_id, count(*) AS n FROM ids GROUP BY site_id)",
+        "sq AS MATERIALIZED (SELECT site_id, keyword_id, coalesce(sum(v * v), 0) AS norm FROM ids JOIN sizes USING (site_id) LEFT JOIN x USING (site_id, keyword_id) WHERE n >= 3 GROUP BY site_id, keyword_id)",
+        "t0 AS (SELECT site_id, min(keyword_id) AS keyword_id, 0 AS k FROM sq GROUP BY site_id)",
+        "s0 AS MATERIALIZED (SELECT site_id, k, keyword_id FROM t0)",
+        "c0 AS MATERIALIZED (SELECT site_id, k, i, v FROM s0 JOIN x USING (site_id, keyword_id))",
+        norm.format(n=0),
+    ]
+    for n in range(1, _TOPICS):
+        steps += [
+            f"f{n} AS (SELECT site_id, keyword_id, min(d) AS least FROM ({apart.format(n=n - 1)}) GROUP BY site_id, keyword_id)",
+            f"s{n} AS MATERIALIZED (SELECT * FROM s{n - 1} UNION ALL SELECT site_id, {n} AS k, keyword_id FROM f{n} WHERE least > 0 QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY least DESC, keyword_id) = 1)",
+            f"c{n} AS MATERIALIZED (SELECT site_id, k, i, v FROM s{n} JOIN x USING (site_id, keyword_id))",
+            norm.format(n=n),
+        ]
+    last = _TOPICS - 1
+    for n in range(last, last + _ROUNDS + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT site_id, keyword_id, k FROM ({apart.format(n=n)}) QUALIFY row_number() OVER (PARTITION BY site_id, keyword_id ORDER BY d, k) = 1)")
+        if n < last + _ROUNDS:
+            steps += [
+                f"m{n} AS (SELECT site_id, k, count(*) AS n FROM a{n} GROUP BY site_id, k)",
+                f"g{n} AS (SELECT site_id, k, i, sum(v)::BIGINT AS s, any_value(n) AS n FROM a{n} JOIN m{n} USING (site_id, k) JOIN x USING (site_id, keyword_id) GROUP BY site_id, k, i)",
+                f"s{n + 1} AS MATERIALIZED (SELECT * FROM s{n})",
+                f"c{n + 1} AS MATERIALIZED (SELECT site_id, k, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS v FROM g{n} UNION ALL SELECT * FROM c{n} c ANTI JOIN m{n} USING (site_id, k))",
+                norm.format(n=n + 1),
+            ]
+    return f"""WITH {rows}, {", ".join(steps)}
+    SELECT site_id, keyword_id, 'topic_' || k AS cluster_label FROM a{last + _ROUNDS}
+    UNION ALL SELECT site_id, keyword_id, 'mixed' FROM ids JOIN sizes USING (site_id) WHERE n < 3"""
+
+
+_VECTORS = f"""v AS (SELECT CASE WHEN vec_id IN (98, 198) THEN 'few' ELSE 's' || (vec_id % 5) END AS site_id, vec_id AS keyword_id, embedding FROM embeddings),
+  ids AS (SELECT site_id, keyword_id FROM v), x AS MATERIALIZED (SELECT site_id, keyword_id, i, floor({T.SCALE} * embedding[i]::DOUBLE)::BIGINT AS v FROM v, unnest(range(1, len(embedding) + 1)) u(i))"""
+
+
+@query("k18_topic_clusters", _topic_sql(_VECTORS))
 def k18(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic clusters over the embedding vectors (iterative, rows only)."""
+    """Topics over the embedding vectors; a site of two keywords stays mixed."""
     e = table(spark, sf, "embeddings").select(
-        F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string")).alias("site_id"), F.col("vec_id").alias("keyword_id"),
-        F.col("embedding").cast("array<double>").alias("v"),
+        F.when(F.col("vec_id").isin(98, 198), "few").otherwise(F.concat(F.lit("s"), (F.col("vec_id") % 5).cast("string"))).alias("site_id"),
+        F.col("vec_id").alias("keyword_id"), "embedding",
     )
-    return K.topic_clusters(e, 8, "v")
+    return T.topic_clusters(e, _TOPICS, _ROUNDS, "embedding", 64)
 
 
-@query("k18_topic_clusters_text")
+_WORDS = f"""{D.KEYWORDS}, ids AS (SELECT site_id, keyword_id FROM kw),
+  w AS (SELECT site_id, keyword_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS word FROM kw),
+  tf AS (SELECT site_id, keyword_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % {T.DIMS} AS i, count(*) AS tf FROM w GROUP BY ALL),
+  x AS MATERIALIZED (SELECT site_id, keyword_id, i, floor({T.SCALE} * tf * ln((n + 1) / (df + 1)) + 0.5)::BIGINT AS v
+    FROM tf JOIN (SELECT site_id, i, count(*) AS df FROM tf GROUP BY ALL) USING (site_id, i) JOIN (SELECT site_id, count(*) AS n FROM ids GROUP BY site_id) USING (site_id))"""
+
+
+@query("k18_topic_clusters_text", _topic_sql(_WORDS))
 def k18t(spark: SparkSession, sf: str) -> DataFrame:
-    """Topic clusters over TF-IDF of the keyword texts (iterative, rows only)."""
-    return K.topic_clusters(D.keywords(spark, sf).select("site_id", "keyword_id", "text"), 8)
+    """Topics over TF-IDF of the keyword texts."""
+    return T.topic_clusters(D.keywords(spark, sf).select("site_id", "keyword_id", "text"), _TOPICS, _ROUNDS)
 
 
 _FMT = "CASE intent WHEN 'informational' THEN 'Blog post or guide' WHEN 'transactional' THEN 'Product page or landing page' WHEN 'commercial' THEN 'Comparison or review article' WHEN 'navigational' THEN 'Category or pillar page' ELSE 'Blog post' END"
