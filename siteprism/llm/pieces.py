@@ -12,7 +12,7 @@ and relaxed from left to right:
   pair is remembered;
 * unigram models: an edge is taken where it gives the better score.
 
-Characters in no piece become byte pieces.
+Characters in no piece become byte pieces, or a run of them the unknown piece.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from siteprism.llm.common import map_slices, texts
 from siteprism.llm.vocabulary import SPACE, Vocabulary
 
-#: Characters indexed at once; units remembered in a task, and their longest length.
+#: Characters indexed at once; units that a worker remembers between slices, and their longest length.
 INDEX_CHARS = 1 << 18
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 PAIRS = 1_000_000
 #: Bytes of text encoded at once.
 SLICE = 1 << 21
@@ -248,8 +248,6 @@ class Encoder:
     def encode(self, batch: list[str]) -> list[list[int]]:
         split = [self.vocabulary.split(t) for t in batch]
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         new = sorted(set(itertools.chain.from_iterable(split)).difference(known))
         held: list[str] = []
         size = 0
@@ -260,22 +258,36 @@ class Encoder:
             if u is not None:
                 held.append(u)
                 size += len(u) + 1
-        out = [list(itertools.chain.from_iterable(map(known.__getitem__, units))) for units in split]
+        out = [self.vocabulary.joined(list(itertools.chain.from_iterable(map(known.__getitem__, units)))) for units in split]
         for u in new:
             if len(u) > REMEMBERED_CHARS:
                 del known[u]
+        if len(known) > REMEMBERED:  # those of the last slice stay
+            self.known = {u: known[u] for u in set(itertools.chain.from_iterable(split)) if u in known}
         return out
 
 
+#: The last encoder of this worker process, which serves its next tasks too: what it remembers never changes results.
+_LAST: list[Encoder] = []
+
+
+def encoder_of(vocabulary: Vocabulary, kind: str) -> Encoder:
+    if not _LAST or _LAST[0].kind != kind or _LAST[0].vocabulary != vocabulary:
+        _LAST[:] = [Encoder(vocabulary, kind)]
+    return _LAST[0]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, kind: str = "merge", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array of piece ids), round_trip (whether decoding gives the text again, space marks as spaces); a row per row.
 
-    NULL keeps NULL ids, the empty text has none; both come back.  Other columns are left behind.
+    NULL keeps NULL ids, the empty text has none; both come back.  Texts with characters outside a vocabulary without
+    byte pieces don't.  Repeated rows and ids are rows of their own, texts of any length are encoded whole, an empty table
+    gives an empty one.  Other columns are left behind.
     """
     rows = texts(docs, doc_id, text)
 
     def make():
-        encoder = Encoder(vocabulary, kind)
+        encoder = encoder_of(vocabulary, kind)
 
         def work(part: pa.RecordBatch) -> dict:
             batch = part.column("text").to_pylist()

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2
 
 #: The mark that stands for a space.
 SPACE = "▁"
@@ -71,9 +72,15 @@ class Vocabulary:
         return self.units.findall(self.marked(text))
 
     def fallback(self, char: str) -> list[int]:
-        """Ids of a character outside the vocabulary."""
+        """Ids of a character outside the vocabulary; without byte pieces a run of them is one unknown piece: see `joined`."""
         return [self.byte_ids[b] for b in char.encode()] if self.bytes_of else [self.unknown]
 
+    def joined(self, ids: list[int]) -> list[int]:
+        """Ids of a text with runs of the unknown piece as one, where the vocabulary has no byte pieces."""
+        if self.bytes_of or self.unknown not in ids:
+            return ids
+        return [i for i, before in zip(ids, [None, *ids]) if not i == before == self.unknown]
+
     @cached_property
     def as_bytes(self) -> list[bytes]:
         """What each id stands for in a text."""
@@ -87,9 +94,36 @@ class Vocabulary:
         return b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
+def refused(proto: sentencepiece_model_pb2.ModelProto) -> list[str]:
+    """What a model asks for that is not supported here."""
+    norm, kinds = proto.normalizer_spec, {p.type for p in proto.pieces}
+    asks = {
+        "a normalisation of characters": bool(norm.precompiled_charsmap),
+        "spaces dropped": norm.remove_extra_whitespaces,
+        "no space in front": not norm.add_dummy_prefix,
+        "spaces without marks": not norm.escape_whitespaces,
+        "space marks behind words": proto.trainer_spec.treat_whitespace_as_suffix,
+        "user-defined pieces": proto.trainer_spec.model_type not in (1, 2) or 4 in kinds,
+        "a changed decoding": bool(proto.denormalizer_spec.precompiled_charsmap),
+    }
+    return [k for k, v in asks.items() if v]
+
+
 def read(path: str) -> Vocabulary:
-    """Read a model file (on the driver; the vocabulary travels with the tasks)."""
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    """Read a model file (on the driver; the vocabulary travels with the tasks).
+
+    ValueError for a model that changes texts before encoding or has user-defined pieces: see `refused`.
+    """
+    with open(path, "rb") as f:
+        return parsed(f.read())
+
+
+def parsed(data: bytes) -> Vocabulary:
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(data)
+    if what := refused(proto):
+        raise ValueError(f"this model asks for {', '.join(what)}")
+    model = sentencepiece.SentencePieceProcessor(model_proto=data)
     n = model.get_piece_size()
     pieces = tuple(model.id_to_piece(i) for i in range(n))
     kinds = "".join("b" if model.is_byte(i) else "u" if model.is_unknown(i) else "c" if model.is_control(i) or model.is_unused(i) else "n" for i in range(n))

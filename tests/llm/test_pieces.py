@@ -6,9 +6,10 @@ import sentencepiece
 from conftest import table
 from llm_helpers import rows_of
 
+from siteprism.llm import pieces
 from siteprism.llm.pieces import Encoder, SuffixIndex, decode, encode, merged
 from siteprism.llm.token_counts import Counter, token_counts
-from siteprism.llm.vocabulary import read
+from siteprism.llm.vocabulary import parsed, read
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -55,6 +56,57 @@ def test_unigram_as_the_library(vocabulary, batch):
     assert Encoder(plain, "unigram").encode(batch) == want
 
 
+def changed(kind: int, keep: int = 6000, **flags) -> bytes:
+    """The model with fewer pieces, of another kind and with other flags."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    pieces = [p for p in proto.pieces if p.type != 6 or flags.get("bytes")][:keep]
+    pieces += [p for p in proto.pieces if p.type == 1 and len(p.piece) == 1 and p.piece in "▁abcdefghijklmnopqrstuvwxyzTHI"]
+    one_each = list({p.piece: p for p in pieces}.values())
+    del proto.pieces[:]
+    proto.pieces.extend(one_each)
+    for p in proto.pieces:
+        p.score = max(p.score, -40_000)
+    proto.trainer_spec.model_type = kind
+    proto.trainer_spec.byte_fallback = flags.pop("bytes", False)
+    for k, v in flags.items():
+        setattr(proto.normalizer_spec, k, v)
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize(("kind", "name"), [(1, "unigram"), (2, "merge")])
+def test_without_byte_pieces_as_the_library(batch, kind, name):
+    """Runs of characters outside the vocabulary are one unknown piece."""
+    data = changed(kind)
+    want = sentencepiece.SentencePieceProcessor(model_proto=data).encode([*batch, "alpha 日本語 beta", "日本", "日 本", "é日 é"])
+    small = parsed(data)
+    texts = [*batch, "alpha 日本語 beta", "日本", "日 本", "é日 é"]
+    assert any(x.count(small.unknown) > 1 for x in want)
+    assert Encoder(small, name).encode(texts) == want
+    if name == "unigram":
+        counter = Counter(small)
+        assert [counter.text(t)[0] for t in texts] == [len(x) for x in want]
+
+
+def test_models_that_change_texts_are_refused():
+    for flags in ({"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {"precompiled_charsmap": b"x"}, {"escape_whitespaces": False}):
+        with pytest.raises(ValueError, match="asks for"):
+            parsed(changed(2, 500, bytes=True, **flags))
+
+
+def test_memory_of_units_is_bounded_and_shared_by_tasks(vocabulary, batch, monkeypatch):
+    want = Encoder(vocabulary).encode(batch)
+    monkeypatch.setattr(pieces, "REMEMBERED", 100)
+    encoder = pieces.encoder_of(vocabulary, "merge")
+    got = [x for a in range(0, len(batch), 50) for x in encoder.encode(batch[a : a + 50])]
+    assert got == want and len(encoder.known) < 5000
+    assert pieces.encoder_of(dataclasses.replace(vocabulary), "merge") is encoder
+    assert pieces.encoder_of(vocabulary, "unigram") is not encoder
+
+
 def test_suffix_index_finds_every_occurrence(vocabulary):
     text = "the theme then\0▁the▁end\0aaaa"
     starts, ends, ids = SuffixIndex(vocabulary).edges(text)
