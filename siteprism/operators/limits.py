@@ -69,6 +69,16 @@ def _accepted_from(times: np.ndarray, window: int, limit: int, history: np.ndarr
     return np.concatenate([*found, np.zeros(0, np.int64)])
 
 
+def decided_in_order(times: np.ndarray, window: int, limit: int, history: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(allowed, accepted before in the window, seconds until a rejected one may come again) of ascending times."""
+    allowed = np.zeros(len(times), bool)
+    allowed[_accepted_from(times, window, limit, history)] = True
+    taken = np.concatenate([history, times[allowed]])
+    oldest = np.searchsorted(taken, times - window, "right")
+    wait = (taken[np.minimum(oldest, len(taken) - 1)] + window - times) // 1_000_000
+    return allowed, np.searchsorted(taken, times) - oldest, wait
+
+
 def _fresh_starts(times: np.ndarray, window: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What a shard makes of every state that may be carried in.
 
@@ -202,17 +212,9 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
 
     def decide(rows: pa.Table, state: pa.Table) -> pa.Table:
         rows = rows.sort_by("us")
-        us = rows.column("us").to_numpy()
-        history = state.column("state")[0].values.to_numpy()[::-1]
-        places = _accepted_from(us, w, limit, history)
-        allowed = np.zeros(len(us), bool)
-        allowed[places] = True
-        taken = np.concatenate([history, us[places]])
-        oldest = np.searchsorted(taken, us - w, "right")
-        current = np.searchsorted(taken, us) - oldest
+        allowed, current, wait = decided_in_order(rows.column("us").to_numpy(), w, limit, state.column("state")[0].values.to_numpy()[::-1])
         settled = rows.column("settled").to_numpy(zero_copy_only=False)
         current = np.where(settled, rows.column("raw").to_numpy() - 1, current)
-        wait = (taken[np.minimum(oldest, len(taken) - 1)] + w - us) // 1_000_000
         out = {c: rows.column(c) for c in (*keys, "us", "requests")}
         return pa.table(out | {"allowed": allowed, "current": pa.array(current, pa.int32()), "retry_after": pa.array(wait, pa.int32(), mask=allowed)})
 

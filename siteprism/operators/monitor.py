@@ -58,19 +58,15 @@ def consecutive_failures(checks: DataFrame, n: int) -> DataFrame:
 def uptime_alerts(rules: DataFrame, checks: DataFrame) -> DataFrame:
     """Critical alert per rule whose site is down with n of the newest n checks down.
 
-    ``rules(rule_id, site_id, consecutive_failures)``, NULL = 2.  One top-N per
-    site, with the largest n of any rule, serves them all.
+    ``rules(rule_id, site_id, consecutive_failures)``, NULL = 2.  The newest n are down where the site's run of down
+    checks, those behind its last check that was up, has n or more: one count per site serves rules of any n.
     """
-    n = F.coalesce("consecutive_failures", F.lit(2))
-    max_n = rules.agg(F.max(n)).first()[0] or 2
-    newest = newest_checks(checks.select("site_id", "check_id", "checked_at", "is_up"), max_n).groupBy("site_id").agg(
-        ordered_list(F.col("is_up"), F.col("_rn")).alias("ups")
-    )
-    j = rules.join(newest, "site_id")
-    failures = F.when(F.size("ups") < n, 0).otherwise(F.size(F.filter(F.slice("ups", F.lit(1), n), lambda u: ~u)))
-    return j.withColumn("failures", failures).filter(~F.col("ups")[0] & (F.col("failures") >= n)).select(
-        "rule_id", "site_id", F.lit("critical").alias("severity"), "failures"
-    )
+    at = F.struct("checked_at", "check_id")
+    last_up = checks.filter("is_up").groupBy("site_id").agg(F.max(at).alias("_up"))
+    behind = checks.filter("not is_up").join(last_up, "site_id", "left").filter(F.col("_up").isNull() | (at > F.col("_up")))
+    runs = behind.groupBy("site_id").agg(F.count("*").alias("run"))
+    n = F.coalesce("consecutive_failures", F.lit(2)).cast("int")
+    return rules.join(runs, "site_id").filter(F.col("run") >= n).select("rule_id", "site_id", F.lit("critical").alias("severity"), n.alias("failures"))
 
 
 def ranking_drop_alerts(rules: DataFrame, keywords: DataFrame) -> DataFrame:

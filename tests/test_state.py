@@ -1,4 +1,4 @@
-"""Feedback operators against plain restatements; streaming forms; near copies."""
+"""Feedback operators against plain restatements; near copies."""
 
 from __future__ import annotations
 
@@ -13,7 +13,6 @@ from siteprism.operators import duplicates as N
 from siteprism.operators import limits as L
 from siteprism.operators import links as G
 from siteprism.operators import monitor as M
-from siteprism.streaming import monitors as S
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -174,53 +173,3 @@ def test_near_duplicates_brute_force(spark):
         if similar:
             assert got[i].near_duplicate_of == f"u{min(similar)}"
             assert got[i].similarity == pytest.approx(jaccard(texts[min(similar)], t))
-
-
-def _stream(spark, df, path):
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
-
-
-def _drain(stream, name):
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-
-
-def test_streams(spark, tmp_path):
-    times = [T0 + dt.timedelta(seconds=7 * i) for i in range(40)]
-    req = spark.createDataFrame([("t", t) for t in times], "tenant string, ts timestamp")
-    _drain(S.rate_limited(_stream(spark, req, str(tmp_path / "r")), ["tenant"], 3), "limited")
-    got = {r.ts.replace(tzinfo=None): r.allowed for r in spark.table("limited").collect()}
-    assert got == {t: ok for t, ok, _ in naive_limit(times, 3, 60)}
-
-    chk = spark.createDataFrame([("s", t, i % 4 == 0) for i, t in enumerate(times)], "site_id string, checked_at timestamp, is_up boolean")
-    _drain(S.failure_runs(_stream(spark, chk, str(tmp_path / "c")), 3), "failures")
-    assert spark.table("failures").count() == 10
-    assert S.daily_uptime(chk).first().total == 40
-
-    ev = req.select(F.col("tenant").alias("rule_id"), F.col("ts").alias("created_at"))
-    _drain(S.cooled_alerts(_stream(spark, ev, str(tmp_path / "e")), 1), "cooled")
-    assert spark.table("cooled").count() == 5
-
-
-def test_streams_in_small_chunks(spark, tmp_path):
-    """Shuffled input in chunks of five rows: decisions follow time, equal times share one."""
-    rnd = random.Random(8)
-    times = sorted(T0 + dt.timedelta(seconds=rnd.randrange(400)) for _ in range(60))
-    rows = [("t", t) for t in times]
-    rnd.shuffle(rows)
-    kept, want = [], {}
-    for t in sorted(set(times)):
-        kept = [k for k in kept if k > t - dt.timedelta(seconds=60)]
-        want[t] = len(kept) < 3
-        kept += [t] if want[t] else []
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
-    try:
-        req = spark.createDataFrame(rows, "tenant string, ts timestamp").repartition(3)
-        _drain(S.rate_limited(_stream(spark, req, str(tmp_path / "r")), ["tenant"], 3), "limited_small")
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    got = [(r.ts.replace(tzinfo=None), r.allowed) for r in spark.table("limited_small").collect()]
-    assert len(got) == 60 and all(want[t] == ok for t, ok in got)
