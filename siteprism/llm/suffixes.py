@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,6 +157,11 @@ def segments(prints: Fingerprints, data: np.ndarray, ends: np.ndarray) -> dict[s
 
 #: A row of a suffix array: text (hash), first and last window start, place of the suffix.
 _ROW = "text_key long, first long, last long, anchor long, core long, cover long"
+#: The place in a row that equals two others of its slice; such a row has a core of its own.
+_SETTLED = -1
+#: Columns of a run, and of what a scan hands on.
+_RUN = ("text_key", "first", "last")
+_KEPT = (*_RUN, "core", "repeats", "open")
 
 
 def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -201,6 +207,16 @@ def broadcast_bitmap(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(bytes(out))
 
 
+def beyond_two(core: np.ndarray, cover: np.ndarray) -> np.ndarray:
+    """Which rows have two equal ones before them: those two show that it repeats, and stand for it elsewhere."""
+    order = np.lexsort((cover, core))
+    same = np.zeros(len(order), bool)
+    same[1:] = (core[order][1:] == core[order][:-1]) & (cover[order][1:] == cover[order][:-1])
+    out = np.zeros(len(order), bool)
+    out[order[2:]] = same[2:] & same[1:-1]
+    return out
+
+
 def suffix_array(rows: DataFrame, cuts: tuple = ()) -> DataFrame:
     """Suffixes of texts (text, text_key), unsorted.  cuts: (broadcast bitmap of marks, width) for each time they are cut.
 
@@ -230,24 +246,28 @@ def suffix_array(rows: DataFrame, cuts: tuple = ()) -> DataFrame:
                 found = cut(prints, {k: v[there] for k, v in found.items()}, width)
             owner = found["owner"]
             shift = (np.array(offsets, np.int64) - ends + [len(b) for b in blocks])[owner] if blocks else owner
-            out = {"text_key": pa.array(own[owner].view(np.int64))}
-            out |= {k: pa.array(found[k] + shift) for k in ("first", "last", "anchor")}
-            return out | {k: pa.array(found[k].view(np.int64)) for k in ("core", "cover")}
+            settled = beyond_two(found["core"], found["cover"])
+            columns = {"text_key": own[owner]} | {k: found[k] + shift for k in ("first", "last", "anchor")} | {k: found[k] for k in ("core", "cover")}
+            columns["core"] = np.where(settled, _mixed(own[owner] + _mixed(columns["first"].view(_U))), columns["core"])
+            columns["anchor"] = np.where(settled, _SETTLED, columns["anchor"])
+            return {k: pa.array(v.view(np.int64)) for k, v in columns.items()}
 
         return work
 
     return map_slices(rows.select("text_key", "text"), make, _ROW, most=SLICE)
 
 
-def scan(arrays: DataFrame) -> DataFrame:
-    """Adds to the rows of sorted suffix arrays what their neighbours tell.
+def scan(arrays: DataFrame, only: str | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """Adds to the rows of sorted suffix arrays what their neighbours tell; on request some rows and columns only.
 
     near: a neighbour has an equal core (with a column `fresh`: and one of both is fresh); repeats: and an equal cover;
     open: the row has to be cut finer, as it doesn't repeat, or as a witness, being the end of a run of equal covers that
-    has another cover of its core beside it.  One pass over the sorted rows that keeps a row at a time, so a core may
-    have any number of rows.
+    has another cover of its core beside it.  Settled rows repeat and need no neighbour.  One pass over the sorted rows that
+    keeps a row at a time, so a core may have any number of rows.
     """
-    names = [c for c, _ in arrays.dtypes]
+    kinds = dict(arrays.dtypes) | dict.fromkeys(("near", "repeats", "open"), "boolean")
+    names = arrays.columns
+    wanted = list(columns or kinds)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -266,10 +286,14 @@ def scan(arrays: DataFrame) -> DataFrame:
             two = lambda x: (x[:-1] | x[1:])[:n]  # noqa: E731  with the row before or after
             if n:
                 before = (core[n - 1], cover[n - 1], fresh[n - 1])
-            near, repeats = two(same_core & either), two(same & either)
-            out = {c: rows.column(c).slice(0, n).combine_chunks() for c in names}
-            marks = {"near": near, "repeats": repeats, "open": near & (~two(same) | two(~same & same_core))}
-            return pa.RecordBatch.from_pydict({c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in out.items()} | {c: pa.array(v) for c, v in marks.items()})
+            settled = rows.column("anchor").to_numpy()[:n] == _SETTLED
+            alone = settled & fresh[:n]
+            near, repeats = two(same_core & either) | alone, two(same & either) | alone
+            marks = {"near": near, "repeats": repeats, "open": near & ~settled & (~two(same) | two(~same & same_core))}
+            out = {c: rows.column(c).slice(0, n) if c in names else marks[c] for c in wanted}
+            out = {c: v.combine_chunks() if isinstance(v, pa.ChunkedArray) else pa.array(v) for c, v in out.items()}
+            out = {c: v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for c, v in out.items()}
+            return pa.RecordBatch.from_pydict(out).filter(pa.array(marks[only])) if only else pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
             if batch.num_rows:
@@ -280,11 +304,11 @@ def scan(arrays: DataFrame) -> DataFrame:
         if held is not None:
             yield judged(held, False)
 
-    schema = ", ".join(f"{c} {t}" for c, t in arrays.dtypes)
-    return arrays.mapInArrow(run, f"{schema}, near boolean, repeats boolean, open boolean")
+    return arrays.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in wanted))
 
 
 def in_order(arrays: DataFrame) -> DataFrame:
+    """A very common passage brings two rows a slice and cover to its core's task: settled rows are dealt evenly."""
     return arrays.repartition("core").sortWithinPartitions("core", "cover")
 
 
@@ -315,12 +339,12 @@ class IndexFamily:
             size += level.size
         together = self._with(array, merged)
         if last:
-            return [scan(in_order(together)).filter("near")]
+            return [scan(in_order(together), "near", _KEPT)]
         path = f"{self.folder}/level-{size}-{uuid.uuid4().hex}"
         scanned = scan(in_order(together))
         scanned.write.parquet(path)
         scanned = rows.sparkSession.read.schema(scanned.schema).parquet(path)
-        found = [scanned.filter("near")] + [scan(in_order(self._with(array, [x.rows]))).filter("near") for x in self.levels]
+        found = [scanned.filter("near").select(*_KEPT)] + [scan(in_order(self._with(array, [x.rows])), "near", _KEPT) for x in self.levels]
         self.levels.append(Level(size, scanned.select(*array.columns)))
         return found
 
@@ -339,15 +363,14 @@ def repeated(rows: DataFrame, batches: int) -> DataFrame:
         batch = rows.filter(F.pmod(F.col("text_key"), F.lit(batches)) == b) if batches > 1 else rows
         for part in family.add(batch, b == batches - 1):
             found = part if found is None else found.unionByName(part)
-    kept_columns = ["text_key", "first", "last", "core", "repeats", "open"]
-    whole = stored(found.select(*kept_columns))
+    whole = stored(found)
     mark = F.col("core").bitwiseXOR(F.col("text_key")).alias("key")  # of a suffix in a text
     cuts = ((broadcast_bitmap(whole.filter("open").select(mark)), GROUP),)
-    groups = stored(scan(in_order(suffix_array(rows, cuts))).filter("near").select(*kept_columns))
+    groups = stored(scan(in_order(suffix_array(rows, cuts)), "near", _KEPT))
     cuts += ((broadcast_bitmap(groups.filter("open").select(mark)), 1),)
-    single = stored(scan(in_order(suffix_array(rows, cuts))).filter("repeats").select(*kept_columns))
-    runs = [x.filter("repeats").select("text_key", "first", "last") for x in (whole, groups, single)]
-    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+    single = stored(scan(in_order(suffix_array(rows, cuts)), "repeats", _RUN))
+    runs = [x.filter("repeats").select(*_RUN) for x in (whole, groups)]
+    return runs[0].unionByName(runs[1]).unionByName(single)
 
 
 def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", carry: bool = False, as_text: bool = False) -> DataFrame:
@@ -358,7 +381,7 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
     behind, or come along in `row` (carry).
     """
     rows = keyed_texts(docs, doc_id, text, carry)
-    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_set(F.struct("first", "last")).alias("runs")))
+    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
     bits = F.broadcast(bitmap(spans.select(F.col("text_key").alias("key"))))  # BITS / ROW_BITS rows at most
     bit = F.col("text_key").bitwiseAND(F.lit(BITS - 1))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit.bitwiseAND(F.lit(ROW_BITS - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -369,20 +392,25 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ("kept", "n_bytes", "n_removed", "n_spans")}
-            for t, runs in zip(raw(part.column("text")), part.column("runs").to_pylist()):
-                left, at, spans = [], 0, 0
-                for a, b in sorted((r["first"], r["last"] + LENGTH) for r in runs or ()):
-                    if a > at or not spans:
-                        left.append(t[at:a])
-                        spans += 1
-                    at = max(at, b)
-                left.append(t[at:])
-                rest = b"".join(left)
-                for k, v in (("kept", rest.decode("utf-8", "ignore") if as_text else rest), ("n_bytes", len(t)), ("n_removed", len(t) - len(rest)), ("n_spans", spans)):
-                    out[k].append(v)
-            types = {"kept": pa.string() if as_text else pa.binary()}
-            return handed_on(part) | {k: pa.array(v, types.get(k, pa.int64())) for k, v in out.items()}
+            texts, runs = part.column("text"), part.column("runs")
+            ends = np.cumsum([len(t) for t in raw(texts)]).astype(np.int64)
+            data = np.frombuffer(b"".join(raw(texts)), np.uint8)
+            begins = np.concatenate([[0], ends[:-1]])
+            found = runs.flatten()
+            owner = np.repeat(np.arange(len(ends)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
+            first = found.field("first").to_numpy() + begins[owner]
+            gone = np.zeros(len(data) + 1, np.int64)  # +1 where a run begins, -1 where it ends
+            np.add.at(gone, first, 1)
+            np.add.at(gone, found.field("last").to_numpy() + begins[owner] + LENGTH, -1)
+            stays = np.cumsum(gone[:-1]) == 0
+            spans = ~stays & np.concatenate([[True], stays[:-1]])[: len(stays)]
+            spans[begins[begins < len(data)]] |= ~stays[begins[begins < len(data)]]  # runs of two texts may touch
+            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], ends])])
+            left = np.concatenate([[0], np.cumsum(total(stays))]).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(left), pa.py_buffer(data[stays])])
+            out = {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string()) if as_text else kept}
+            counts = {"n_bytes": ends - begins, "n_removed": total(~stays), "n_spans": total(spans)}
+            return handed_on(part) | out | {k: pa.array(v, pa.int64()) for k, v in counts.items()}
 
         return work
 

@@ -74,6 +74,28 @@ def test_edge_rows(edge, empty, edge_pairs):
     assert kept(empty).count() == 0 and kept(edge).count() == len(edge_pairs)
 
 
+@pytest.mark.parametrize("batches", [1, 3])
+def test_a_very_common_passage(spark, batches):
+    """Most rows of a slice are equal: two of them stand for it elsewhere, the others are settled where they are."""
+    rng = random.Random(31)
+    noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    common, once = noise(900), noise(700)
+    pairs = [(i, noise(rng.randint(0, 90)) + common[: rng.choice([900, 900, 900, 500])] + noise(rng.randint(0, 90))) for i in range(150)]
+    pairs += [(200, once), (201, noise(50) + once[100:400]), (202, common * 3), (203, once[:250] + common[:300] + once[:250])]
+    assert found(kept(table(spark, pairs).repartition(4), batches)) == brute(pairs)
+    data = np.frombuffer("".join(t for _, t in pairs).encode(), np.uint8)
+    got = segments(Fingerprints(data), data, np.cumsum([len(t.encode()) for _, t in pairs]))
+    settled = suffixes.beyond_two(got["core"], got["cover"])
+    counts = collections.Counter(zip(got["core"].tolist(), got["cover"].tolist()))
+    assert settled.sum() == sum(max(0, n - 2) for n in counts.values()) > len(settled) / 3
+
+
+def test_runs_of_two_texts_may_touch(spark):
+    """A text that goes to its last byte, before one that goes from its first."""
+    pairs = [(1, "k" * 250), (2, "m" * 250), (3, "k" * 250 + "tail"), (4, ""), (5, None), (6, "m" * 250)]
+    assert found(kept(table(spark, pairs).coalesce(1), 1)) == brute(pairs)
+
+
 def test_segments_hold_every_window_once():
     rng = np.random.default_rng(3)
     sizes = [0, 199, 200, 201, 1000, 5, 777]
