@@ -34,7 +34,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteprism.llm.common import checkpointed, map_slices, raw, release, stored, texts
@@ -159,20 +159,25 @@ def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out_keys), np.concatenate(out_places)
 
 
+def text_key() -> Column:
+    """A 64-bit hash of the column text."""
+    return F.xxhash64("text", F.octet_length("text"))
+
+
 def nodes(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (NULL without shingles), a row per row."""
-    rows = texts(docs, doc_id, text)
+    """doc_id, text_key, n_shingles, node (NULL without shingles), a row per row."""
+    rows = texts(docs, doc_id, text).withColumn("text_key", text_key())
 
     def make():
         shingler = Shingler(n)
 
         def work(part: pa.RecordBatch) -> dict:
             sets = [shingler.set_of(t) for t in raw(part.column("text"))]
-            return {"doc_id": part.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())}
+            return {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())}
 
         return work
 
-    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, node long")
+    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, n_shingles long, node long")
 
 
 def keyed(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -265,11 +270,12 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
 def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b): links inside the families that connect whatever is linked.
 
-    One text stands for a node.  A family is ordered by size and cut into blocks of BLOCK elements (sums of sizes in two
+    One text stands for a node, found again by id and hash (a NULL id too).  A family is ordered by size and cut into blocks of BLOCK elements (sums of sizes in two
     levels, so that only blocks' totals of one family are summed in order); blocks meet in pairs where their sizes allow
     a link, each pair in a task of its own; small families share tasks.
     """
-    members = node_rows.dropna(subset=["node"]).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(families.select("node", F.col("label").alias("family")), "node")
+    shown = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("shown")
+    members = node_rows.dropna(subset=["node"]).groupBy("node").agg(shown, F.first("n_shingles").alias("n")).join(families.select("node", F.col("label").alias("family")), "node")
     level = F.floor(F.log(F.col("n").cast("double")) * 8)
     sums = members.groupBy("family", level.alias("level")).agg(F.sum("n").alias("sum"), F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     total = sums.groupBy("family").agg(F.sum("sum").alias("total"))
@@ -287,20 +293,25 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     )
     placed = members.join(total, "family").withColumn("small", F.col("total") <= BLOCK)
     large = placed.filter("not small").withColumn("level", level).join(cells.select("family", "level", "parts"), ["family", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = large.join(wanted, ["family", "level", "part"]).select("doc_id", "node", "family", "task", "side")
+    large = large.join(wanted, ["family", "level", "part"]).select("shown", "node", "family", "task", "side")
     whole = members.agg(F.sum("n").alias("all")).first()["all"] or 0
     shared = F.pmod(F.xxhash64("family"), F.lit(max(1, 4 * whole // BLOCK)))
-    small = placed.filter("small").select("doc_id", "node", "family", shared.alias("task"), F.lit(0).alias("side"))
-    rows = checkpointed(small.unionByName(large))
-    held = texts(docs, doc_id, text).join(rows, "doc_id")
+    small = placed.filter("small").select("shown", "node", "family", shared.alias("task"), F.lit(0).alias("side"))
+    rows = checkpointed(small.unionByName(large)).withColumns({"id": F.col("shown.doc_id"), "key": F.col("shown.text_key")}).drop("shown")
+    held = texts(docs, doc_id, text).withColumn("text_key", text_key())
+    held = held.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
 
     def make():
         shingler = Shingler(n)
 
         def work(part: pa.RecordBatch) -> dict:
-            sets = [shingler.set_of(t) for t in raw(part.column("text"))]
-            good = [len(s) > 0 and node_of(s) == i for s, i in zip(sets, part.column("node").to_pylist())]  # rows that share an id with another text
-            keep = pa.array(good)
+            sets, good, seen = [], [], set()
+            for t, *place in zip(raw(part.column("text")), *(part.column(c).to_pylist() for c in ("node", "task", "side"))):
+                new = tuple(place) not in seen  # repeated rows
+                sets.append(shingler.set_of(t) if new else None)
+                good.append(new and node_of(sets[-1]) == place[0])
+                seen.add(tuple(place))
+            keep = pa.array(good, pa.bool_())
             return {c: part.column(c).filter(keep) for c in ("task", "family", "node", "side")} | {"elements": pa.array([s.tobytes() for s, g in zip(sets, good) if g], pa.binary())}
 
         return work
@@ -329,13 +340,8 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     return packed.groupBy("task").applyInArrow(compare, "a long, b long")
 
 
-def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included); a row per row.
-
-    Texts are linked at a Jaccard coefficient of `percent` / 100 or more.  NULL and texts without words have no shingle
-    and are linked with nothing; equal texts are linked.  Rows with a NULL doc_id take part (component_id is NULL where
-    no row of the component has an id); rows that repeat an id are rows of their own.  Other columns are left behind.
-    """
+def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key (hash of the text), n_shingles, label (of the component; NULL without shingles), component_id; see `join`."""
     node_rows = checkpointed(nodes(docs, n, doc_id, text))
     tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
     families = checkpointed(components(tied))
@@ -344,4 +350,15 @@ def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: st
     release(docs.sparkSession)
     marked = node_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.dropna(subset=["label"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(least, "label", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return marked.join(least, "label", "left").select("doc_id", "text_key", "n_shingles", "label", own.alias("component_id"))
+
+
+def join(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included); a row per row.
+
+    Texts are linked at a Jaccard coefficient of `percent` / 100 or more.  NULL and texts without words have no shingle
+    and are linked with nothing; equal texts are linked.  Rows with a NULL doc_id take part (component_id is NULL where
+    no row of the component has an id); rows that repeat an id are rows of their own.  Other columns are left behind.
+    """
+    return classes(docs, n, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")

@@ -75,6 +75,36 @@ def test_links_go_over_rows_without_an_id(spark):
     assert [r["component_id"] for r in out] == [4, 4, 4]
 
 
+def test_a_text_that_only_a_row_without_an_id_holds_links_others(spark):
+    """1 ~ NULL ~ 2, but not 1 ~ 2."""
+    words = [f"w{i}" for i in range(60)]
+    left, right = [*words], [*words]
+    left[:4] = [f"x{i}" for i in range(4)]
+    right[-4:] = [f"y{i}" for i in range(4)]
+    pairs = [(1, " ".join(left)), (None, " ".join(words)), (2, " ".join(right))]
+    assert [r[2] for r in brute([pairs[0], pairs[2]], 4, 85)] == [1, 2]
+    out = {r["doc_id"]: r["component_id"] for r in rows_of(jaccard.join(table(spark, pairs), 4, 85))}
+    assert out == {1: 1, None: 1, 2: 1}
+    many = [*pairs, (3, None), (None, None), (None, " ".join(words)), (1, "w0 w1 w2 w3 w4"), (2, " ".join(left)), (2, " ".join(left))] + [(None, " ".join(words))] * 30
+    got = sorted(((r["doc_id"], r["component_id"]) for r in rows_of(jaccard.join(table(spark, many).repartition(5), 4, 85))), key=repr)
+    assert got == sorted([(1, 1), (None, 1), (2, 1), (3, 3), (None, None), (None, 1), (1, 1), (2, 1), (2, 1)] + [(None, 1)] * 30, key=repr)
+
+
+def test_families_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(70)]
+    pairs = []
+    for i in range(60):
+        own = [*words]
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(70)] = f"z{i}"
+        pairs.append((rng.randint(1, 50), " ".join(own[: rng.choice([70, 70, 66, 50])])))
+    ids = {i: (i, t) for i, t in pairs}
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(table(spark, list(ids.values())), 4, 85)))
+    assert got == brute(list(ids.values()), 4, 85)
+
+
 def test_bands_and_bounds():
     for percent in (80, 85, 90):
         starts = jaccard.band_starts(percent)

@@ -35,6 +35,21 @@ def test_near_copies(steps):
     assert sorted(i for i, _ in pairs(steps[2])) == sorted({c for _, _, c in groups})
 
 
+def test_near_copies_of_repeated_ids(spark, edge):
+    """A copy goes although its id also has a text of its own; of a group's rows with one id one stays."""
+    a, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def kept(*rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], edge.select(*columns).schema)
+        return sorted(((r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, SF).collect()), key=repr)
+
+    assert kept((1, other), (1, a), (0, a)) == [(0, a), (1, other)]
+    assert kept((5, other), (5, a)) == [(5, a), (5, other)]
+    assert len(kept((0, a), (0, a + " more"), (1, a))) == 1
+    assert kept((0, a), (0, a), (None, a), (None, a), (2, ""), (2, None)) == sorted([(0, a), (None, a), (None, a), (2, ""), (2, None)], key=repr)
+
+
 def test_repeats(steps):
     want = {i: n - r for i, n, r, *_ in brute_repeats(pairs(steps[2]))}
     got = {i: len((t or "").encode()) for i, t in pairs(steps[3])}
