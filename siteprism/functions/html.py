@@ -92,21 +92,25 @@ def _first(tag_array: Column, keep: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.filter(tag_array, keep), F.lit(1))
 
 
-def meta_content(html: Column, name: str) -> Column:
-    """content of the first <meta name=…>, '' when there is none."""
-    tag = _first(tags(html, "meta"), lambda t: attr(t, "name") == name)
-    return F.coalesce(attr(tag, "content"), F.lit(""))
+def meta_tags(html: Column) -> Column:
+    """All <meta> tags as {name, property, content}, in page order."""
+    return F.transform(tags(html, "meta"), lambda t: F.struct(*[attr(t, a).alias(a) for a in ("name", "property", "content")]))
 
 
-def meta_map(html: Column, key_attr: str, prefix: str) -> Column:
+def meta_content(html: Column, name: str, metas: Column | None = None) -> Column:
+    """content of the first <meta name=…>, '' when there is none; `metas` are the page's :func:`meta_tags` where they are at hand."""
+    first = _first(meta_tags(html) if metas is None else metas, lambda m: m["name"] == name)
+    return F.coalesce(first["content"], F.lit(""))
+
+
+def meta_map(html: Column, key_attr: str, prefix: str, metas: Column | None = None) -> Column:
     """{key: content} over <meta> tags whose key starts with prefix; last one wins."""
-    found = F.filter(tags(html, "meta"), lambda t: attr(t, key_attr).startswith(prefix))
-    pairs = F.transform(found, lambda t: F.struct(attr(t, key_attr).alias("k"), attr(t, "content").alias("v")))
+    found = F.filter(meta_tags(html) if metas is None else metas, lambda m: m[key_attr].startswith(prefix))
     empty = F.create_map().cast("map<string,string>")
     return F.aggregate(
-        pairs,
+        found,
         empty,
-        lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, _: k != p["k"]), F.create_map(p["k"], p["v"])),
+        lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: k != m[key_attr]), F.create_map(m[key_attr], m["content"])),
     )
 
 
@@ -114,22 +118,30 @@ def rel_tokens(tag: Column) -> Column:
     return F.split(F.lower(X.strip(attr(tag, "rel"))), r"\s+")
 
 
-def canonical(html: Column) -> Column:
-    tag = _first(tags(html, "link"), lambda t: F.array_contains(rel_tokens(t), "canonical"))
-    return F.coalesce(attr(tag, "href"), F.lit(""))
-
-
-def hreflang(html: Column) -> Column:
-    found = F.filter(
-        tags(html, "link"), lambda t: F.array_contains(rel_tokens(t), "alternate") & has_attr(t, "hreflang")
-    )
+def link_tags(html: Column) -> Column:
+    """All <link> tags as {rel (tokens), href, lang (NULL without hreflang)}, in page order."""
     return F.transform(
-        found, lambda t: F.struct(attr(t, "hreflang").alias("lang"), attr(t, "href").alias("url"))
+        tags(html, "link"),
+        lambda t: F.struct(rel_tokens(t).alias("rel"), attr(t, "href").alias("href"), F.when(has_attr(t, "hreflang"), attr(t, "hreflang")).alias("lang")),
     )
 
 
-def stylesheets_count(html: Column) -> Column:
-    return F.size(F.filter(tags(html, "link"), lambda t: F.array_contains(rel_tokens(t), "stylesheet")))
+def _with_rel(html: Column, links: Column | None, rel: str) -> Column:
+    return F.filter(link_tags(html) if links is None else links, lambda x: F.array_contains(x["rel"], rel))
+
+
+def canonical(html: Column, links: Column | None = None) -> Column:
+    """href of the first canonical link, '' without one; `links` are the page's :func:`link_tags` where they are at hand."""
+    return F.coalesce(F.try_element_at(_with_rel(html, links, "canonical"), F.lit(1))["href"], F.lit(""))
+
+
+def hreflang(html: Column, links: Column | None = None) -> Column:
+    found = F.filter(_with_rel(html, links, "alternate"), lambda x: x["lang"].isNotNull())
+    return F.transform(found, lambda x: F.struct(x["lang"].alias("lang"), x["href"].alias("url")))
+
+
+def stylesheets_count(html: Column, links: Column | None = None) -> Column:
+    return F.size(_with_rel(html, links, "stylesheet"))
 
 
 def all_links(html: Column, base: Column, site_host: Column) -> Column:
@@ -245,11 +257,11 @@ def script_sources(html: Column) -> Column:
     return F.filter(F.transform(tags(html, "script"), lambda t: attr(t, "src")), lambda s: s != "")
 
 
-def third_party_scripts(html: Column, site_host: Column) -> Column:
+def third_party_scripts(html: Column, site_host: Column, sources: Column | None = None) -> Column:
     """External scripts from a host that is not the site's own."""
     return F.size(
         F.filter(
-            script_sources(html),
+            script_sources(html) if sources is None else sources,
             lambda s: s.rlike(r"^(https?:)?//")
             & ~U.is_internal(U.host(F.regexp_replace(s, "^//", "http://")), site_host),
         )
@@ -265,15 +277,12 @@ def render_blocking(html: Column) -> Column:
     return stylesheets_count(head) + F.size(scripts)
 
 
-def has_mixed_content(html: Column, url: Column) -> Column:
+def has_mixed_content(html: Column, url: Column, links: Column | None = None) -> Column:
     """An https page loading a resource over http:// (links to pages do not count)."""
     src = html.rlike(r"(?i)<(?:img|script|iframe|source|video|audio|embed)\s[^>]*\ssrc\s*=\s*[\"']?http://") | html.rlike(
         r"(?i)<(?:img|script|iframe|source|video|audio|embed)\ssrc\s*=\s*[\"']?http://"
     )
-    sheet = F.exists(
-        tags(html, "link"),
-        lambda t: F.array_contains(rel_tokens(t), "stylesheet") & attr(t, "href").startswith("http://"),
-    )
+    sheet = F.exists(_with_rel(html, links, "stylesheet"), lambda x: x["href"].startswith("http://"))
     return url.startswith("https://") & (src | sheet)
 
 
@@ -291,8 +300,14 @@ def has_skip_link(html: Column) -> Column:
     return html.rlike(r"(?is)<a\s[^>]*href\s*=\s*[\"']?#[^>]*>[^<]*skip\s+(?:to|navigation)")
 
 
-def has_rel(html: Column, rel: str) -> Column:
-    return F.exists(F.concat(tags(html, "link"), tags(html, "a")), lambda t: F.array_contains(rel_tokens(t), rel))
+def has_rel(html: Column, rel: str, rels: Column | None = None) -> Column:
+    return F.exists(link_rels(html) if rels is None else rels, lambda r: F.array_contains(r, rel))
+
+
+def link_rels(html: Column, links: Column | None = None) -> Column:
+    """The rel tokens of all <link> and <a> tags."""
+    own = F.transform(link_tags(html) if links is None else links, lambda x: x["rel"])
+    return F.concat(own, F.transform(F.filter(tags(html, "a"), lambda t: has_attr(t, "rel")), rel_tokens))
 
 
 def has_flash(html: Column) -> Column:
@@ -424,19 +439,27 @@ def js_decision(pages: DataFrame, min_words: int = 50) -> DataFrame:
 # ------------------------------------------------------------------ whole page
 
 
-# Intermediate columns several features are cut from.
-_STEPS: dict[str, Callable[[Column, Column, Column], Column]] = {
-    "_links": lambda html, url, host: all_links(html, url, host),
-    "text_content": lambda html, url, host: visible_text(html),
-    "meta_robots": lambda html, url, host: meta_content(html, "robots"),
-}
+# Intermediate columns several features are cut from, in two layers: the second reads the first.
+_STEPS: list[dict[str, Callable[[Column, Column, Column], Column]]] = [
+    {
+        "_links": lambda html, url, host: all_links(html, url, host),
+        "_metas": lambda html, url, host: meta_tags(html),
+        "_link_tags": lambda html, url, host: link_tags(html),
+        "_scripts": lambda html, url, host: script_sources(html),
+        "text_content": lambda html, url, host: visible_text(html),
+    },
+    {
+        "meta_robots": lambda html, url, host: meta_content(html, "robots", F.col("_metas")),
+        "_rels": lambda html, url, host: link_rels(html, F.col("_link_tags")),
+    },
+]
 
 # Feature → (steps it needs, expression).
 _FEATURES: dict[str, tuple[list[str], Callable[[Column, Column, Column], Column]]] = {
     "title": ([], lambda html, url, host: title(html)),
-    "meta_description": ([], lambda html, url, host: meta_content(html, "description")),
-    "meta_robots": (["meta_robots"], lambda html, url, host: F.col("meta_robots")),
-    "canonical_url": ([], lambda html, url, host: canonical(html)),
+    "meta_description": (["_metas"], lambda html, url, host: meta_content(html, "description", F.col("_metas"))),
+    "meta_robots": (["_metas", "meta_robots"], lambda html, url, host: F.col("meta_robots")),
+    "canonical_url": (["_link_tags"], lambda html, url, host: canonical(html, F.col("_link_tags"))),
     "h1": ([], lambda html, url, host: headings(html, "h1")),
     "h2": ([], lambda html, url, host: headings(html, "h2")),
     "h3": ([], lambda html, url, host: headings(html, "h3")),
@@ -448,23 +471,23 @@ _FEATURES: dict[str, tuple[list[str], Callable[[Column, Column, Column], Column]
     "text_content_hash": (["text_content"], lambda html, url, host: F.md5("text_content")),
     "structured_data": ([], lambda html, url, host: structured_data(html)),
     "schema_errors": ([], lambda html, url, host: schema_errors(html)),
-    "open_graph": ([], lambda html, url, host: meta_map(html, "property", "og:")),
-    "twitter_cards": ([], lambda html, url, host: meta_map(html, "name", "twitter:")),
-    "hreflang": ([], lambda html, url, host: hreflang(html)),
+    "open_graph": (["_metas"], lambda html, url, host: meta_map(html, "property", "og:", F.col("_metas"))),
+    "twitter_cards": (["_metas"], lambda html, url, host: meta_map(html, "name", "twitter:", F.col("_metas"))),
+    "hreflang": (["_link_tags"], lambda html, url, host: hreflang(html, F.col("_link_tags"))),
     "html_lang": ([], lambda html, url, host: html_lang(html)),
-    "has_viewport_meta": ([], lambda html, url, host: F.exists(tags(html, "meta"), lambda t: attr(t, "name") == "viewport")),
-    "viewport_content": ([], lambda html, url, host: meta_content(html, "viewport")),
-    "noindex": (["meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("noindex")),
-    "nofollow": (["meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("nofollow")),
-    "scripts_count": ([], lambda html, url, host: F.size(script_sources(html))),
-    "stylesheets_count": ([], lambda html, url, host: stylesheets_count(html)),
+    "has_viewport_meta": (["_metas"], lambda html, url, host: F.exists("_metas", lambda m: m["name"] == "viewport")),
+    "viewport_content": (["_metas"], lambda html, url, host: meta_content(html, "viewport", F.col("_metas"))),
+    "noindex": (["_metas", "meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("noindex")),
+    "nofollow": (["_metas", "meta_robots"], lambda html, url, host: F.lower("meta_robots").contains("nofollow")),
+    "scripts_count": (["_scripts"], lambda html, url, host: F.size("_scripts")),
+    "stylesheets_count": (["_link_tags"], lambda html, url, host: stylesheets_count(html, F.col("_link_tags"))),
     "render_blocking_resources": ([], lambda html, url, host: render_blocking(html)),
-    "third_party_scripts": ([], lambda html, url, host: third_party_scripts(html, host)),
-    "has_mixed_content": ([], lambda html, url, host: has_mixed_content(html, url)),
+    "third_party_scripts": (["_scripts"], lambda html, url, host: third_party_scripts(html, host, F.col("_scripts"))),
+    "has_mixed_content": (["_link_tags"], lambda html, url, host: has_mixed_content(html, url, F.col("_link_tags"))),
     "forms_without_labels": ([], lambda html, url, host: forms_without_labels(html)),
     "has_skip_link": ([], lambda html, url, host: has_skip_link(html)),
-    "has_rel_next": ([], lambda html, url, host: has_rel(html, "next")),
-    "has_rel_prev": ([], lambda html, url, host: has_rel(html, "prev")),
+    "has_rel_next": (["_link_tags", "_rels"], lambda html, url, host: has_rel(html, "next", F.col("_rels"))),
+    "has_rel_prev": (["_link_tags", "_rels"], lambda html, url, host: has_rel(html, "prev", F.col("_rels"))),
     "has_flash": ([], lambda html, url, host: has_flash(html)),
     "requires_plugin": ([], lambda html, url, host: requires_plugin(html)),
     "readability_score": (["text_content"], lambda html, url, host: X.readability(F.col("text_content"))),
@@ -481,9 +504,10 @@ def extract_page(pages: DataFrame, columns: list[str] | None = None) -> DataFram
     host = F.col("site_host") if "site_host" in pages.columns else U.host(url)
     wanted = [c for c in _FEATURES if columns is None or c in columns]
     needed = {s for c in wanted for s in _FEATURES[c][0]}
-    steps = [make(html, url, host).alias(name) for name, make in _STEPS.items() if name in needed]
     keep = [c for c in pages.columns if c != "html"]
-    step = pages.select("*", *steps) if steps else pages
+    step = pages
+    for layer in _STEPS:
+        step = step.select("*", *[make(html, url, host).alias(name) for name, make in layer.items() if name in needed])
     return step.select(*keep, *[_FEATURES[c][1](html, url, host).alias(c) for c in wanted])
 
 

@@ -7,6 +7,8 @@ lists go through a group limit first, so nothing unbounded is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -439,6 +441,39 @@ def audit_hits(
     return out
 
 
+def audit_details(hits: DataFrame) -> DataFrame:
+    """Every detail entry behind the checks: site_id, check_id, ord, page_seq, pos, detail (JSON); rows, so no list grows with a site."""
+    return hits.filter("details IS NOT NULL").select("site_id", "check_id", "ord", "page_seq", F.posexplode("details").alias("pos", "detail"))
+
+
+def audit_counts(pages: DataFrame, sites: DataFrame, robots: DataFrame | None = None, sitemaps: DataFrame | None = None) -> DataFrame:
+    """All 100 checks per site with what a score needs: category, severity, passed, affected_count; no hit is made or stored.
+
+    Checks of single pages are columns of one partial aggregate per site; checks of groups add up group sizes, those of
+    links count linked and unlinked pages.
+    """
+    pages = with_optional(pages).withColumn("page_seq", F.col("page_seq").cast("bigint"))
+    per_page = page_counts()
+    sums = pages.groupBy("site_id").agg(*[F.sum(F.when(c > 0, c)).alias(f"c{i}") for i, c in per_page.items()])
+    entries = F.array(*[F.struct(F.lit(i).alias("check_id"), F.col(f"c{i}").cast("bigint").alias("n")) for i in per_page])
+    parts = [sums.select("site_id", F.inline(entries))]
+    for ids, key in (([14], X.strip(F.lower("title"))), ([39, 52], F.col("text_content_hash"))):
+        keyed = pages.filter("status_code = 200").select("site_id", key.alias("key")).filter("key <> ''")
+        sizes = keyed.groupBy("site_id", "key").agg(F.count("*").alias("n")).filter("n > 1")
+        parts.append(sizes.groupBy("site_id").agg(F.sum("n").alias("n")).select("site_id", F.explode(F.array(*[F.lit(i) for i in ids])).alias("check_id"), "n"))
+    few = F.when(F.col("in_degree") == 0, 9).when(F.col("in_degree") <= 2, 41)
+    parts.append(inlinks(pages, sites).groupBy("site_id", few.alias("check_id")).agg(F.count("*").alias("n")).filter("check_id IS NOT NULL"))
+    parts.append(broken_links(pages).groupBy("site_id").agg(F.count("*").alias("n")).select("site_id", F.lit(42).alias("check_id"), "n"))
+    parts.append(_site_hits(pages, sites, robots, sitemaps, None).select("site_id", "check_id", "n"))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("site_id", "check_id").agg(F.sum("n").alias("affected_count"))
+    grid = sites.select("site_id").distinct().withColumn("check_id", F.explode(F.array(*[F.lit(r[0]) for r in RULES])))
+    n = F.coalesce("affected_count", F.lit(0)).cast("bigint")
+    return (
+        grid.join(rule_table(sites.sparkSession, None), "check_id").join(counts, ["site_id", "check_id"], "left")
+        .select("site_id", "check_id", "category", "check_name", "severity", (n == 0).alias("passed"), n.alias("affected_count"))
+    )
+
+
 def audit(
     pages: DataFrame, sites: DataFrame, robots: DataFrame | None = None, sitemaps: DataFrame | None = None,
     only: list[int] | None = None, with_details: bool = True, hits: DataFrame | None = None,

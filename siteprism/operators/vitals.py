@@ -99,7 +99,8 @@ def opportunities() -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["o"])
 
 
-def diagnostics() -> Column:
+def diagnostics(most: int | None = None) -> Column:
+    """The diagnostics of a report; of their items all, or the first `most`."""
     ids = F.filter(F.array(*[F.lit(i) for i in DIAGNOSTICS]), lambda i: F.try_element_at("audits", i).isNotNull())
     with_items = F.array(*[F.lit(i) for i in DIAGNOSTICS_WITH_ITEMS])
 
@@ -107,7 +108,7 @@ def diagnostics() -> Column:
         a = F.try_element_at("audits", i)
         return F.struct(
             i.alias("id"), a["title"].alias("title"), a["description"].alias("description"), a["displayValue"].alias("display_value"),
-            a["score"].alias("score"), F.when(F.array_contains(with_items, i), F.slice(a["details"]["items"], 1, 10)).alias("items"),
+            a["score"].alias("score"), F.when(F.array_contains(with_items, i), a["details"]["items"] if most is None else F.slice(a["details"]["items"], 1, most)).alias("items"),
         )
 
     return F.transform(ids, build)

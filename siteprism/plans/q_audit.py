@@ -10,6 +10,7 @@ from siteprism.operators import audit as A
 from siteprism.operators.rules import RULES
 from siteprism.plans import pages as P
 from siteprism.plans import sql_audit as SA
+from siteprism.plans import sql_pages as S
 from siteprism.plans.registry import query
 
 # Extracted columns a check reads (the others come with the crawl).
@@ -40,6 +41,12 @@ def checks(spark: SparkSession, sf: str, only: list[int] | None = None, with_det
     return A.audit(pages, P.sites(spark, sf), P.robots(spark, sf), P.sitemaps(spark, sf), only, with_details)
 
 
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All checks per site without lists, for scores and totals."""
+    columns = sorted({c for r in RULES for c in READS.get(r[0], [])})
+    return A.audit_counts(A.audit_features(P.features(spark, sf, columns)), P.sites(spark, sf), P.robots(spark, sf), P.sitemaps(spark, sf))
+
+
 def checks_and_hits(spark: SparkSession, sf: str, with_details: bool = False) -> tuple[DataFrame, DataFrame]:
     """The full audit and the uncut hits behind it, written once."""
     columns = sorted({c for r in RULES for c in READS.get(r[0], [])})
@@ -75,23 +82,42 @@ def audit_checks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "audit_details",
-    f"""WITH {SA.ctes([7, 10, 12, 41])}, d AS (
-      SELECT site_id, 7 AS check_id, row_number() OVER (PARTITION BY site_id ORDER BY page_seq) AS rn, '{{"url":"' || url || '","canonical":"' || canonical_url || '"}}' AS detail FROM feat WHERE {SA.PAGE[7]}
-      UNION ALL SELECT site_id, 10, row_number() OVER (PARTITION BY site_id ORDER BY page_seq), '{{"url":"' || url || '","depth":' || crawl_depth || '}}' FROM feat WHERE {SA.PAGE[10]}
-      UNION ALL SELECT site_id, 12, row_number() OVER (PARTITION BY site_id ORDER BY page_seq), '{{"url":"' || url || '","current":' || length(title) || ',"target":"50-60 chars"}}' FROM feat WHERE {SA.PAGE[12]}
-      UNION ALL SELECT site_id, 41, row_number() OVER (PARTITION BY site_id ORDER BY page_seq), '{{"url":"' || url || '","incoming_links":' || n || '}}' FROM inl WHERE n BETWEEN 1 AND 2)
-    SELECT site_id, check_id, string_agg(detail, chr(10) ORDER BY rn) AS details FROM d WHERE rn <= CASE check_id WHEN 12 THEN 10 WHEN 41 THEN 10 ELSE 20 END GROUP BY ALL""",
-)
+def _page_detail(check_id: int, *fields: str) -> str:
+    return f"SELECT site_id, {check_id} AS check_id, 0 AS ord, page_seq, 0 AS pos, to_json({{{', '.join(fields)}}})::VARCHAR AS detail FROM feat WHERE {SA.PAGE[check_id]}"
+
+
+def _group_detail(check_id: int, key: str) -> str:
+    return f"""SELECT site_id, {check_id}, min(page_seq), min(page_seq), 0, to_json({{'key': k, 'urls': count(*), 'first_url': arg_min(url, page_seq)}})::VARCHAR
+      FROM (SELECT *, {key} AS k FROM feat WHERE status_code = 200) WHERE k <> '' GROUP BY site_id, k HAVING count(*) > 1"""
+
+
+_DETAILS = [
+    _page_detail(7, "'url': url", "'canonical': canonical_url"),
+    _page_detail(10, "'url': url", "'depth': crawl_depth"),
+    _page_detail(12, "'url': url", "'current': length(title)", "'target': '50-60 chars'"),
+    _page_detail(13, "'url': url", "'current': length(title)", "'target': '<60 chars'"),
+    _page_detail(16, "'url': url", "'current': length(meta_description) || CASE WHEN length(meta_description) < 70 THEN ' chars (too short)' ELSE ' chars (too long)' END", "'target': '150-160 chars'"),
+    _page_detail(24, "'url': url", "'current': load_time_ms || 'ms'", "'target': '<800ms'"),
+    "SELECT site_id, 26, 0, page_seq, generate_subscripts(images, 1) - 1, to_json({'url': url, 'image': unnest(images).url})::VARCHAR FROM feat WHERE page_id * 7919 % 400000 > 200000",
+    _group_detail(14, S.strip("lower(title)")),
+    _group_detail(39, "text_content_hash"),
+    "SELECT site_id, 41, 0, page_seq, 0, to_json({'url': url, 'incoming_links': n})::VARCHAR FROM inl WHERE n BETWEEN 1 AND 2",
+    """SELECT site_id, 42, 0, page_seq, row_number() OVER (PARTITION BY site_id, page_seq ORDER BY pos) - 1, to_json({'from': src, 'to': dst})::VARCHAR
+      FROM (SELECT site_id, page_seq, url AS src, generate_subscripts(internal_links, 1) AS pos, unnest(internal_links).url AS dst FROM feat) e
+      WHERE dst <> '' AND NOT EXISTS (SELECT 1 FROM feat f WHERE f.site_id = e.site_id AND f.url = e.dst)""",
+]
+
+
+@query("audit_details", f"WITH {ALL}, d AS ({' UNION ALL '.join(_DETAILS)}) SELECT site_id, check_id, ord, page_seq, pos, detail FROM d")
 def audit_details(spark: SparkSession, sf: str) -> DataFrame:
-    c = checks(spark, sf, [7, 10, 12, 41], with_details=True).filter(F.size("details") > 0)
-    return c.select("site_id", "check_id", F.array_join("details", "\n").alias("details"))
+    """Every detail of the checks that look at pages, as rows."""
+    hits = checks_and_hits(spark, sf)[1]
+    return A.audit_details(hits).filter("check_id > 4")
 
 
 @query("a01_audit_score", f"WITH {ALL} SELECT site_id, {SA.SCORE} AS score FROM {SA.WEIGHTED} GROUP BY site_id")
 def a01(spark: SparkSession, sf: str) -> DataFrame:
-    return A.audit_score(checks(spark, sf))
+    return A.audit_score(counts(spark, sf))
 
 
 def _map_text(prefix: str) -> str:
@@ -111,7 +137,7 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda m: F.array_join(
         F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","
     )
-    return A.audit_summary(checks(spark, sf)).select(
+    return A.audit_summary(counts(spark, sf)).select(
         "site_id", "total_checks", "passed_checks", "failed_checks", "score",
         text("issues_by_severity").alias("by_severity"), text("issues_by_category").alias("by_category"),
     )
@@ -124,7 +150,7 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
     FROM checks GROUP BY ALL)""",
 )
 def a03(spark: SparkSession, sf: str) -> DataFrame:
-    return A.category_scores(checks(spark, sf))
+    return A.category_scores(counts(spark, sf))
 
 
 _GRADE = """CASE WHEN score >= 95 THEN 'A+' WHEN score >= 90 THEN 'A' WHEN score >= 85 THEN 'B+' WHEN score >= 80 THEN 'B'
@@ -162,7 +188,7 @@ def a05(spark: SparkSession, sf: str) -> DataFrame:
     count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low FROM issues GROUP BY site_id""",
 )
 def a06(spark: SparkSession, sf: str) -> DataFrame:
-    return A.severity_counts(A.to_issues(checks(spark, sf)))
+    return A.severity_counts(counts(spark, sf).filter("not passed"))
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -195,7 +221,7 @@ def a08(spark: SparkSession, sf: str) -> DataFrame:
       CASE WHEN c > 0 THEN 'medium' ELSE 'low' END AS confidence FROM s""",
 )
 def a09(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.audit_summary(checks(spark, sf))
+    s = A.audit_summary(counts(spark, sf))
     n = lambda k: F.coalesce(F.try_element_at("issues_by_severity", F.lit(k)), F.lit(0))
     return s.select("site_id", "score", A.traffic_impact(n("critical"), n("high"), n("medium"), F.col("score")).alias("t")).select(
         "site_id", "score", "t.*"

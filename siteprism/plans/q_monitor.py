@@ -69,7 +69,7 @@ def _psi(spark: SparkSession, sf: str) -> DataFrame:
     audits = F.struct(
         *[num(c).alias(a) for c, a in V.LAB.items() if c in ("lcp_ms", "tbt_ms", "fcp_ms", "ttfb_ms")],
         F.struct(F.col("cls").alias("numericValue")).alias(V.CLS_AUDIT), css.alias("unused-css-rules"),
-        F.struct(F.lit("DOM").alias("title"), F.struct(F.array(F.lit("a"), F.lit("b")).alias("items")).alias("details")).alias("dom-size"),
+        F.struct(F.lit("DOM").alias("title"), F.struct(F.array(*[F.lit(x) for x in "abcdefghijkl"]).alias("items")).alias("details")).alias("dom-size"),
     )
     doc = F.struct(
         F.struct(
@@ -105,7 +105,7 @@ def v02(spark: SparkSession, sf: str) -> DataFrame:
     "v03_opportunities",
     f"""WITH {_SNAP}, o AS (SELECT snapshot_id, 'unused-css-rules' AS id, CASE WHEN snapshot_id % 5 = 0 THEN lcp_ms ELSE (snapshot_id % 5 * 100)::INT END AS ms, 2048 AS bytes FROM snap WHERE snapshot_id % 3 < 2
       UNION ALL SELECT snapshot_id, 'server-response-time', ttfb_ms, 0 FROM snap)
-    SELECT snapshot_id, string_agg(id || ':' || ms || ':' || bytes, ',' ORDER BY ms DESC, bytes DESC, CASE id WHEN 'unused-css-rules' THEN 1 ELSE 2 END) AS opportunities, 'dom-size,2' AS diagnostics FROM o GROUP BY snapshot_id""",
+    SELECT snapshot_id, string_agg(id || ':' || ms || ':' || bytes, ',' ORDER BY ms DESC, bytes DESC, CASE id WHEN 'unused-css-rules' THEN 1 ELSE 2 END) AS opportunities, 'dom-size,12' AS diagnostics FROM o GROUP BY snapshot_id""",
 )
 def v03(spark: SparkSession, sf: str) -> DataFrame:
     show = lambda o: F.concat_ws(":", o["id"], o["savings_ms"].cast("string"), o["savings_bytes"].cast("string"))
@@ -245,7 +245,7 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
     return c.select(
         k.alias("rule_id"), "site_id", F.when(k % 3 != 0, k % 3).cast("int").alias("consecutive_failures"),
         F.when(k % 5 != 0, k % 40).cast("int").alias("position_drop"), F.when(k % 4 != 0, k % 100).cast("int").alias("min_position"),
-        F.lit(None).cast("array<bigint>").alias("keyword_ids"), F.when(k % 6 != 0, k % 100).cast("int").alias("threshold"),
+        F.when(k % 3 == 0, F.array(F.col("site_id"), F.col("site_id") + 1500)).when(k % 7 == 0, F.array().cast("array<bigint>")).alias("keyword_ids"), F.when(k % 6 != 0, k % 100).cast("int").alias("threshold"),
         F.when(k % 7 != 0, k % 60).cast("double").alias("drop_percentage"), (k % 2 == 0).alias("check_noindex"), (k % 3 == 0).alias("check_404"),
         F.when(k % 4 != 0, k % 9).cast("int").alias("check_deindex_count"), F.when(k % 8 != 0, k % 120).cast("int").alias("cooldown_minutes"),
         F.when(k % 9 != 0, as_of() - F.make_dt_interval(F.lit(0), F.lit(0), (k % 100).cast("int"))).alias("last_triggered_at"),
@@ -255,7 +255,7 @@ def _rules(spark: SparkSession, sf: str) -> DataFrame:
 
 _RULES = f"""rl AS (SELECT c_custkey * 2 + i AS rule_id, c_custkey AS site_id FROM customer, (VALUES (0), (1)) v(i)),
 rules AS (SELECT rule_id, site_id, CASE WHEN rule_id % 3 <> 0 THEN rule_id % 3 END AS consecutive_failures, CASE WHEN rule_id % 5 <> 0 THEN rule_id % 40 END AS position_drop,
-  CASE WHEN rule_id % 4 <> 0 THEN rule_id % 100 END AS min_position, CASE WHEN rule_id % 6 <> 0 THEN rule_id % 100 END AS threshold,
+  CASE WHEN rule_id % 4 <> 0 THEN rule_id % 100 END AS min_position, CASE WHEN rule_id % 3 = 0 THEN [site_id, site_id + 1500] WHEN rule_id % 7 = 0 THEN [] END AS keyword_ids, CASE WHEN rule_id % 6 <> 0 THEN rule_id % 100 END AS threshold,
   CASE WHEN rule_id % 7 <> 0 THEN rule_id % 60 END AS drop_percentage, rule_id % 2 = 0 AS check_noindex, rule_id % 3 = 0 AS check_404,
   CASE WHEN rule_id % 4 <> 0 THEN rule_id % 9 END AS check_deindex_count, CASE WHEN rule_id % 8 <> 0 THEN rule_id % 120 END AS cooldown_minutes,
   CASE WHEN rule_id % 9 <> 0 THEN TIMESTAMP '{AS_OF}' - to_minutes((rule_id % 100)::INT) END AS last_triggered_at,
@@ -275,7 +275,7 @@ def m06(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "m07_ranking_drop_alerts",
     f"""WITH {D.KEYWORDS}, {_RULES}, h AS (SELECT rule_id, r.site_id, text, keyword_id, current_position - previous_position AS dr FROM rules r JOIN kw ON kw.keyword_id % 1500 = r.site_id
-      WHERE is_tracked AND previous_position <> 0 AND previous_position <= coalesce(min_position, 100) AND current_position - previous_position >= coalesce(position_drop, 10))
+      WHERE (coalesce(len(keyword_ids), 0) = 0 OR list_contains(keyword_ids, keyword_id)) AND is_tracked AND previous_position <> 0 AND previous_position <= coalesce(min_position, 100) AND current_position - previous_position >= coalesce(position_drop, 10))
     SELECT rule_id, site_id, CASE WHEN count(*) < 5 THEN 'warning' ELSE 'critical' END AS severity, count(*) AS drops, array_to_string((list(text ORDER BY dr DESC, keyword_id))[1:5], ',') AS worst FROM h GROUP BY ALL""",
 )
 def m07(spark: SparkSession, sf: str) -> DataFrame:

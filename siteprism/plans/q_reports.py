@@ -194,24 +194,6 @@ def p10(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------------- reports
 
-_FIXES = f"""{_ISSUES}, fx AS (SELECT i.site_id, unnest(CASE WHEN urls = '' THEN [base_url] ELSE string_split(urls, chr(10)) END) AS url, title, severity, fix FROM issues i JOIN site USING (site_id)),
-fc AS (SELECT site_id, url, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low FROM fx GROUP BY ALL)"""
-
-
-def _fixes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return R.page_fixes(A.to_issues(checks(spark, sf, with_details=True)), P.sites(spark, sf))
-
-
-@query("r01_page_fixes", f"WITH {_FIXES} SELECT site_id, url, critical, high, medium, low, critical + high + medium + low AS total, critical * 100 + high * 10 + medium AS weight FROM fc")
-def r01(spark: SparkSession, sf: str) -> DataFrame:
-    return _fixes(spark, sf)[1]
-
-
-@query("r01_page_fix_rows", f"WITH {_FIXES} SELECT site_id, url, title, severity, fix FROM fx")
-def r01r(spark: SparkSession, sf: str) -> DataFrame:
-    return _fixes(spark, sf)[0].select("site_id", "url", "title", "severity", "fix")
-
-
 _ALL_FIXES = f"""{_ISSUES}, fx AS (SELECT i.site_id, h.url, title, severity, fix FROM issues i JOIN hits h ON h.site_id = i.site_id AND h.check_id = i.check_id WHERE h.url IS NOT NULL
   UNION ALL SELECT i.site_id, base_url, title, severity, fix FROM issues i JOIN site s ON s.site_id = i.site_id WHERE urls = ''),
 fc AS (SELECT site_id, url, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low FROM fx GROUP BY ALL)"""
@@ -222,14 +204,20 @@ def _all_fixes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return R.page_fixes(A.to_issues(c), P.sites(spark, sf), hits)
 
 
-@query("r01_page_fixes_uncut", f"WITH {_ALL_FIXES} SELECT site_id, url, critical, high, medium, low, critical + high + medium + low AS total, critical * 100 + high * 10 + medium AS weight FROM fc")
-def r01u(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page that a check hits, not only the ten URLs of an issue's preview."""
+_PAGE_FIXES = f"WITH {_ALL_FIXES} SELECT site_id, url, critical, high, medium, low, critical + high + medium + low AS total, critical * 100 + high * 10 + medium AS weight FROM fc"
+_PAGE_FIX_ROWS = f"WITH {_ALL_FIXES} SELECT site_id, url, title, severity, fix FROM fx"
+
+
+@query("r01_page_fixes", _PAGE_FIXES)
+@query("r01_page_fixes_uncut", _PAGE_FIXES)
+def r01(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page that a check hits."""
     return _all_fixes(spark, sf)[1]
 
 
-@query("r01_page_fix_rows_uncut", f"WITH {_ALL_FIXES} SELECT site_id, url, title, severity, fix FROM fx")
-def r01ru(spark: SparkSession, sf: str) -> DataFrame:
+@query("r01_page_fix_rows", _PAGE_FIX_ROWS)
+@query("r01_page_fix_rows_uncut", _PAGE_FIX_ROWS)
+def r01r(spark: SparkSession, sf: str) -> DataFrame:
     return _all_fixes(spark, sf)[0].select("site_id", "url", "title", "severity", "fix")
 
 
@@ -553,28 +541,15 @@ def io05(spark: SparkSession, sf: str) -> DataFrame:
     return IO.keyword_rows(raw).select("keyword_id", "text", "search_volume", F.col("cpc").cast("double"), F.col("competition").cast("double"), "difficulty", "intent")
 
 
-@query(
-    "io07_write_audit",
-    f"WITH {SA.ctes([1, 6, 11, 51, 71])} SELECT site_id, check_id, passed::INT AS passed, array_to_string(string_split(urls, chr(10))[1:20], chr(10)) AS urls FROM checks",
-)
-def io07(spark: SparkSession, sf: str) -> DataFrame:
-    """Audit tables written by tenant and read back."""
-    c = materialize(checks(spark, sf, [1, 6, 11, 51, 71])).withColumn("tenant_id", F.lit("t1"))
-    runs = A.audit_score(c).withColumn("tenant_id", F.lit("t1"))
-    issues = A.to_issues(c).withColumn("tenant_id", F.lit("t1"))
-    path = _folder(spark, "audit")
-    IO.write_audit(path, runs, c, issues)
-    return spark.read.parquet(f"{path}/seo_audit_checks").select("site_id", "check_id", "passed", F.array_join("affected_urls", "\n").alias("urls"))
-
-
-@query(
-    "io07_write_audit_uncut",
-    f"""WITH {_ISSUES} SELECT 'run' AS part, site_id, NULL::INT AS check_id, NULL AS url, {SA.SCORE}::BIGINT AS n FROM {SA.WEIGHTED} GROUP BY site_id
+_WRITTEN = f"""WITH {_ISSUES} SELECT 'run' AS part, site_id, NULL::INT AS check_id, NULL AS url, {SA.SCORE}::BIGINT AS n FROM {SA.WEIGHTED} GROUP BY site_id
     UNION ALL SELECT 'check', site_id, check_id, NULL, passed::BIGINT FROM checks
     UNION ALL SELECT 'issue', site_id, check_id, NULL, affected_count FROM issues
-    UNION ALL SELECT 'hit', site_id, check_id, url, n::BIGINT FROM hits""",
-)
-def io07u(spark: SparkSession, sf: str) -> DataFrame:
+    UNION ALL SELECT 'hit', site_id, check_id, url, n::BIGINT FROM hits"""
+
+
+@query("io07_write_audit", _WRITTEN)
+@query("io07_write_audit_uncut", _WRITTEN)
+def io07(spark: SparkSession, sf: str) -> DataFrame:
     """The tables of all 100 checks and of their uncut hits, written by tenant and all read back."""
     c, hits = checks_and_hits(spark, sf, with_details=True)
     c = materialize(c)
