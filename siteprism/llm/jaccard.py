@@ -301,43 +301,30 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     held = texts(docs, doc_id, text).withColumn("text_key", text_key())
     held = held.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
 
-    def make():
-        shingler = Shingler(n)
-
-        def work(part: pa.RecordBatch) -> dict:
-            sets, good, seen = [], [], set()
-            for t, *place in zip(raw(part.column("text")), *(part.column(c).to_pylist() for c in ("node", "task", "side"))):
-                new = tuple(place) not in seen  # repeated rows
-                sets.append(shingler.set_of(t) if new else None)
-                good.append(new and node_of(sets[-1]) == place[0])
-                seen.add(tuple(place))
-            keep = pa.array(good, pa.bool_())
-            return {c: part.column(c).filter(keep) for c in ("task", "family", "node", "side")} | {"elements": pa.array([s.tobytes() for s, g in zip(sets, good) if g], pa.binary())}
-
-        return work
-
-    packed = map_slices(held.select("text", "task", "family", "node", "side"), make, "task long, family long, node long, side int, elements binary")
+    last: list[Shingler] = []  # of the task
 
     def compare(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("family", "node", "side", "elements"))), key=lambda r: (r[0], len(r[3]), r[1]))
-        a, b, i = [], [], 0
-        while i < len(rows):
-            j = i
-            mine: list[tuple] = []
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                if not mine or mine[-1][1] != rows[j][1]:
-                    mine.append(rows[j])
-                j += 1
-            sets = [np.frombuffer(r[3], _U) for r in mine]
-            side = np.array([r[2] for r in mine])
-            everyone = np.arange(len(mine))
+        last[:] = last or [Shingler(n)]
+        mine: dict[int, list[tuple]] = {}
+        seen = set()
+        for t, family, node, side in zip(raw(group.column("text").combine_chunks()), *(group.column(c).to_pylist() for c in ("family", "node", "side"))):
+            if (node, side) not in seen:  # repeated rows
+                seen.add((node, side))
+                s = last[0].set_of(t)
+                if node_of(s) == node:
+                    mine.setdefault(family, []).append((len(s), node, side, s))
+        a, b = [], []
+        for members in mine.values():
+            members.sort(key=lambda r: r[:2])
+            sets, side = [r[3] for r in members], np.array([r[2] for r in members])
+            everyone = np.arange(len(members))
             found = links(sets, everyone, everyone, percent) if not side.any() else links(sets, everyone[side == 1], everyone[side == 2], percent)
-            a += [mine[x][1] for x, _ in found]
-            b += [mine[y][1] for _, y in found]
-            i = j
+            a += [members[x][1] for x, _ in found]
+            b += [members[y][1] for _, y in found]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return packed.groupBy("task").applyInArrow(compare, "a long, b long")
+    # texts travel, as they are smaller than their sets
+    return held.select("text", "task", "family", "node", "side").groupBy("task").applyInArrow(compare, "a long, b long")
 
 
 def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -155,13 +155,12 @@ def segments(prints: Fingerprints, data: np.ndarray, ends: np.ndarray) -> dict[s
     }
 
 
-#: A row of a suffix array: text (hash), first and last window start, place of the suffix.
-_ROW = "text_key long, first long, last long, anchor long, core long, cover long"
-#: The place in a row that equals two others of its slice; such a row has a core of its own.
-_SETTLED = -1
-#: Columns of a run, and of what a scan hands on.
-_RUN = ("text_key", "first", "last")
-_KEPT = (*_RUN, "core", "repeats", "open")
+#: A row of a suffix array: text (hash), span (first window start * _SPAN + number of those behind it), core, cover.
+#: A row that equals two others of its slice is settled: its span is turned (~) below zero and its core is its own.
+_ROW = "text_key long, span long, core long, cover long"
+_SPAN = 256
+#: What a scan hands on.
+_KEPT = ("text_key", "span", "core", "repeats", "open")
 
 
 def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
@@ -247,9 +246,9 @@ def suffix_array(rows: DataFrame, cuts: tuple = ()) -> DataFrame:
             owner = found["owner"]
             shift = (np.array(offsets, np.int64) - ends + [len(b) for b in blocks])[owner] if blocks else owner
             settled = beyond_two(found["core"], found["cover"])
-            columns = {"text_key": own[owner]} | {k: found[k] + shift for k in ("first", "last", "anchor")} | {k: found[k] for k in ("core", "cover")}
-            columns["core"] = np.where(settled, _mixed(own[owner] + _mixed(columns["first"].view(_U))), columns["core"])
-            columns["anchor"] = np.where(settled, _SETTLED, columns["anchor"])
+            span = (found["first"] + shift) * _SPAN + found["last"] - found["first"]
+            core = np.where(settled, _mixed(own[owner] + _mixed(span.view(_U))), found["core"])
+            columns = {"text_key": own[owner], "span": np.where(settled, ~span, span), "core": core, "cover": found["cover"]}
             return {k: pa.array(v.view(np.int64)) for k, v in columns.items()}
 
         return work
@@ -286,7 +285,7 @@ def scan(arrays: DataFrame, only: str | None = None, columns: tuple[str, ...] =
             two = lambda x: (x[:-1] | x[1:])[:n]  # noqa: E731  with the row before or after
             if n:
                 before = (core[n - 1], cover[n - 1], fresh[n - 1])
-            settled = rows.column("anchor").to_numpy()[:n] == _SETTLED
+            settled = rows.column("span").to_numpy()[:n] < 0
             alone = settled & fresh[:n]
             near, repeats = two(same_core & either) | alone, two(same & either) | alone
             marks = {"near": near, "repeats": repeats, "open": near & ~settled & (~two(same) | two(~same & same_core))}
@@ -356,7 +355,7 @@ class IndexFamily:
 
 
 def repeated(rows: DataFrame, batches: int) -> DataFrame:
-    """(text_key, first, last): runs of window starts whose window occurs elsewhere (a run may come more than once)."""
+    """(text_key, span): runs of window starts whose window occurs elsewhere (a run may come more than once); see _ROW."""
     family = IndexFamily(shared_dir(rows.sparkSession))
     found: DataFrame | None = None
     for b in range(batches):
@@ -368,9 +367,10 @@ def repeated(rows: DataFrame, batches: int) -> DataFrame:
     cuts = ((broadcast_bitmap(whole.filter("open").select(mark)), GROUP),)
     groups = stored(scan(in_order(suffix_array(rows, cuts)), "near", _KEPT))
     cuts += ((broadcast_bitmap(groups.filter("open").select(mark)), 1),)
-    single = stored(scan(in_order(suffix_array(rows, cuts)), "repeats", _RUN))
-    runs = [x.filter("repeats").select(*_RUN) for x in (whole, groups)]
-    return runs[0].unionByName(runs[1]).unionByName(single)
+    single = stored(scan(in_order(suffix_array(rows, cuts)), "repeats", ("text_key", "span")))
+    runs = [x.filter("repeats").select("text_key", "span") for x in (whole, groups)]
+    found = runs[0].unionByName(runs[1]).unionByName(single)
+    return found.withColumn("span", F.when(F.col("span") < 0, F.bitwise_not("span")).otherwise(F.col("span")))
 
 
 def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str = "text", carry: bool = False, as_text: bool = False) -> DataFrame:
@@ -381,13 +381,13 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
     behind, or come along in `row` (carry).
     """
     rows = keyed_texts(docs, doc_id, text, carry)
-    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_list(F.struct("first", "last")).alias("runs")))
+    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_list("span").alias("runs")))
     bits = F.broadcast(bitmap(spans.select(F.col("text_key").alias("key"))))  # BITS / ROW_BITS rows at most
     bit = F.col("text_key").bitwiseAND(F.lit(BITS - 1))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit.bitwiseAND(F.lit(ROW_BITS - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     marked = rows.join(bits, F.shiftright(bit, 15) == F.col("bucket"), "left").withColumn("may", F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7)).cast("int")), F.lit(0)) == 1).drop("bucket", "bits")
     # only texts that may hold a run are moved to their runs
-    still = marked.filter("not may").withColumn("runs", F.lit(None).cast("array<struct<first: long, last: long>>"))
+    still = marked.filter("not may").withColumn("runs", F.lit(None).cast("array<bigint>"))
     joined = marked.filter("may").join(spans, "text_key", "left").select(*still.columns).unionByName(still).drop("may")
 
     def make():
@@ -396,12 +396,12 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
             ends = np.cumsum([len(t) for t in raw(texts)]).astype(np.int64)
             data = np.frombuffer(b"".join(raw(texts)), np.uint8)
             begins = np.concatenate([[0], ends[:-1]])
-            found = runs.flatten()
+            span = runs.flatten().to_numpy()
             owner = np.repeat(np.arange(len(ends)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
-            first = found.field("first").to_numpy() + begins[owner]
+            first = span // _SPAN + begins[owner]
             gone = np.zeros(len(data) + 1, np.int64)  # +1 where a run begins, -1 where it ends
             np.add.at(gone, first, 1)
-            np.add.at(gone, found.field("last").to_numpy() + begins[owner] + LENGTH, -1)
+            np.add.at(gone, first + span % _SPAN + LENGTH, -1)
             stays = np.cumsum(gone[:-1]) == 0
             spans = ~stays & np.concatenate([[True], stays[:-1]])[: len(stays)]
             spans[begins[begins < len(data)]] |= ~stays[begins[begins < len(data)]]  # runs of two texts may touch
