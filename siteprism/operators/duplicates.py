@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteprism.common import materialize
 from siteprism.functions import text as X
 
 
@@ -22,40 +23,57 @@ def shingles(pages: DataFrame, n: int = 3) -> DataFrame:
     return words.select("site_id", "page_seq", "url", F.array_distinct(F.when(F.size(w) >= n, runs).otherwise(short)).alias("shingles"))
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(site_id, rep, m): the earliest `first` of a page's pairs whose sets are similar enough, with the similarity."""
+    left = sets.select("site_id", F.col("rep").alias("first"), F.col("shingles").alias("a"))
+    both = F.size(F.array_intersect("a", "shingles"))
+    checked = pairs.join(left, ["site_id", "first"]).join(sets, ["site_id", "rep"]).select(
+        "site_id", "rep", "first", both.alias("both"), (F.size("a") + F.size("shingles") - both).alias("all")
+    ).filter(100 * F.col("both") >= percent * F.col("all"))
+    return checked.groupBy("site_id", "rep").agg(F.min(F.struct("first", (F.col("both") / F.col("all")).alias("similarity"))).alias("m"))
+
+
 def near_duplicates(pages: DataFrame, percent: int = 80) -> DataFrame:
     """``near_duplicate_of``: the earliest earlier page of the site whose shingle sets' Jaccard similarity is high enough.
 
-    Exact, by prefix filtering.  Pages with equal sets are one class.  With the rarest shingles first, two similar sets
-    share one of their first ``n - ceil(t * n) + 1``; shingles of a single class are the rarest and can't be shared, so
-    they only take up places.  Navigation and other boilerplate is frequent and falls behind the prefix.  Classes that
-    share a prefix shingle and have fitting sizes are compared once.
+    Exact, by prefix and position filtering.  Pages with equal sets are one class.  With the rarest shingles first, two
+    similar sets share one of their first ``n - ceil(t * n) + 1``; shingles of a single class are the rarest and can't be
+    shared, so they only take up places.  Navigation and other boilerplate is frequent and falls behind the prefix.
+
+    A page is compared with the first page of all that share a prefix shingle with it.  Where those two are similar, and
+    in a family of near copies they are, nothing earlier can be, and a family of any size costs a comparison per page.
+    Only pages without that luck meet all the others, where sizes and the shared shingle's places leave room for enough
+    common ones; the join is split at frequent shingles (AQE).
     """
-    sized = shingles(pages).withColumn("shingles", F.array_sort("shingles")).withColumns(
+    sized = materialize(shingles(pages).withColumn("shingles", F.array_sort("shingles")).withColumns(
         {"n": F.size("shingles"), "digest": F.xxhash64("shingles", F.size("shingles"))}
-    )
+    ))
     classes = sized.groupBy("site_id", "digest").agg(F.min(F.struct("page_seq", "url")).alias("m"), F.first("n").alias("n"))
-    classes = classes.select("site_id", "digest", F.col("m.page_seq").alias("rep"), F.col("m.url").alias("rep_url"), "n")
+    classes = materialize(classes.select("site_id", "digest", F.col("m.page_seq").alias("rep"), F.col("m.url").alias("rep_url"), "n"))
     # one set stands for a class: the rows of one digest carry equal sets
-    sets = sized.join(classes.select("site_id", F.col("rep").alias("page_seq"), "digest"), ["site_id", "page_seq", "digest"]).select(
+    sets = materialize(sized.join(classes.select("site_id", F.col("rep").alias("page_seq"), "digest"), ["site_id", "page_seq", "digest"]).select(
         "site_id", F.col("page_seq").alias("rep"), "n", "shingles"
-    ).dropDuplicates(["site_id", "rep"])
+    ).dropDuplicates(["site_id", "rep"]))
     tokens = sets.select("site_id", "rep", "n", F.explode("shingles").alias("s"))
     shared = tokens.groupBy("site_id", "s").agg(F.count("*").alias("df")).filter("df > 1")
     held = tokens.join(shared, ["site_id", "s"])
     mine = Window.partitionBy("site_id", "rep")
     place = F.row_number().over(mine.orderBy("df", "s")) + F.col("n") - F.count("*").over(mine)
     need = F.ceil(F.col("n") * percent / 100.0)
-    prefix = held.withColumn("place", place).filter(F.col("place") <= F.col("n") - need + 1).select("site_id", "rep", "n", "s")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    prefix = materialize(held.withColumn("place", place).filter(F.col("place") <= F.col("n") - need + 1).select("site_id", "rep", "n", "s", "place"))
+
+    first = prefix.groupBy("site_id", "s").agg(F.min("rep").alias("first"))
+    tried = prefix.join(first, ["site_id", "s"]).groupBy("site_id", "rep").agg(F.min("first").alias("first")).filter("first < rep")
+    tried = materialize(tried)
+    lucky = materialize(_similar(tried, sets, percent))
+    rest = tried.join(lucky, ["site_id", "rep"], "left_anti").select("site_id", "rep")
+    a, b = prefix.alias("a"), prefix.join(rest, ["site_id", "rep"], "left_semi").alias("b")
     fits = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    most = 1 + F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # common ones from this shingle on
+    room = (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
     same = (F.col("a.site_id") == F.col("b.site_id")) & (F.col("a.s") == F.col("b.s"))
-    pairs = a.join(b, same & (F.col("a.rep") < F.col("b.rep")) & fits).select(F.col("a.site_id").alias("site_id"), F.col("a.rep").alias("first"), F.col("b.rep").alias("rep")).distinct()
-    left = sets.select("site_id", F.col("rep").alias("first"), F.col("shingles").alias("a"))
-    both = F.size(F.array_intersect("a", "shingles"))
-    checked = pairs.join(left, ["site_id", "first"]).join(sets, ["site_id", "rep"]).select(
-        "site_id", "rep", "first", both.alias("both"), (F.size("a") + F.size("shingles") - both).alias("all")
-    ).filter(100 * F.col("both") >= percent * F.col("all"))
-    best = checked.groupBy("site_id", "rep").agg(F.min(F.struct("first", (F.col("both") / F.col("all")).alias("similarity"))).alias("m"))
+    pairs = a.join(b, same & (F.col("a.rep") < F.col("b.rep")) & fits & room).select(F.col("a.site_id").alias("site_id"), F.col("a.rep").alias("first"), F.col("b.rep").alias("rep")).distinct()
+    best = lucky.unionByName(_similar(pairs, sets, percent))
     named = best.join(classes.select("site_id", F.col("rep").alias("f"), "rep_url"), (best["site_id"] == classes["site_id"]) & (F.col("m.first") == F.col("f"))).select(
         best["site_id"], "rep", F.struct(F.col("m.first").alias("seq"), F.col("rep_url").alias("url"), F.col("m.similarity").alias("similarity")).alias("best")
     )

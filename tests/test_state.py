@@ -173,3 +173,28 @@ def test_near_duplicates_brute_force(spark):
         if similar:
             assert got[i].near_duplicate_of == f"u{min(similar)}"
             assert got[i].similarity == pytest.approx(jaccard(texts[min(similar)], t))
+
+
+def test_near_duplicates_of_a_family(spark, monkeypatch):
+    """A family of near copies costs a comparison per page; pages that miss the first one still find the earliest."""
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    base = rnd.choices(words, k=150)
+    texts = [" ".join(base[:60] + rnd.choices(words, k=90))]  # shares rare runs with the family, but isn't similar
+    for i in range(200):
+        own = list(base)
+        own[rnd.randrange(150)] = f"x{i}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base[:75] + rnd.choices(words, k=75)) for _ in range(10)]
+    df = spark.createDataFrame([("s", i, f"u{i}", t) for i, t in enumerate(texts)], "site_id string, page_seq bigint, url string, text_content string")
+    pairs = []
+    real = N._similar
+    monkeypatch.setattr(N, "_similar", lambda p, s, k: pairs.append(p) or real(p, s, k))
+    got = {r.page_seq: r.near_duplicate_of for r in N.near_duplicates(df).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        similar = [j for j in range(i) if jaccard(texts[j], t) >= 0.8]
+        if similar:
+            want[i] = f"u{similar[0]}"
+    assert got == want and len(want) > 150
+    assert pairs[0].count() <= len(texts)
