@@ -42,8 +42,8 @@ from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
 SPARE = 0.35
-#: Elements in a block of a family.
-BLOCK = 1 << 20
+#: Elements in a block of a family, where a set counts as LEAST at least.
+BLOCK, LEAST = 1 << 22, 256
 SKETCH_BITS = 4096
 _WORDS_KEPT = 1 << 18
 #: Bytes of text keyed at once.
@@ -276,8 +276,8 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     """
     shown = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("shown")
     members = node_rows.dropna(subset=["node"]).groupBy("node").agg(shown, F.first("n_shingles").alias("n")).join(families.select("node", F.col("label").alias("family")), "node")
-    level = F.floor(F.log(F.col("n").cast("double")) * 8)
-    sums = members.groupBy("family", level.alias("level")).agg(F.sum("n").alias("sum"), F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
+    level, weight = F.floor(F.log(F.col("n").cast("double")) * 8), F.greatest("n", F.lit(LEAST))
+    sums = members.groupBy("family", level.alias("level")).agg(F.sum(weight).alias("sum"), F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"))
     total = sums.groupBy("family").agg(F.sum("sum").alias("total"))
     cells = sums.join(total, "family").withColumn("parts", F.when(F.col("total") <= BLOCK, 1).otherwise(F.ceil(F.col("sum") / BLOCK)).cast("int"))
     cells = cells.withColumn("level", F.when(F.col("total") <= BLOCK, F.lit(-1).cast("bigint")).otherwise(F.col("level")))
@@ -294,7 +294,7 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     placed = members.join(total, "family").withColumn("small", F.col("total") <= BLOCK)
     large = placed.filter("not small").withColumn("level", level).join(cells.select("family", "level", "parts"), ["family", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     large = large.join(wanted, ["family", "level", "part"]).select("shown", "node", "family", "task", "side")
-    whole = members.agg(F.sum("n").alias("all")).first()["all"] or 0
+    whole = members.agg(F.sum(weight).alias("all")).first()["all"] or 0
     shared = F.pmod(F.xxhash64("family"), F.lit(max(1, 4 * whole // BLOCK)))
     small = placed.filter("small").select("shown", "node", "family", shared.alias("task"), F.lit(0).alias("side"))
     rows = checkpointed(small.unionByName(large)).withColumns({"id": F.col("shown.doc_id"), "key": F.col("shown.text_key")}).drop("shown")

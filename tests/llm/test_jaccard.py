@@ -91,7 +91,7 @@ def test_a_text_that_only_a_row_without_an_id_holds_links_others(spark):
 
 
 def test_families_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    monkeypatch.setattr(jaccard, "BLOCK", 1500)
     rng = random.Random(12)
     words = [f"w{i}" for i in range(70)]
     pairs = []
