@@ -392,24 +392,28 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
-            texts, runs = part.column("text"), part.column("runs")
-            ends = np.cumsum([len(t) for t in raw(texts)]).astype(np.int64)
-            data = np.frombuffer(b"".join(raw(texts)), np.uint8)
-            begins = np.concatenate([[0], ends[:-1]])
+            texts, runs = raw(part.column("text")), part.column("runs")
+            n = len(texts)
+            owner = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
             span = runs.flatten().to_numpy()
-            owner = np.repeat(np.arange(len(ends)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy())
-            first = span // _SPAN + begins[owner]
-            gone = np.zeros(len(data) + 1, np.int64)  # +1 where a run begins, -1 where it ends
-            np.add.at(gone, first, 1)
-            np.add.at(gone, first + span % _SPAN + LENGTH, -1)
-            stays = np.cumsum(gone[:-1]) == 0
-            spans = ~stays & np.concatenate([[True], stays[:-1]])[: len(stays)]
-            spans[begins[begins < len(data)]] |= ~stays[begins[begins < len(data)]]  # runs of two texts may touch
-            total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.concatenate([[0], ends])])
-            left = np.concatenate([[0], np.cumsum(total(stays))]).astype(np.int32)
-            kept = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(left), pa.py_buffer(data[stays])])
-            out = {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept.to_pylist()], pa.string()) if as_text else kept}
-            counts = {"n_bytes": ends - begins, "n_removed": total(~stays), "n_spans": total(spans)}
+            first = span // _SPAN
+            order = np.lexsort((first, owner))
+            owner, first, end = owner[order], first[order], (first + span % _SPAN + LENGTH)[order]
+            ends = np.cumsum([0, *map(len, texts)], dtype=np.int64)
+            last = np.maximum.accumulate(end + ends[owner])  # of what lies before, in the joined texts
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (first[1:] + ends[owner[1:]] > last[:-1])
+            heads = np.flatnonzero(new)
+            owner, first = owner[heads], first[heads]
+            end = last[np.append(heads[1:], len(last)) - 1] - ends[owner] if len(heads) else end
+            gone = np.bincount(owner, end - first, n).astype(np.int64)
+            kept, at = [], 0
+            for t, spans in zip(texts, np.bincount(owner, minlength=n).tolist()):
+                cuts = [0, *np.stack([first[at : at + spans], end[at : at + spans]], 1).ravel().tolist(), len(t)] if spans else []
+                kept.append(b"".join([t[i:j] for i, j in zip(cuts[::2], cuts[1::2])]) if spans else t)
+                at += spans
+            out = {"kept": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())}
+            counts = {"n_bytes": np.diff(ends), "n_removed": gone, "n_spans": np.bincount(owner, minlength=n)}
             return handed_on(part) | out | {k: pa.array(v, pa.int64()) for k, v in counts.items()}
 
         return work
