@@ -494,6 +494,16 @@ def io01(spark: SparkSession, sf: str) -> DataFrame:
     return IO.read_pages(spark, path, pages.agg(F.min("tenant_id")).first()[0]).select("page_id", "tenant_id", F.length("html").alias("n"))
 
 
+@query("io01_stored_html", "SELECT page_id, left(md5(url), 12) AS storage_key, length(html)::INT AS n, md5(html) AS digest FROM pages")
+def io01_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages stored as an object each, read back by key and joined to their rows."""
+    path = _folder(spark, "objects")
+    pages = P.raw_pages(spark, sf)
+    IO.write_html(pages, path)
+    rows = pages.select("page_id", IO.storage_key(F.col("url")).alias("storage_key")).join(IO.read_html(spark, path), "storage_key")
+    return rows.select("page_id", "storage_key", F.length("html").alias("n"), F.md5("html").alias("digest"))
+
+
 @query("io02_robots_facts", f"WITH {S.RICH} SELECT site_id, CASE WHEN content IS NULL THEN '' ELSE 'https://' || site_id || '/sitemap.xml' END AS sitemap_urls, CASE WHEN content IS NULL THEN NULL WHEN hub_id % 5 = 0 OR hub_id % 7 = 0 THEN 3 ELSE hub_id % 7 END::DOUBLE AS crawl_delay FROM site JOIN robots USING (site_id)")
 def io02(spark: SparkSession, sf: str) -> DataFrame:
     return IO.robots_facts(P.robots(spark, sf)).select("site_id", F.array_join("sitemap_urls", ",").alias("sitemap_urls"), "crawl_delay")

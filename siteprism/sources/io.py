@@ -23,11 +23,26 @@ def read_pages(spark: SparkSession, path: str, tenant_id: str | None = None, cra
     return df
 
 
+def storage_key(url: Column) -> Column:
+    """The name that a page's HTML is stored under."""
+    return F.left(F.md5(url), F.lit(12))
+
+
+def write_html(pages: DataFrame, path: str) -> None:
+    """Store ``url, html`` as an object per page, under its key; pages of one key are one object, the first by HTML."""
+    objects = pages.groupBy(storage_key(F.col("url")).alias("storage_key")).agg(F.min("html").alias("value"))
+    objects.filter("value IS NOT NULL").write.partitionBy("storage_key").text(path)
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """Stored HTML objects, one row per file (the key ends in the URL's hash)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
-    key = F.regexp_extract("path", r"([^/]+)\.html$", 1)
-    return files.select(key.alias("storage_key"), F.decode("content", "UTF-8").alias("html"))
+    """Stored HTML objects, one row per file: ``<key>.html`` files, or what :func:`write_html` has written."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{html,txt}").option("recursiveFileLookup", "true").load(path)
+    written = F.regexp_extract("path", r"storage_key=([^/]+)/[^/]+\.txt$", 1)
+    html = F.decode("content", "UTF-8")
+    return files.select(
+        F.when(written != "", written).otherwise(F.regexp_extract("path", r"([^/]+)\.html$", 1)).alias("storage_key"),
+        F.when(written != "", F.regexp_replace(html, r"\n\z", "")).otherwise(html).alias("html"),
+    ).filter("storage_key <> ''")
 
 
 # ------------------------------------------------------------- IO-2, IO-3 texts
@@ -90,6 +105,7 @@ def sitemap_urls(documents: DataFrame, roots: DataFrame, max_depth: int | None =
 
 # ------------------------------------------------------------ IO-4, IO-5 payloads
 
+# Field names of the payload.
 SERP_SCHEMA = (
     "struct<tasks:array<struct<result:array<struct<items:array<struct<type:string,rank_group:int,domain:string,url:string,"
     "title:string,description:string,links:array<string>,rating:string>>>>>>>"
@@ -110,6 +126,7 @@ def serp_items(raw: DataFrame) -> DataFrame:
     )
 
 
+# Field names of the payload.
 KEYWORD_SCHEMA = (
     "struct<keyword:string,keyword_info:struct<keyword:string,search_volume:int,cpc:double,competition:double,"
     "monthly_searches:array<string>,search_intent_info:map<string,string>>,keyword_properties:struct<keyword_difficulty:int>,"

@@ -88,3 +88,15 @@ def test_sitemaps_of_six_levels_and_cycles(spark):
     expected += [("t", f"https://x/p{i}", {5: 0, 6: 1, 0: 1, 3: 2, 1: 2, 4: 3, 2: 3}[i]) for i in range(7)]
     assert found() == sorted(expected)
     assert found(max_depth=1) == sorted(x for x in expected if x[2] <= 1)
+
+
+def test_stored_objects(spark, tmp_path):
+    from siteprism.sources import io as IO
+
+    html = {"https://x.test/a": "<p>one\n\ntwo\n", "https://x.test/b": "", "https://x.test/ü": "<p>日本 & é</p>"}
+    pages = spark.createDataFrame([*html.items(), ("https://x.test/none", None)], "url string, html string")
+    IO.write_html(pages, f"{tmp_path}/objects")
+    (tmp_path / "objects" / "plain.html").write_text("<b>line\n</b>\n")
+    got = {r.storage_key: r.html for r in IO.read_html(spark, f"{tmp_path}/objects").collect()}
+    keys = {r.url: r.k for r in pages.select("url", IO.storage_key(F.col("url")).alias("k")).collect()}
+    assert got == {keys[u]: h for u, h in html.items()} | {"plain": "<b>line\n</b>\n"}
