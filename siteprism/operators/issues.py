@@ -101,6 +101,25 @@ def compare_audits(pairs: DataFrame, runs: DataFrame, issues: DataFrame) -> Data
     )
 
 
+ISSUE_KEYS = ["before_id", "after_id", "category", "title"]
+
+
+def issue_sides(pairs: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The issues before and after of all pairs, one row per ISSUE_KEYS, to be stored in buckets and compared."""
+    keys = issues.select("audit_id", "category", "title").distinct()
+    return tuple(pairs.join(keys, pairs[c] == keys.audit_id).select(*ISSUE_KEYS) for c in ("before_id", "after_id"))
+
+
+def compare_sides(before: DataFrame, after: DataFrame) -> DataFrame:
+    """New, fixed and persistent issues per pair; sides in equal buckets of ISSUE_KEYS are joined without a shuffle."""
+    b, a = before.withColumn("_b", F.lit(1)), after.withColumn("_a", F.lit(1))
+    per_key = b.hint("merge").join(a, ISSUE_KEYS, "full")
+    return per_key.groupBy("before_id", "after_id").agg(
+        F.count_if(F.col("_b").isNull()).alias("new_issues"), F.count_if(F.col("_a").isNull()).alias("fixed_issues"),
+        F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("persistent_issues"),
+    )
+
+
 def latest_audit(runs: DataFrame) -> DataFrame:
     """Newest completed audit per site, ties by id; one partial aggregate."""
     return (

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteprism.common import stage_dir
 from siteprism.operators import audit as A
 from siteprism.operators import issues as I
 from siteprism.operators.guides import GUIDES
@@ -14,6 +17,7 @@ from siteprism.plans import sql_audit as SA
 from siteprism.plans import sql_pages as S
 from siteprism.plans.q_audit import checks
 from siteprism.plans.registry import query
+from siteprism.sources import io as IO
 
 _QUICK = f"""{S.FEATURES}, quick AS (
   SELECT site_id, page_seq, url, 'missing_title' AS type, 'high' AS severity, 'The page is missing a title tag.' AS description FROM feat WHERE title = ''
@@ -68,6 +72,23 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
     return I.compare_audits(_pairs(runs), runs, D.stored_issues(spark, sf))
 
 
+@query(
+    "a12_compare_stored_audits",
+    f"""WITH {D.RUNS}, {D.ISSUES}, pairs AS (SELECT min(audit_id) AS before_id, max(audit_id) AS after_id FROM runs WHERE status = 'completed'
+      GROUP BY site_id HAVING min(audit_id) <> max(audit_id)),
+    k AS (SELECT DISTINCT audit_id, category, title FROM iss),
+    b AS (SELECT before_id, after_id, category, title FROM pairs JOIN k ON audit_id = before_id), a AS (SELECT before_id, after_id, category, title FROM pairs JOIN k ON audit_id = after_id)
+    SELECT before_id, after_id, count_if(b.title IS NULL) AS new_issues, count_if(a.title IS NULL) AS fixed_issues, count_if(a.title IS NOT NULL AND b.title IS NOT NULL) AS persistent_issues
+    FROM b FULL JOIN a USING (before_id, after_id, category, title) GROUP BY ALL""",
+)
+def a12_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The issues of both audits written to bucketed tables and compared there."""
+    runs, tag = D.audit_runs(spark, sf), uuid.uuid4().hex
+    sides = I.issue_sides(_pairs(runs), D.stored_issues(spark, sf))
+    stored = [IO.write_bucketed(df, f"issues_{side}_{tag}", f"{stage_dir(spark)}/issues-{side}-{tag}", I.ISSUE_KEYS) for df, side in zip(sides, ("before", "after"))]
+    return I.compare_sides(*stored)
+
+
 @query(
     "a13_latest_audit",
     f"""WITH {D.RUNS} SELECT site_id, audit_id, score, completed_at FROM runs WHERE status = 'completed'

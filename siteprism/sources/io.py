@@ -171,6 +171,12 @@ def write_audit(
         df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, keys: list[str], buckets: int = 32) -> DataFrame:
+    """A table of the session's catalog, dealt to buckets by `keys` and sorted in them; tables with the same keys and buckets join in place."""
+    df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def issue_export(issues: DataFrame) -> DataFrame:
     """The six export columns of audit issues, NULL as ''."""
     return issues.select(

@@ -140,3 +140,24 @@ def test_stored_audit_keeps_every_hit(spark, tmp_path):
     write_audit(str(tmp_path), A.audit_score(checks).withColumn("tenant_id", F.lit("t")), checks, A.to_issues(checks).withColumn("tenant_id", F.lit("t")), hits=hits)
     stored = spark.read.parquet(f"{tmp_path}/seo_audit_hits")
     assert {r["url"] for r in stored.collect()} == {f"https://example.com/{i}" for i in range(60)}
+
+
+def test_counts_without_hits_equal_the_audit(spark):
+    from siteprism.plans import q_audit
+
+    columns = ["site_id", "check_id", "category", "severity", "passed", "affected_count"]
+    sf = "/root/testdata/sf0.001"
+    counts = q_audit.counts(spark, sf)
+    assert sorted(map(tuple, counts.select(*columns).collect())) == sorted(map(tuple, q_audit.checks(spark, sf).select(*columns).collect()))
+    assert "affected_urls" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_audits_join_in_place(spark):
+    from siteprism.plans import catalog
+
+    out = catalog.QUERIES["a12_compare_stored_audits"](spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    plan = out._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    below = executed[executed.index("SortMergeJoin"):].split("== Initial Plan")[0]
+    assert len(plan) == 2 and "Exchange" not in below
