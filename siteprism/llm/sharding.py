@@ -79,12 +79,13 @@ def slot_of(key: Column, size: int) -> Column:
 
 
 def assign(df: DataFrame, key: str, shards: Sequence[str], size: int | None = None) -> DataFrame:
-    """All rows and columns with `slot` and `shard` added; columns of `df` with these names are replaced.
+    """All rows and columns with `slot` and `shard` added; columns of `df` with these names are replaced (the key's after it is read).
 
     Equal keys (repeated rows) share a shard, NULL keys share one as well; an empty table stays empty.
     """
     size = size or table_size(len(shards))
-    placed = df.drop("slot", "shard").withColumn("slot", slot_of(F.col(f"`{key}`"), size))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
+    placed = df.select(*others, slot_of(F.col(f"`{key}`"), size).alias("slot"))
     return placed.join(F.broadcast(lookup(df.sparkSession, shards, size)), "slot")
 
 

@@ -1,6 +1,7 @@
 import collections
 
 import pytest
+from llm_helpers import rows_of
 
 from siteprism.llm.sharding import assign, fill_table, hashed, next_prime, table_size, write_shards
 
@@ -53,3 +54,10 @@ def test_edge_rows(edge, empty, edge_pairs, tmp_path):
 def test_no_python_and_no_shuffle(edge):
     plan = assign(edge, "doc_id", NAMES)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Python" not in plan and "Exchange hash" not in plan
+
+
+def test_a_key_named_as_an_added_column(spark):
+    for name in ("slot", "shard"):
+        rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], f"{name} string, x int")
+        plain = {r["x"]: (r["slot"], r["shard"]) for r in rows_of(assign(rows.withColumnRenamed(name, "k"), "k", ["p", "q", "r"]))}
+        assert {r["x"]: (r["slot"], r["shard"]) for r in rows_of(assign(rows, name, ["p", "q", "r"]))} == plain

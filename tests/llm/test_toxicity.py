@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -59,3 +60,32 @@ def test_edge_rows(spark, edge, empty, edge_pairs):
     assert features_of([]) == {}
     row = rows_of(severity(edge, none, carry=True))[0]["row"]
     assert set(row["columns"]) == set(edge.columns) - {"text"}
+
+
+def test_scores_as_a_plain_version(spark, edge, edge_pairs):
+    """Weights of prefixes and whole words times 1 + ln(count), thresholds through the logistic function, all by hand."""
+    model = Model({b"word$": 0.7, b"wor": 9.0, b"words": -0.4, b"anot": 1.3, b"a$": 0.2, "é".encode(): 2.0, b"text$": 0.5}, (0.4, 1.1, 2.5))
+    pairs = [*edge_pairs, (20, "Words WORD wording, another's text; text text"), (21, "a-a a é éa"), (22, "worded words word")]
+
+    def plain(text):
+        bag = {}
+        word = ""
+        for c in (text or "") + " ":
+            c = c.lower() if c.isascii() else c
+            if "a" <= c <= "z" or not c.isascii():
+                word += c
+                continue
+            raw = word.encode()
+            for f in {raw + b"$", *(raw[:k] for k in range(4, 9) if len(raw) >= k)} if raw else ():
+                bag[f] = bag.get(f, 0) + 1
+            word = ""
+        score = sum(w * (1 + math.log(bag[f])) for f, w in model.weights.items() if f in bag)
+        beyond = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        chances = [a - b for a, b in zip([1, *beyond], [*beyond, 0])]
+        return sum(beyond), max(range(4), key=lambda g: chances[g]), beyond[0]
+
+    got = rows_of(severity(table(spark, pairs), model))
+    want = [(i, *plain(t)) for i, t in pairs]
+    key = lambda r: (repr(r[0]), round(r[1], 9))
+    for g, w in zip(sorted([(r["doc_id"], r["severity"], r["grade"], r["p_toxic"]) for r in got], key=key), sorted(want, key=key), strict=True):
+        assert g[0] == w[0] and g[2] == w[2] and np.allclose([g[1], g[3]], [w[1], w[3]], rtol=1e-12)
