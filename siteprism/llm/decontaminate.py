@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from hashlib import sha256
 
 import ahocorasick
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import carried, handed_on, map_slices, raw, texts
+from siteprism.llm.common import carried, handed_on, map_slices, raw, stored, texts
 
 WINDOW = 13
 #: UTF-8 bytes of test items in one automaton.
@@ -106,30 +107,35 @@ def _scan(rows: DataFrame, block: list[tuple[str | None, bytes | None]], window:
     return map_slices(rows, make, _HITS.format(kept=carried(rows), text="" if "row" in rows.columns else "text string, "))
 
 
-def blocks_of(items: DataFrame, block_bytes: int) -> list[list[tuple[str | None, bytes | None]]]:
-    """The items in blocks; one block is read to the driver at a time, its size checked beforehand."""
+def blocks_of(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
+    """The different items in blocks of about `block_bytes` at most (or one item), each read when it is asked for.
+
+    Dealt by id and text, so an id that comes with many texts fills no block of its own.
+    """
+    items = items.distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    out = []
+    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
     for b in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b) if n > 1 else items
-        out.append([(r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.collect()])
-    return out
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) if n > 1 else items
+        yield [(r["item_id"], None if r["text"] is None else r["text"].encode()) for r in part.collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """One row per document row: doc_id, text, n_words, hits (runs of hit words), items (ids with an occurring window, sorted).
 
     A NULL text has no words.  An item without words (or NULL) has no window.  Items with equal ids count as one; a NULL
-    id stays NULL.  Documents repeated in the input stay repeated.  Other columns of both tables are left behind, or
+    id is an item of its own in `items` and in counts of them, and nothing in a digest of their ids.  The driver holds one
+    block of items at a time; a benchmark of several blocks takes a pass each, whose hits are stored before the next.  Documents repeated in the input stay repeated.  Other columns of both tables are left behind, or
     the documents' come along in `row` (carry).
     """
     empty = F.array().cast("array<struct<first: long, after: long>>")
     rows = texts(docs, doc_id, text, carry).select("*", empty.alias("hits"), F.array().cast("array<string>").alias("items"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    found = None
     for block in blocks_of(items, block_bytes):
-        rows = _scan(rows, block, window)
-    return rows
+        rows = rows if found is None else stored(found)
+        found = _scan(rows, block, window)
+    return found
 
 
 def counts(found: DataFrame) -> DataFrame:

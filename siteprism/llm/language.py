@@ -194,7 +194,12 @@ class Scorer:
 
 
 def identify(docs: DataFrame, network: Network, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (0 to 1); a row per row.  """
+    """doc_id, lang_pred, score (0 to 1, the mean over the text's windows of the likeliest language); a row per row.
+
+    Texts that are NULL, empty or without a letter are `und` with score 0, as is everything under a network without
+    languages.  Long texts are scored window by window, whole.  The first language by name wins a tie.  Repeated rows and ids
+    are rows of their own; an empty table gives an empty one; other columns are left behind.
+    """
     rows = texts(docs, doc_id, text)
 
     def make():
