@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,12 +20,13 @@ from siteprism.common import let
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
 
-# Character references by name: the HTML list of names that stand for one character, from the standard library.
-ENTITIES = {n: chr(c) for n, c in sorted(name2codepoint.items())} | {"apos": "'"}
+# Character references by name, from the standard library's list of the HTML standard; some count without their ';' too.
+ENTITIES = {n[:-1]: v for n, v in sorted(html5.items()) if n.endswith(";")}
+BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 
 BLOCKS = r"(?is)<(?:script\b[^>]*>.*?</script|style\b[^>]*>.*?</style|template\b[^>]*>.*?</template)\s*>|<!--.*?-->"
 
-_REFERENCES = r"(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)"
+_REFERENCES = r"(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;?=?|[^&]+|&)"
 _NAMED = json.dumps(ENTITIES, ensure_ascii=True)
 
 
@@ -38,30 +39,43 @@ def _code_point(digits: Column, base: int) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
 
 
-def _reference(piece: Column) -> Column:
-    """One piece of a text: a reference becomes its character, anything else (unknown names too) stays."""
-    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
+def _reference(piece: Column, attribute: bool) -> Column:
+    """One piece of a text: a reference becomes its character, anything else (unknown names too) stays.
+
+    A name without its ';' counts where it may: the longest one that the piece begins with, inside attributes only the
+    whole piece, and not before '='.
+    """
+    name = F.regexp_extract(piece, r"^&([A-Za-z][A-Za-z0-9]*);", 1)
     named = F.from_json(F.lit(_NAMED), "map<string,string>")
+    bare = F.regexp_extract(piece, rf"^&({'|'.join(BARE)}){'$' if attribute else ''}", 1)
     return (
         F.when(~piece.startswith("&"), piece)
         .when(piece == "&amp;", "&")
         .when(piece.rlike("^&#[0-9]+;$"), _code_point(F.regexp_extract(piece, "([0-9]+)", 1), 10))
         .when(piece.rlike("^&#[xX]"), _code_point(F.regexp_extract(piece, "[xX]([0-9a-fA-F]+)", 1), 16))
-        .when(name != "", F.coalesce(F.try_element_at(named, name), piece))
-        .otherwise(piece)
+        .when(name != "", F.coalesce(
+            F.concat(F.try_element_at(named, name), F.when(piece.endswith("="), "=").otherwise("")),
+            *([] if attribute else [_bare_end(piece, bare, named)]), piece,
+        ))
+        .otherwise(F.coalesce(_bare_end(piece, bare, named), piece))
     )
 
 
-def unescape(c: Column) -> Column:
+def _bare_end(piece: Column, bare: Column, named: Column) -> Column:
+    """The character of the name without ';' that a piece begins with, and the rest of the piece; NULL where there is none."""
+    return F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(piece, F.length(bare) + 2, F.length(piece))))
+
+
+def unescape(c: Column, attribute: bool = False) -> Column:
     """Character references to characters, each once, from left to right; the work is skipped where there is no '&'."""
-    pieces = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFERENCES), 1), _reference), "")
+    pieces = lambda x: F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_REFERENCES), 1), lambda p: _reference(p, attribute)), "")
     return let(c, lambda x: F.when(x.contains("&"), pieces(x)).otherwise(x))
 
 
 def attr(tag: Column, name: str) -> Column:
     """Value of an attribute of one opening tag; '' when absent."""
     raw = F.regexp_extract(tag, rf"(?i)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
-    return unescape(F.regexp_replace(raw, r"^[\"']|[\"']$", ""))
+    return unescape(F.regexp_replace(raw, r"^[\"']|[\"']$", ""), True)
 
 
 def has_attr(tag: Column, name: str) -> Column:

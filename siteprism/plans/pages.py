@@ -57,7 +57,7 @@ def rich_html() -> Column:
             4, none,
             F.concat(_s('<meta name="description" content="'), F.left(t, _s(40)), _s('">')),
             F.concat(_s('<meta name="description" content="'), t, _s(" "), t, _s(" "), t, _s('">')),
-            F.concat(_s("<meta content='"), t, _s(" / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; "), t, _s("' name='description'/>")),
+            F.concat(_s("<meta content='"), t, _s(" / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; &notin; &NotEqualTilde; &copy2024 "), t, _s("' name='description'/>")),
         ),
         cases(9, _s('<meta name="robots" content="NoIndex, nofollow">')),
         cases(
@@ -98,7 +98,7 @@ def rich_html() -> Column:
             _s('<img src="http://img.test/d.png" alt="D" width="5" height="5">'),
         ),
         cases(3, F.concat(_s("<h2>Part "), t, _s("</h2><h3>x</h3>")), _s("<h3>alone <i>three</i></h3>")),
-        cases(11, _s("<h1>Second &amp; last</h1>")),
+        cases(11, _s("<h1>Second &amp; last &copy2024 &notin; &notit; &NotEqualTilde;</h1>")),
         cases(6, _s('<form><label>Q</label><input type="text"><input type="hidden"></form>'), _s('<form><input type="text"></form>')),
         cases(16, _s('<object data="m.swf"></object>'), _s('<embed src="/p.bin">')),
         cases(12, _s('<div id="root"></div>'), _s('<div id="app">ok</div>'), _s('<div id="__next" class="is-loading"></div>')),

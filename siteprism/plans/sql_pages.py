@@ -32,21 +32,23 @@ def n_words(c: str) -> str:
     return f"len({word_list(c)})"
 
 
-def unescape(c: str) -> str:
+def unescape(c: str, attribute: bool = False) -> str:
     """Numeric references and the names that the driver tables hold, each piece once from left to right."""
-    named = " ".join(f"WHEN '&{n};' THEN '{v}'" for n, v in (("amp", "&"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("eacute", "é"), ("lt", "<")))
+    names = [("&amp;", "&"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&eacute;", "é"), ("&lt;", "<"), ("&notin;", "∉"), ("&NotEqualTilde;", "\u2242\u0338")]
+    names += [] if attribute else [("&copy2024", "©2024"), ("&notit;", "¬it;")]
+    named = " ".join(f"WHEN '{n}' THEN '{v}'" for n, v in names)
     digits = "ltrim(regexp_extract(r, '([0-9]+)', 1), '0')"
     code = f"CASE WHEN lower(r) = '&#x2014;' THEN 8212 WHEN len({digits}) BETWEEN 1 AND 7 THEN {digits}::BIGINT ELSE 0 END"
     char = f"[chr(CASE WHEN n BETWEEN 1 AND 55295 OR n BETWEEN 57344 AND 1114111 THEN n ELSE 65533 END::INT) for n in [{code}]][1]"
     return (
         f"array_to_string([CASE r {named} ELSE CASE WHEN regexp_matches(r, '^&#([0-9]+|[xX][0-9a-fA-F]+);$') THEN {char} ELSE r END END "
-        f"for r in regexp_extract_all({c}, '(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&)', 1)], '')"
+        f"for r in regexp_extract_all({c}, '(&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[A-Za-z][A-Za-z0-9]*;?=?|[^&]+|&)', 1)], '')"
     )
 
 
 def attr(tag: str, name: str) -> str:
     raw = f"regexp_extract({tag}, '(?i)\\s{name}\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s\"''>]+)', 1)"
-    return unescape(f"regexp_replace({raw}, '^[\"'']|[\"'']$', '', 'g')")
+    return unescape(f"regexp_replace({raw}, '^[\"'']|[\"'']$', '', 'g')", True)
 
 
 def tags(html: str, name: str) -> str:
@@ -104,7 +106,7 @@ _HEAD = " || ".join(
             4, "''",
             "'<meta name=\"description\" content=\"' || left(t, 40) || '\">'",
             "'<meta name=\"description\" content=\"' || t || ' ' || t || ' ' || t || '\">'",
-            "'<meta content=''' || t || ' / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; ' || t || ''' name=''description''/>'",
+            "'<meta content=''' || t || ' / &#x2014; &eacute; &#1114112; &#55296; &#0; &#38;lt; &nosuch; &notin; &NotEqualTilde; &copy2024 ' || t || ''' name=''description''/>'",
         ),
         _cases(9, "'<meta name=\"robots\" content=\"NoIndex, nofollow\">'"),
         _cases(10, "'<meta name=\"viewport\" content=\"width=600\">'", "''", *[_VIEW] * 6),
@@ -145,7 +147,7 @@ _BODY = " || ".join(
             "'<img src=\"http://img.test/d.png\" alt=\"D\" width=\"5\" height=\"5\">'",
         ),
         _cases(3, "'<h2>Part ' || t || '</h2><h3>x</h3>'", "'<h3>alone <i>three</i></h3>'"),
-        _cases(11, "'<h1>Second &amp; last</h1>'"),
+        _cases(11, "'<h1>Second &amp; last &copy2024 &notin; &notit; &NotEqualTilde;</h1>'"),
         _cases(6, "'<form><label>Q</label><input type=\"text\"><input type=\"hidden\"></form>'", "'<form><input type=\"text\"></form>'"),
         _cases(16, "'<object data=\"m.swf\"></object>'", "'<embed src=\"/p.bin\">'"),
         _cases(12, "'<div id=\"root\"></div>'", "'<div id=\"app\">ok</div>'", "'<div id=\"__next\" class=\"is-loading\"></div>'"),

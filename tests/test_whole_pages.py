@@ -100,3 +100,17 @@ def test_stored_objects(spark, tmp_path):
     got = {r.storage_key: r.html for r in IO.read_html(spark, f"{tmp_path}/objects").collect()}
     keys = {r.url: r.k for r in pages.select("url", IO.storage_key(F.col("url")).alias("k")).collect()}
     assert got == {keys[u]: h for u, h in html.items()} | {"plain": "<b>line\n</b>\n"}
+
+
+def test_every_reference_by_name(spark):
+    """All names of the standard, with and without ';', as the standard library decodes texts; attributes are stricter."""
+    import html
+    from html.entities import html5
+
+    texts = [f"a &{n} b &{n}x &{n}=1" for n in html5] + ["&copy2024", "&notit;", "&unknown; & &", "&#65;&#x42;&amp;lt;"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", H.unescape(F.col("t")).alias("d"), H.unescape(F.col("t"), True).alias("a"))
+    for r in rows.collect():
+        assert r.d == html.unescape(r.t), r.t
+    strict = {r.t: r.a for r in rows.collect()}
+    assert (strict["&copy2024"], strict["&notit;"]) == ("&copy2024", "&notit;")
+    assert strict["a &copy b &copyx &copy=1"] == "a © b &copyx &copy=1" and strict["a &copy; b &copy;x &copy;=1"] == "a © b ©x ©=1"
