@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, map_slices, raw, release, stored, texts
+from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, stored, texts
 from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
@@ -321,6 +321,9 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
             found = links(sets, everyone, everyone, percent) if not side.any() else links(sets, everyone[side == 1], everyone[side == 2], percent)
             a += [members[x][1] for x, _ in found]
             b += [members[y][1] for _, y in found]
+            members.clear()
+        mine, sets, s, t = {}, [], None, None
+        give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     # texts travel, as they are smaller than their sets
