@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteprism.common import stage_dir
-from siteprism.operators import audit as A
 from siteprism.operators import issues as I
 from siteprism.operators.guides import GUIDES
 from siteprism.plans import facts as D
