@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.common import blank, intdiv, ordered_list, top_k
+from siteprism.common import blank, intdiv, let, materialize, ordered_list, top_k
 from siteprism.functions import text as X
 from siteprism.functions import urls as U
 
@@ -118,7 +118,8 @@ def with_template(signed: DataFrame) -> DataFrame:
 
 
 def template_groups(pages: DataFrame) -> DataFrame:
-    return with_template(with_signature(pages))
+    """Pages with their template; signed pages are written once, as sizes, themes, counts and examples each read them."""
+    return with_template(materialize(with_signature(pages).drop("html", "text_content")))
 
 
 def template_counts(grouped: DataFrame) -> DataFrame:
@@ -171,23 +172,30 @@ def title_themes(grouped: DataFrame, limit: int = 3) -> DataFrame:
     ).select("site_id", "template_id", "word", "n", "rank")
 
 
-def _display(sig: Column) -> tuple[Column, Column]:
-    """(name, description) of a signature: exact entry, first contained entry, or title case."""
+def _display(sig: Column) -> Column:
+    """{name, desc} of a signature: exact entry, first contained entry, or title case."""
     base = sig
     for s in LANG_SUFFIXES:
         base = F.when(sig.endswith(s), F.left(sig, F.length(sig) - 3)).otherwise(base)
-    bare = base
-    for s in reversed(CONTENT_SUFFIXES):
-        bare = F.when(base.endswith(s), F.replace(base, F.lit(s), F.lit(""))).otherwise(bare)
-    words = F.replace(bare, F.lit("_"), F.lit(" "))
-    name, desc = title_case(words), F.concat(F.lit("Pages with "), words, F.lit(" structure"))
-    for key, n, d in reversed(TEMPLATE_INFO):
-        name = F.when(bare.contains(key), F.lit(n)).otherwise(name)
-        desc = F.when(bare.contains(key), F.lit(d)).otherwise(desc)
-    for key, n, d in TEMPLATE_INFO:
-        name = F.when(bare == key, F.lit(n)).otherwise(name)
-        desc = F.when(bare == key, F.lit(d)).otherwise(desc)
-    return name, desc
+
+    def without_content(base: Column) -> Column:
+        bare = base
+        for s in reversed(CONTENT_SUFFIXES):
+            bare = F.when(base.endswith(s), F.replace(base, F.lit(s), F.lit(""))).otherwise(bare)
+        return bare
+
+    def named(bare: Column) -> Column:
+        words = F.replace(bare, F.lit("_"), F.lit(" "))
+        name, desc = title_case(words), F.concat(F.lit("Pages with "), words, F.lit(" structure"))
+        for key, n, d in reversed(TEMPLATE_INFO):
+            name = F.when(bare.contains(key), F.lit(n)).otherwise(name)
+            desc = F.when(bare.contains(key), F.lit(d)).otherwise(desc)
+        for key, n, d in TEMPLATE_INFO:
+            name = F.when(bare == key, F.lit(n)).otherwise(name)
+            desc = F.when(bare == key, F.lit(d)).otherwise(desc)
+        return F.struct(name.alias("name"), desc.alias("desc"))
+
+    return let(let(base, without_content), named)
 
 
 def title_case(c: Column) -> Column:
@@ -199,7 +207,7 @@ def title_case(c: Column) -> Column:
 def template_profiles(grouped: DataFrame) -> DataFrame:
     """One row per template: name, description, counts, examples, recommendations."""
     sig = F.col("template_id")
-    name, desc = _display(sig)
+    name, desc = F.col("_shown.name"), F.col("_shown.desc")
     last = F.substring_index(sig, "_", -1)
     lang = F.when((F.length(last) == 2) & last.rlike(r"^\p{L}+$"), F.upper(last))
     tagged = F.when(lang.isNotNull() & ~name.endswith(F.concat(F.lit("("), lang, F.lit(")"))), F.concat(name, F.lit(" ("), lang, F.lit(")"))).otherwise(name)
@@ -214,7 +222,7 @@ def template_profiles(grouped: DataFrame) -> DataFrame:
         F.col("themes").isNotNull(), F.concat(with_words, F.lit(" Common themes: "), F.col("themes"), F.lit("."))
     ).otherwise(with_words)
     return (
-        template_counts(grouped)
+        template_counts(grouped).withColumn("_shown", _display(sig))
         .join(themes, ["site_id", "template_id"], "left")
         .join(example_urls(grouped), ["site_id", "template_id"], "left")
         .select(

@@ -16,7 +16,7 @@ _KINDS = ["blog", "products", "about", "faq", "legal", "category", "x", "a/b", "
 
 def typed_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Features with a page-type segment put into the URL, so all types occur."""
-    f = P.features(spark, sf, _COLS)
+    f = P.features(spark, sf, _COLS).select("page_id", "page_seq", "site_id", "url", *_COLS)
     kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("page_id") % 10 + 1).cast("int"))
     url = F.regexp_replace("url", r"/([a-z]{2})/(\d)", F.concat(F.lit("/$1/"), kind, F.lit("/$2")))
     return f.withColumn("url", F.when(F.col("page_id") % 25 == 0, F.concat(F.lit("https://"), "site_id", F.lit("/"))).otherwise(url))
