@@ -73,11 +73,12 @@ def executive_summary(checks: DataFrame) -> DataFrame:
 
 
 def category_listing(checks: DataFrame) -> DataFrame:
-    """Checks of each category in id order, with the category score (≤ 10 rows each)."""
+    """Checks of each category in id order, with the category score (≤ 10 rows each); the checks are read once."""
+    shown = F.concat("check_name", F.when(F.col("passed"), F.lit(": passed")).otherwise(F.lit(": failed")))
     listed = checks.groupBy("site_id", "category").agg(
-        ordered_list(F.concat("check_name", F.when(F.col("passed"), F.lit(": passed")).otherwise(F.lit(": failed"))), F.col("check_id")).alias("checks")
+        ordered_list(shown, F.col("check_id")).alias("checks"), F.count("*").alias("total"), F.count_if("passed").alias("passed_checks")
     )
-    return listed.join(A.category_scores(checks), ["site_id", "category"])
+    return A.with_category_score(listed)
 
 
 def weekly_report(sites: DataFrame, runs: DataFrame, keywords: DataFrame, as_of: Column) -> DataFrame:

@@ -14,7 +14,7 @@ from siteprism.plans import facts as D
 from siteprism.plans import pages as P
 from siteprism.plans import sql_audit as SA
 from siteprism.plans import sql_pages as S
-from siteprism.plans.q_audit import checks
+from siteprism.plans.q_audit import checks, counts
 from siteprism.plans.registry import query
 from siteprism.sources import io as IO
 
@@ -126,7 +126,7 @@ def a15(spark: SparkSession, sf: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY site_id, title ORDER BY src, seq, category, severity) = 1""",
 )
 def a16(spark: SparkSession, sf: str) -> DataFrame:
-    failed = checks(spark, sf).filter(~F.col("passed")).select(
+    failed = counts(spark, sf).filter(~F.col("passed")).select(
         "site_id", F.col("check_id").cast("bigint").alias("seq"), F.col("check_name").alias("title"), "category", "severity"
     )
     t = F.col("type")

@@ -16,7 +16,7 @@ from siteprism.plans import facts as D
 from siteprism.plans import pages as P
 from siteprism.plans import sql_audit as SA
 from siteprism.plans import sql_pages as S
-from siteprism.plans.q_audit import _ISSUES, checks, checks_and_hits
+from siteprism.plans.q_audit import _ISSUES, checks, checks_and_hits, counts
 from siteprism.plans.q_keywords import _CL, _clusters
 from siteprism.plans.registry import query, table
 from siteprism.sources import io as IO
@@ -247,7 +247,7 @@ def r03(spark: SparkSession, sf: str) -> DataFrame:
     floor(count_if(passed) / count(*)::DOUBLE * 100)::INT AS score FROM checks GROUP BY ALL""",
 )
 def r04(spark: SparkSession, sf: str) -> DataFrame:
-    return R.category_listing(checks(spark, sf)).select("site_id", "category", F.array_join("checks", "\n").alias("checks"), "score")
+    return R.category_listing(counts(spark, sf)).select("site_id", "category", F.array_join("checks", "\n").alias("checks"), "score")
 
 
 _SITES3 = """st AS (SELECT c_custkey AS site_id, c_nationkey AS tenant_id, TIMESTAMP '2001-08-01' - to_days((c_custkey % 30)::INT) AS updated_at FROM customer),
