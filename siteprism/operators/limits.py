@@ -172,14 +172,22 @@ def sliding_rate_limit(requests: DataFrame, keys: list[str], limit: int, window_
         F.array(own, F.when(t >= (own + 1) * size - 3 * w, own + 1), F.when(t < own * size + w, own - 1))
     )
     placed = distinct.withColumn("_bucket", F.explode(copies))
-    order = Window.partitionBy(*keys, "_bucket").orderBy("us")
-    counted = placed.withColumn("raw", F.count("*").over(order.rangeBetween(-(w - 1), 0)))
-    busy = F.when(F.col("raw") > limit, 1).otherwise(0)
-    near = counted.withColumn("active", F.max(busy).over(order.rangeBetween(-(w - 1), w - 1)))
+    # A frame of times is counted anew for every row, which grows with the square of the traffic; fixed places do not.
+    group, past = [*keys, "_bucket"], (Window.unboundedPreceding, Window.currentRow)
+    order, back = Window.partitionBy(*group).orderBy("us"), Window.partitionBy(*group).orderBy(F.col("us").desc())
+    busy = F.coalesce(F.lag("us", limit).over(order) > t - w, F.lit(False))
+    marked = placed.withColumn("busy", F.when(busy, t))  # its time, where more than `limit` requests are in the window
+    before, after = F.last("busy", True).over(order.rowsBetween(*past)), F.last("busy", True).over(back.rowsBetween(*past))
     # Without an overloaded request in the window everything in it was accepted.
-    settled = F.max(busy).over(order.rangeBetween(-(w - 1), 0)) == 0
+    settled = F.coalesce(before <= t - w, F.lit(True))
+    near = marked.withColumns({"settled": settled, "active": F.coalesce(after < t + w, F.lit(False))}).withColumn(
+        "active", F.when(F.col("active") | ~F.col("settled"), 1).otherwise(0)
+    )
+    # Raw requests in the window, right where it is settled: `limit` at most, as overloaded ones are left out.
+    raw = F.count("*").over(Window.partitionBy(*group, "busy").orderBy("us").rangeBetween(-(w - 1), 0))
+    near = near.withColumn("raw", raw).drop("busy")
     # Written once: the two kinds of rows and both passes over shards read it.
-    core = materialize(near.withColumn("settled", settled).filter(b == own))
+    core = materialize(near.filter(b == own))
 
     calm = core.filter("active = 0").select(
         *keys, "us", "requests", F.lit(True).alias("allowed"), (F.col("raw") - 1).cast("int").alias("current"),
@@ -228,10 +236,14 @@ def rolling_counts(requests: DataFrame, keys: list[str], window_seconds: int = 6
     """Raw requests in the trailing window, an upper bound of the accepted ones."""
     w = window_seconds * 1_000_000
     us = requests.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    own = F.floor(F.col("us") / (w * 20)).cast("bigint")
-    placed = us.withColumn("_bucket", F.explode(F.array_compact(F.array(own, F.when(F.col("us") >= (own + 1) * w * 20 - w, own + 1)))))
-    order = Window.partitionBy(*keys, "_bucket").orderBy("us").rangeBetween(-(w - 1), 0)
-    return placed.withColumn("in_window", F.count("*").over(order)).filter(F.col("_bucket") == own).drop("_bucket", "us")
+    t, size = F.col("us"), w * 20
+    own, end = F.floor(t / size).cast("bigint"), F.floor((t + w) / size).cast("bigint")
+    mark = lambda bucket, at, value, kept: F.struct(bucket.alias("bucket"), at.alias("at"), F.lit(value).alias("value"), F.lit(kept).alias("kept"))
+    # A request adds one at its time and takes it back a window later, so that a running total is the count.
+    marks = F.array(mark(own, t, 1, True), mark(end, t + w, -1, False), F.when(end > own, mark(end, t, 1, False)))
+    placed = us.withColumn("_mark", F.explode(F.array_compact(marks)))
+    order = Window.partitionBy(*keys, "_mark.bucket").orderBy("_mark.at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("in_window", F.sum("_mark.value").over(order)).filter("_mark.kept").drop("_mark", "us")
 
 
 def monthly_usage(usage: DataFrame) -> DataFrame:

@@ -71,6 +71,24 @@ def test_limit_of_a_key_without_a_pause(spark):
     assert shards.agg(F.max("count")).first()[0] < 400  # of 18,000
 
 
+def test_dense_traffic_is_not_counted_anew_for_every_row(spark, monkeypatch):
+    """Only windows without an overloaded request, which hold `limit` requests at most, are frames of times."""
+    plans = []
+    monkeypatch.setattr(L, "materialize", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or df)
+    rnd = random.Random(4)
+    times = [T0 + dt.timedelta(milliseconds=rnd.randrange(90_000)) for _ in range(500)]
+    df = spark.createDataFrame([("hot", t) for t in times], "tenant string, ts timestamp")
+    got = {r.ts.replace(tzinfo=None): (r.allowed, r.current) for r in L.sliding_rate_limit(df, ["tenant"], 5, bucket=4).collect()}
+    assert got == {t: (ok, n) for t, ok, n in naive_limit(set(times), 5, 60)}
+    assert len(plans) == 1 and plans[0].count("specifiedwindowframe(RangeFrame") == 1
+    out = L.rolling_counts(df.withColumn("id", F.monotonically_increasing_id()), ["tenant"], 3)
+    assert sorted((r.ts.replace(tzinfo=None), r.in_window) for r in out.collect()) == sorted(
+        (t, sum(t - dt.timedelta(seconds=3) < x <= t for x in times)) for t in times
+    )
+    assert out.columns == ["tenant", "ts", "id", "in_window"]
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in out._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("limit", [1, 4])
 def test_state_is_carried_over_any_shards(limit):
     """Limits as sums and minima: shards decided apart and joined by tables of fresh starts."""
