@@ -1,21 +1,27 @@
 """Topics per site: all sites are clustered at once, each by its own keywords.
 
 Keywords are sparse vectors of whole numbers (hashed TF-IDF of a site's texts,
-or given vectors), so distances and means are exact.  A site's centroids are one
-row, joined to its keywords by site: rows never meet rows, a hot site is a
-skewed join side that Spark splits, and means are partial sums per (site,
-cluster, dimension).
+or given vectors), so distances and means are exact.  A site's keywords are cut
+into blocks and its centroids are one row, joined to its blocks by site: rows
+never meet rows, centroids travel once for each block instead of each keyword,
+and blocks give partial sums per (site, cluster, dimension).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteprism.common import materialize
 
 #: Dimensions that words are hashed to; whole numbers that stand for 1.
 DIMS, SCALE = 1024, 1024
+#: Keywords in a block, on average; its components are arrays of its own.
+BLOCK = 1024
 _SPARSE = "array<struct<i:int,v:bigint>>"
 
 
@@ -39,57 +45,98 @@ def given_vectors(keywords: DataFrame, column: str) -> DataFrame:
     return keywords.select("site_id", "keyword_id", F.coalesce(F.filter(whole, lambda p: p["v"] != 0), F.array().cast(_SPARSE)).alias("x"))
 
 
-def _square(x: Column) -> Column:
-    return F.aggregate(x, F.lit(0).cast("bigint"), lambda a, p: a + p["v"] * p["v"])
+def blocks(rows: DataFrame) -> DataFrame:
+    """(site_id, ids, sizes, i, v) from rows (site_id, keyword_id, x, n): up to some BLOCK keywords of a site of n, by id."""
+    part = F.pmod(F.xxhash64("keyword_id"), F.ceil(F.col("n") / BLOCK))
+    packed = rows.groupBy("site_id", part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("keyword_id", "x"))).alias("r"))
+    x = F.transform("r", lambda r: r["x"])
+    return packed.select(
+        "site_id", F.col("r.keyword_id").alias("ids"), F.transform(x, F.size).alias("sizes"),
+        F.flatten(F.transform(x, lambda c: c["i"])).alias("i"), F.flatten(F.transform(x, lambda c: c["v"])).alias("v"),
+    )
 
 
-def _dense(x: Column, dims: int) -> Column:
-    """A sparse vector as (norm, c): its squared length and all its components."""
-    at = F.map_from_entries(F.transform(x, lambda p: F.struct(p["i"], p["v"])))
-    return F.struct(_square(x).alias("norm"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(at[i], F.lit(0).cast("bigint"))).alias("c"))
+def _apart(ends: np.ndarray, sizes: np.ndarray, i: np.ndarray, v: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of a block's keywords to all centers, a column each."""
+    out = np.empty((len(ends), len(centers)), np.int64)
+    for n, c in enumerate(centers):
+        total = np.concatenate([[0], np.cumsum(v * (v - 2 * c[i]))])
+        out[:, n] = c @ c + total[ends] - total[ends - sizes]
+    return out
 
 
-def _apart(x: Column, centers: Column) -> Column:
-    """Squared distances of x to all centers."""
-    return F.transform(centers, lambda z: F.aggregate(x, z["norm"], lambda a, p: a + p["v"] * (p["v"] - 2 * F.get(z["c"], p["i"]))))
+def _per_block(held: DataFrame, centers: DataFrame, dims: int, work: Callable[..., dict | None], schema: str) -> DataFrame:
+    """`work(ids, ends, i, v, distances)` → columns of a block's result, to which its site is added."""
+    site = f"site_id {dict(held.dtypes)['site_id']}"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sizes, i, v = (batch.column(c)[row].values.to_numpy() for c in ("sizes", "i", "v"))
+                taken = batch.column("centers")[row].values
+                dense = np.zeros((len(taken), dims), np.int64)
+                for n, c in enumerate(taken):
+                    dense[n, c.values.field("i").to_numpy()] = c.values.field("v").to_numpy()
+                ends = np.cumsum(sizes)
+                out = work(batch.column("ids")[row].values, ends, i, v, _apart(ends, sizes, i, v, dense))
+                if out is not None:
+                    yield pa.RecordBatch.from_pydict({"site_id": pa.repeat(batch.column("site_id")[row], len(next(iter(out.values())))), **out})
 
-def _nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    far = rows.join(centers, "site_id").withColumn("far", _apart(F.col("x"), F.col("centers"))).drop("centers")
-    return far.withColumn("cluster", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
+    return held.join(centers, "site_id").mapInArrow(run, f"{site}, {schema}")
 
 
-def farthest_first(rows: DataFrame, k: int, dims: int) -> DataFrame:
+def farthest_first(held: DataFrame, k: int, dims: int) -> DataFrame:
     """(site_id, centers): a site's first keyword by id, then each time the one farthest from all taken so far (least id at ties).
 
     A site with fewer than k different vectors gets fewer.
     """
-    first = rows.groupBy("site_id").agg(F.min_by("x", "keyword_id").alias("x"))
-    centers = materialize(first.select("site_id", F.array(_dense(F.col("x"), dims)).alias("centers")))
+    own = dict(held.dtypes)["ids"].removeprefix("array<")[:-1]
+
+    def farthest(ids: pa.Array, ends: np.ndarray, i: np.ndarray, v: np.ndarray, far: np.ndarray) -> dict | None:
+        least = far.min(1)
+        at = int(least.argmax())  # the first in the order of ids
+        if not least[at] > 0:
+            return None
+        own = slice(int(ends[at - 1]) if at else 0, int(ends[at]))
+        return {"least": pa.array([least[at]]), "keyword_id": ids[at : at + 1], "i": pa.array([i[own]], pa.list_(pa.int32())), "v": pa.array([v[own]], pa.list_(pa.int64()))}
+
+    vector = F.arrays_zip("i", "v").cast(_SPARSE)
+    size = F.element_at("sizes", 1)
+    first = held.select("site_id", F.col("ids")[0].alias("keyword_id"), F.slice("i", F.lit(1), size).alias("i"), F.slice("v", F.lit(1), size).alias("v"))
+    centers = materialize(first.groupBy("site_id").agg(F.min_by(vector, "keyword_id").alias("x")).select("site_id", F.array("x").alias("centers")))
     for _ in range(k - 1):
-        least = _nearest(rows, centers).select("site_id", "keyword_id", "x", F.array_min("far").alias("least"))
-        far = least.filter("least > 0").groupBy("site_id").agg(F.min_by("x", F.struct(-F.col("least"), "keyword_id")).alias("x"))
-        more = F.when(F.col("x").isNotNull(), F.concat("centers", F.array(_dense(F.col("x"), dims)))).otherwise(F.col("centers"))
+        far = _per_block(held, centers, dims, farthest, f"least bigint, keyword_id {own}, i array<int>, v array<bigint>")
+        far = far.groupBy("site_id").agg(F.min_by(vector, F.struct(-F.col("least"), "keyword_id")).alias("x"))
+        more = F.when(F.col("x").isNotNull(), F.concat("centers", F.array("x"))).otherwise(F.col("centers"))
         centers = materialize(centers.join(far, "site_id", "left").select("site_id", more.alias("centers")))
     return centers
 
 
-def moved(rows: DataFrame, centers: DataFrame) -> DataFrame:
+def moved(held: DataFrame, centers: DataFrame, dims: int) -> DataFrame:
     """Centers at the floor of the mean of the rows nearest to them (the smaller number at ties); those without rows stay."""
-    near = _nearest(rows, centers).select("site_id", "cluster", "x")
-    sizes = near.groupBy("site_id", "cluster").agg(F.count("*").alias("n"))
-    sums = near.select("site_id", "cluster", F.explode("x").alias("p")).groupBy("site_id", "cluster", F.col("p.i").alias("i")).agg(F.sum("p.v").alias("s"))
-    means = sums.join(sizes, ["site_id", "cluster"]).withColumn("v", F.expr("(s - pmod(s, n)) div n")).filter("v <> 0")
-    packed = sizes.select("site_id", "cluster").join(
-        means.groupBy("site_id", "cluster").agg(F.collect_list(F.struct(F.col("i"), F.col("v"))).alias("x")), ["site_id", "cluster"], "left"
-    ).withColumn("x", F.coalesce("x", F.array().cast(_SPARSE)))
+
+    def sums(ids: pa.Array, ends: np.ndarray, i: np.ndarray, v: np.ndarray, far: np.ndarray) -> dict:
+        near = far.argmin(1)
+        total = np.zeros((far.shape[1], dims + 1), np.int64)
+        total[:, dims] = np.bincount(near, minlength=len(total))  # keywords, behind the dimensions
+        np.add.at(total, (np.repeat(near, np.diff(ends, prepend=0)), i), v)
+        cluster, at = total.nonzero()
+        return {"cluster": pa.array(cluster, pa.int32()), "i": pa.array(at, pa.int32()), "s": pa.array(total[cluster, at])}
+
+    got = _per_block(held, centers, dims, sums, "cluster int, i int, s bigint").groupBy("site_id", "cluster", "i").agg(F.sum("s").alias("s"))
+    listed = got.groupBy("site_id", "cluster").agg(F.collect_list(F.struct("i", "s")).alias("p"), F.max(F.when(F.col("i") == dims, F.col("s"))).alias("n"))
+    means = F.expr(f"transform(filter(p, q -> q.i < {dims}), q -> named_struct('i', q.i, 'v', (q.s - pmod(q.s, n)) div n))")
+    new = listed.select("site_id", "cluster", F.filter(means, lambda q: q["v"] != 0).cast(_SPARSE).alias("x"))
     old = centers.select("site_id", F.posexplode("centers").alias("cluster", "old"))
-    new = _dense(F.col("x"), F.size("old.c"))
-    both = old.join(packed, ["site_id", "cluster"], "left").withColumn("new", F.when(F.col("x").isNull(), F.col("old")).otherwise(new))
+    both = old.join(new, ["site_id", "cluster"], "left").withColumn("new", F.coalesce("x", "old"))
     ordered = F.array_sort(F.collect_list(F.struct("cluster", "new")))  # k of them at most
     return materialize(both.groupBy("site_id").agg(F.transform(ordered, lambda p: p["new"]).alias("centers")))
 
 
+def _labels(ids: pa.Array, ends: np.ndarray, i: np.ndarray, v: np.ndarray, far: np.ndarray) -> dict:
+    return {"keyword_id": ids, "cluster": pa.array(far.argmin(1), pa.int32())}
+
+
 def topic_clusters(keywords: DataFrame, k: int = 8, rounds: int = 5, features: str | None = None, dims: int = DIMS) -> DataFrame:
     """``keywords(site_id, keyword_id, text)`` → site_id, keyword_id, cluster_label: "topic_<n>" among its site's own, or "mixed" for sites with fewer than three.
 
@@ -101,9 +148,9 @@ def topic_clusters(keywords: DataFrame, k: int = 8, rounds: int = 5, features: s
     rows = given_vectors(ids, features) if features else text_vectors(ids, dims)
     rows = materialize(rows.join(sizes, "site_id"))
     few = rows.filter("n < 3").select("site_id", "keyword_id", F.lit("mixed").alias("cluster_label"))
-    rows = rows.filter("n >= 3").drop("n")
-    centers = farthest_first(rows, k, dims)
+    held = materialize(blocks(rows.filter("n >= 3")))
+    centers = farthest_first(held, k, dims)
     for _ in range(rounds):
-        centers = moved(rows, centers)
-    found = _nearest(rows, centers)
+        centers = moved(held, centers, dims)
+    found = _per_block(held, centers, dims, _labels, f"keyword_id {dict(rows.dtypes)['keyword_id']}, cluster int")
     return found.select("site_id", "keyword_id", F.concat(F.lit("topic_"), F.col("cluster").cast("string")).alias("cluster_label")).unionByName(few)

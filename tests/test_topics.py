@@ -7,6 +7,7 @@ from collections import Counter
 from hashlib import md5
 
 import pytest
+from pyspark.sql import functions as F
 
 from siteprism.operators import topics as T
 
@@ -58,6 +59,17 @@ def test_texts_of_each_site_by_themselves(spark, k, rounds, dims):
         assert len({got[i] for i in (0, 1, 2)}) == 1 != len({got[i] for i in (0, 3)})
 
 
+def test_a_site_in_several_blocks(spark, monkeypatch):
+    """Centers meet blocks of keywords, not each keyword, and sums and ties hold over all blocks of a site."""
+    monkeypatch.setattr(T, "BLOCK", 2)
+    rows = [("garden", i, t) for i, t in enumerate(SITES["garden"])]
+    df = spark.createDataFrame(rows, "site_id string, keyword_id int, text string")
+    held = T.blocks(T.text_vectors(df).withColumn("n", F.lit(len(rows)))).collect()
+    assert 1 < len(held) < len(rows) and sorted(i for r in held for i in r.ids) == list(range(len(rows)))
+    got = {r.keyword_id: r.cluster_label for r in T.topic_clusters(df, 3, 1).collect()}
+    assert got == plain(dict(enumerate(weights(SITES["garden"], T.DIMS))), 3, 1)
+
+
 def test_given_vectors(spark):
     rows = [("s", 1, [0.0, 1.0]), ("s", 2, [0.1, 1.0]), ("s", 3, [5.0, -1.0]), ("s", 4, [5.0, -1.5]), ("s", 5, None), ("s", 6, [math.nan, None]), (None, 7, [1.0, 1.0]), ("s", None, [1.0, 1.0]), ("t", 8, [1.0])]
     df = spark.createDataFrame(rows, "site_id string, keyword_id int, vec array<double>")
