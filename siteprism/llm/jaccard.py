@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, stored, texts
+from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, slices, stored, texts
 from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
@@ -303,16 +303,18 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
 
     last: list[Shingler] = []  # of the task
 
-    def compare(group: pa.Table) -> pa.Table:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last[:] = last or [Shingler(n)]
         mine: dict[int, list[tuple]] = {}
         seen = set()
-        for t, family, node, side in zip(raw(group.column("text").combine_chunks()), *(group.column(c).to_pylist() for c in ("family", "node", "side"))):
-            if (node, side) not in seen:  # repeated rows
-                seen.add((node, side))
-                s = last[0].set_of(t)
-                if node_of(s) == node:
-                    mine.setdefault(family, []).append((len(s), node, side, s))
+        for part in (p for batch in batches for p in slices(batch, most=SLICE)):  # sets are held, texts are not
+            for t, family, node, side in zip(raw(part.column("text")), *(part.column(c).to_pylist() for c in ("family", "node", "side"))):
+                if (node, side) not in seen:  # repeated rows
+                    seen.add((node, side))
+                    s = last[0].set_of(t)
+                    if node_of(s) == node:
+                        mine.setdefault(family, []).append((len(s), node, side, s))
+        part = t = None
         a, b = [], []
         for members in mine.values():
             members.sort(key=lambda r: r[:2])
@@ -322,9 +324,9 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
             a += [members[x][1] for x, _ in found]
             b += [members[y][1] for _, y in found]
             members.clear()
-        mine, sets, s, t = {}, [], None, None
+        mine, sets, s = {}, [], None
         give_back()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     # texts travel, as they are smaller than their sets
     return held.select("text", "task", "family", "node", "side").groupBy("task").applyInArrow(compare, "a long, b long")
