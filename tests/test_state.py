@@ -216,3 +216,40 @@ def test_near_duplicates_of_a_family(spark, monkeypatch):
             want[i] = f"u{similar[0]}"
     assert got == want and len(want) > 150
     assert pairs[0].count() <= len(texts)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_near_duplicates_of_all_sizes(spark, percent):
+    """Leads of the sets lose no pair, whatever the sizes and however near the limit."""
+    rnd = random.Random(percent)
+    texts = []
+    for size in [1, 2, 3, 4, 7, 12, 30, 31, 60, 120]:
+        base = [f"w{rnd.randrange(400)}" for _ in range(size)]
+        texts.append(" ".join(base))
+        for _ in range(5):
+            own = base[rnd.randrange(size // 6 + 1) :] + [f"x{rnd.randrange(400)}" for _ in range(rnd.randrange(size // 6 + 1))]
+            for _ in range(rnd.randrange(size // 30 + 1)):
+                own[rnd.randrange(len(own))] = f"y{rnd.randrange(400)}"
+            texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    df = spark.createDataFrame([("s", i, f"u{i}", t) for i, t in enumerate(texts)], "site_id string, page_seq bigint, url string, text_content string")
+    runs = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} for w in (t.split() for t in texts)]
+    similar = {i: [j for j in range(i) if 100 * len(runs[j] & r) >= percent * len(runs[j] | r)] for i, r in enumerate(runs)}
+    want = {i: f"u{js[0]}" for i, js in similar.items() if js}
+    assert {r.page_seq: r.near_duplicate_of for r in N.near_duplicates(df, percent).collect()} == want and want
+
+
+def test_near_duplicates_move_leads(spark, monkeypatch):
+    """Of pages that are like no other only two fifths of the shingles are stored, once."""
+    rnd = random.Random(3)
+    texts = [" ".join(str(rnd.random()) for _ in range(102)) for _ in range(30)]
+    df = spark.createDataFrame([("s", i, f"u{i}", t) for i, t in enumerate(texts)], "site_id string, page_seq bigint, url string, text_content string")
+    stored = []
+    real = N.materialize
+    monkeypatch.setattr(N, "materialize", lambda d: stored.append(real(d)) or stored[-1])
+    assert N.near_duplicates(df).count() == 0
+    held = 0
+    for d in stored:
+        for name, kind in d.dtypes:
+            held += sum(len(r[0]) for r in d.select(name).collect()) if kind.startswith("array") else 0
+    assert held <= 0.42 * 30 * 100
