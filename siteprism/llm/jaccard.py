@@ -29,7 +29,7 @@ hashes of their words.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -44,6 +44,8 @@ from siteprism.llm.graph import components
 SPARE = 0.35
 #: Elements in a block of a family, where a set counts as LEAST at least.
 BLOCK, LEAST = 1 << 22, 256
+#: Texts that travel to comparison tasks at a time, as a multiple of all texts.
+ROUND = 1.5
 SKETCH_BITS = 4096
 _WORDS_KEPT = 1 << 18
 #: Bytes of text keyed at once.
@@ -272,7 +274,8 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
 
     One text stands for a node, found again by id and hash (a NULL id too).  A family is ordered by size and cut into blocks of BLOCK elements (sums of sizes in two
     levels, so that only blocks' totals of one family are summed in order); blocks meet in pairs where their sizes allow
-    a link, each pair in a task of its own; small families share tasks.
+    a link, each pair in a task of its own; small families share tasks.  A text travels once for each pair its block is
+    in; the tasks run in rounds, so that what is on its way at a time is bounded by the texts, however many pairs there are.
     """
     shown = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("shown")
     members = node_rows.dropna(subset=["node"]).groupBy("node").agg(shown, F.first("n_shingles").alias("n")).join(families.select("node", F.col("label").alias("family")), "node")
@@ -293,13 +296,14 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     )
     placed = members.join(total, "family").withColumn("small", F.col("total") <= BLOCK)
     large = placed.filter("not small").withColumn("level", level).join(cells.select("family", "level", "parts"), ["family", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    large = large.join(wanted, ["family", "level", "part"]).select("shown", "node", "family", "task", "side")
+    large = large.join(wanted, ["family", "level", "part"]).select("shown", "node", "n", "family", "task", "side")
     whole = members.agg(F.sum(weight).alias("all")).first()["all"] or 0
     shared = F.pmod(F.xxhash64("family"), F.lit(max(1, 4 * whole // BLOCK)))
-    small = placed.filter("small").select("shown", "node", "family", shared.alias("task"), F.lit(0).alias("side"))
+    small = placed.filter("small").select("shown", "node", "n", "family", shared.alias("task"), F.lit(0).alias("side"))
     rows = checkpointed(small.unionByName(large)).withColumns({"id": F.col("shown.doc_id"), "key": F.col("shown.text_key")}).drop("shown")
-    held = texts(docs, doc_id, text).withColumn("text_key", text_key())
-    held = held.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    moved, held = rows.agg(F.sum("n")).first()[0] or 0, node_rows.agg(F.sum("n_shingles")).first()[0] or 0
+    rounds = max(1, int(np.ceil(moved / max(1, ROUND * held))))
+    own = texts(docs, doc_id, text).withColumn("text_key", text_key())
 
     last: list[Shingler] = []  # of the task
 
@@ -328,8 +332,13 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
         give_back()
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    # texts travel, as they are smaller than their sets
-    return held.select("text", "task", "family", "node", "side").groupBy("task").applyInArrow(compare, "a long, b long")
+    def links_of(rows: DataFrame) -> DataFrame:
+        # texts travel, as they are smaller than their sets
+        found = own.join(rows, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+        return found.select("text", "task", "family", "node", "side").groupBy("task").applyInArrow(compare, "a long, b long")
+
+    parts = [stored(links_of(rows.filter(F.pmod(F.xxhash64("task"), F.lit(rounds)) == i))) for i in range(rounds)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,7 +347,7 @@ def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text:
     tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
     families = checkpointed(components(tied))
     release(docs.sparkSession)
-    labels = checkpointed(components(stored(verified(docs, node_rows, families, n, percent, doc_id, text))))
+    labels = checkpointed(components(verified(docs, node_rows, families, n, percent, doc_id, text)))
     release(docs.sparkSession)
     marked = node_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.dropna(subset=["label"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))

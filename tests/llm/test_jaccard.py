@@ -130,3 +130,22 @@ def test_components(spark):
             top[a] = top[b] = min(top[a], top[b])
     assert got == {k: v for k, v in top.items() if any(a != b and k in (a, b) for a, b in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_texts_travel_in_rounds(spark, monkeypatch):
+    """A family of many blocks that all meet: its texts go to their tasks in several rounds, with the same result."""
+    monkeypatch.setattr(jaccard, "BLOCK", 2000)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    pairs = []
+    for i in range(80):
+        own = list(base)
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(200)] = f"x{i}"
+        pairs.append((i, " ".join(own)))
+    passes = []
+    real = jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: passes.append(df) or real(df))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(table(spark, pairs), 4, 85)))
+    assert got == brute(pairs, 4, 85)
+    assert len(passes) > 2
