@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,8 @@ from siteprism.common import stage_dir
 
 #: Rows handed to Python code at once; a slice also ends at so many bytes of text.
 SLICE_ROWS, SLICE_BYTES = 2048, 8 << 20
+#: Bytes of an Arrow batch on its way to Python within `small_batches`.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,21 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside hands texts to Python in batches of bounded size; by default a batch has 10,000 texts of any length.
+
+    Every task holds a batch outside the heap while it is made, and once or twice more in its Python process.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{BATCH_BYTES}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Return freed memory to the system at a task's end; a worker waits for its next task with what it still holds."""
     gc.collect()

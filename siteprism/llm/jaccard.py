@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, slices, stored, texts
+from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, slices, small_batches, stored, texts
 from siteprism.llm.graph import components
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
@@ -343,12 +343,13 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
 
 def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key (hash of the text), n_shingles, label (of the component; NULL without shingles), component_id; see `join`."""
-    node_rows = checkpointed(nodes(docs, n, doc_id, text))
-    tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
-    families = checkpointed(components(tied))
-    release(docs.sparkSession)
-    labels = checkpointed(components(verified(docs, node_rows, families, n, percent, doc_id, text)))
-    release(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        node_rows = checkpointed(nodes(docs, n, doc_id, text))
+        tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
+        families = checkpointed(components(tied))
+        release(docs.sparkSession)
+        labels = checkpointed(components(verified(docs, node_rows, families, n, percent, doc_id, text)))
+        release(docs.sparkSession)
     marked = node_rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = marked.dropna(subset=["label"]).groupBy("label").agg(F.min("doc_id").alias("component_id"))
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

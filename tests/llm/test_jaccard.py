@@ -1,11 +1,14 @@
 import itertools
 import random
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pytest
 from conftest import table
 from llm_helpers import rows_of
+from pyspark.sql import functions as F
 
-from siteprism.llm import jaccard
+from siteprism.llm import common, jaccard
 from siteprism.llm.graph import components
 
 
@@ -149,3 +152,25 @@ def test_texts_travel_in_rounds(spark, monkeypatch):
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(table(spark, pairs), 4, 85)))
     assert got == brute(pairs, 4, 85)
     assert len(passes) > 2
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    """Long texts come to the comparisons, as to all passes over them, in batches of bounded size; the session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    real = jaccard.stored
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes for b in batches], pa.int64())})
+
+    def noted(df):
+        texts = spark.range(1000, numPartitions=1).select(F.lit(1).alias("task"), F.repeat(F.lit("x"), 10_000).alias("text"))
+        seen.extend(r["bytes"] for r in texts.groupBy("task").applyInArrow(sizes, "bytes long").collect())
+        return real(df)
+
+    monkeypatch.setattr(jaccard, "stored", noted)
+    text = " ".join(f"w{i}" for i in range(50))
+    out = rows_of(jaccard.join(table(spark, [(9, text), (4, text + " more")]), 4, 85))
+    assert [r["component_id"] for r in out] == [4, 4]
+    assert seen and max(seen) <= 1.1 * common.BATCH_BYTES
+    assert spark.conf.get(name) == before
