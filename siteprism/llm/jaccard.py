@@ -15,9 +15,15 @@ elements, so both sides agree on which are light, and pairs of which either set
 has few light ones meet under a heavy one).  Bands are as wide as one size
 ratio, so a set is keyed in its own band and in the next.
 
-Sets that meet under a key are candidates: they are tied to the key's smallest
-set, not to each other, so a key of any number of sets gives as many ties.  The
-ties' components ("families") contain all linked pairs.  Inside a family, cut
+Linked sets share `spare` keys and one, less the light ones ("need").  So a set of
+whose keys fewer are anybody else's is linked with nothing and goes.  Of the keys
+of the others, linked sets share half the need either under keys of FEW sets at
+most, whose pairs are counted, or under the crowded ones, where sets that have so
+many are tied to the key's smallest set, not to each other, so a key of any number
+of sets gives as many ties.  A passage that many texts hold brings them together
+only where it is a large part of them.
+
+The ties' components ("families") contain all linked pairs.  Inside a family, cut
 into blocks by size, sets are compared where neither size nor sketch excludes a
 link and where no link found before connects them already; links are verified
 on the sets themselves.
@@ -28,6 +34,7 @@ hashes of their words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import cache, reduce
 from hashlib import blake2b
@@ -39,17 +46,21 @@ from pyspark.sql import functions as F
 
 from siteprism.llm.common import checkpointed, give_back, map_slices, raw, release, slices, small_batches, stored, texts
 from siteprism.llm.graph import components
+from siteprism.llm.suffixes import Fingerprints
 
 #: Spare chunks as a share of d: light chunks are fewer in nearly all sets of a band.
 SPARE = 0.35
+#: Sets under a key whose pairs are counted.
+FEW = 16
 #: Elements in a block of a family, where a set counts as LEAST at least.
 BLOCK, LEAST = 1 << 22, 256
 #: Texts that travel to comparison tasks at a time, as a multiple of all texts.
 ROUND = 1.5
 SKETCH_BITS = 4096
-_WORDS_KEPT = 1 << 18
-#: Bytes of text keyed at once.
-SLICE = 2 << 20
+#: Bytes of text keyed, and hashed, at once.
+SLICE, PIECE = 2 << 20, 1 << 19
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_IS_GAP = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _U = np.uint64
 
 
@@ -64,35 +75,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Shingler:
-    """Sets of 64-bit hashes of a text's distinct word n-grams."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-        self.known: dict[bytes, int] = {}
-
-    def _word(self, word: bytes) -> int:
-        if len(self.known) >= _WORDS_KEPT:
-            self.known.clear()
-        got = self.known[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return got
-
-    def set_of(self, text: bytes | None) -> np.ndarray:
-        """Sorted; with fewer than n words the whole sequence is the one element, without words there is none."""
-        words = (text or b"").lower().split()
-        if not words:
-            return np.zeros(0, _U)
-        known = self.known
-        codes = np.array([known.get(w) or self._word(w) for w in words], _U)
-        if len(codes) < self.n:
-            out = np.array([len(codes)], _U)
-            for c in codes:
-                out = mixed(out * _U(0x9E3779B97F4A7C15) + c)
-            return out
-        out = codes[: len(codes) - self.n + 1]
-        for i in range(1, self.n):
-            out = mixed(out * _U(0x9E3779B97F4A7C15) + codes[i : len(codes) - self.n + 1 + i])
-        return np.unique(out)
+def codes_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, place in the text) of its words in lower case, a part of PIECE bytes at a time that ends between words."""
+    codes, places, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + PIECE)
+        end = gap.end() if gap else len(text)
+        data = np.frombuffer(text[at:end].lower(), np.uint8)
+        edges = np.flatnonzero(np.diff(_IS_GAP[data], prepend=True, append=True))
+        codes.append(Fingerprints(data).of(edges[::2], edges[1::2]))
+        places.append(edges[::2] + at)
+        at = end
+    return np.concatenate(codes), np.concatenate(places)
+
+
+def sets_of(texts: list[bytes | None], n: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct word n-grams.
+
+    With fewer than n words the whole sequence is the one element, without words there is none.
+    """
+    held = [t or b"" for t in texts]
+    codes, places = codes_of(b" ".join(held))
+    # a text's words lie before the gap that follows it
+    ends = np.searchsorted(places, np.cumsum([len(t) + 1 for t in held]))
+    grams = codes[: max(0, len(codes) - n + 1)]
+    for i in range(1, n):
+        grams = mixed(grams * _U(0x9E3779B97F4A7C15) + codes[i : len(grams) + i])
+    out, start = [], 0
+    for end in ends.tolist():
+        if end - start >= n:
+            out.append(np.unique(grams[start : end - n + 1]))
+        else:
+            short = np.array([end - start] * (end > start), _U)
+            for c in codes[start:end]:
+                short = mixed(short * _U(0x9E3779B97F4A7C15) + c)
+            out.append(short)
+        start = end
+    return out
 
 
 def node_of(elements: np.ndarray) -> int:
@@ -125,13 +144,18 @@ def chunks(band: int, percent: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
-def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place in `sets`) of all sketch chunks by which the sets are to meet."""
+def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place in `sets`, need) of all sketch chunks by which the sets are to meet.
+
+    need: twice the number of keys that a set shares with each set that it is linked with in the band (at least), and 1 in
+    the next band.  Of the equal chunks, `spare` and one, no more are light than either set has; a set with more light ones
+    than `spare` is keyed by those as well, but its partner may not be.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     elements = np.concatenate([*sets, np.zeros(0, _U)])
     owner = np.repeat(np.arange(len(sets)), sizes)
     own = np.searchsorted(band_starts(percent), np.maximum(sizes, 1), "right") - 1
-    out_keys, out_places = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    out_keys, out_places, out_need = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in (0, 1):
         band = own + step
         params = np.array([chunks(int(b), percent) for b in band], np.int64).reshape(-1, 2)
@@ -152,13 +176,16 @@ def keys_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
             value[full] = np.bitwise_xor.reduceat(bits, (np.cumsum(count) - count)[full])
         chunk_owner = np.repeat(np.arange(len(sets)), k)
         light = count <= (1 if percent >= 85 else 0)
-        many = np.bincount(chunk_owner[light], minlength=len(sets)) > spare
+        n_light = np.bincount(chunk_owner[light], minlength=len(sets))
+        many = n_light > spare
         use = ~light | many[chunk_owner]
+        need = 2 * np.where(many, 1, spare + 1 - n_light) + step
         number = np.arange(len(value)) - first[chunk_owner]
         tag = mixed(number.astype(_U) * _U(4) + light.astype(_U) + mixed(band[chunk_owner].astype(_U) + _U(0xBA2D)))
         out_keys.append(mixed(value + tag)[use])
         out_places.append(chunk_owner[use])
-    return np.concatenate(out_keys), np.concatenate(out_places)
+        out_need.append(need[chunk_owner[use]])
+    return np.concatenate(out_keys), np.concatenate(out_places), np.concatenate(out_need)
 
 
 def text_key() -> Column:
@@ -171,41 +198,109 @@ def nodes(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -
     rows = texts(docs, doc_id, text).withColumn("text_key", text_key())
 
     def make():
-        shingler = Shingler(n)
-
         def work(part: pa.RecordBatch) -> dict:
-            sets = [shingler.set_of(t) for t in raw(part.column("text"))]
+            sets = sets_of(raw(part.column("text")), n)
             return {"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())}
 
         return work
 
-    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, n_shingles long, node long")
+    return map_slices(rows, make, f"doc_id {dict(rows.dtypes)['doc_id']}, text_key long, n_shingles long, node long", most=SLICE)
 
 
 def keyed(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, other): a row per chunk and set; sets that meet in one slice already are tied there (other)."""
+    """(key, node, need): a row per chunk and set of a slice; see `keys_of`."""
 
     def make():
-        shingler = Shingler(n)
-
         def work(part: pa.RecordBatch) -> dict:
-            sets: dict[int, np.ndarray] = {}
-            for t in raw(part.column("text")):
-                s = shingler.set_of(t)
-                if len(s):
-                    sets[node_of(s)] = s
-            ids = np.array(sorted(sets), np.int64)
-            key, place = keys_of([sets[i] for i in ids.tolist()], percent)
-            node = ids[place]
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-            head = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else node
-            return {"key": pa.array(key.view(np.int64)), "node": pa.array(head), "other": pa.array(node, mask=new)}
+            sets = {node_of(s): s for s in sets_of(raw(part.column("text")), n) if len(s)}
+            key, place, need = keys_of(list(sets.values()), percent)
+            return {"key": pa.array(key.view(np.int64)), "node": pa.array(np.array(list(sets), np.int64)[place]), "need": pa.array(need.astype(np.int32))}
 
         return work
 
-    return map_slices(texts(docs, doc_id, text).select("text"), make, "key long, node long, other long", most=SLICE)
+    return map_slices(texts(docs, doc_id, text).select("text"), make, "key long, node long, need int", most=SLICE)
+
+
+def by_key(keys: DataFrame) -> DataFrame:
+    return keys.repartition("key").sortWithinPartitions("key", "node")
+
+
+def met(keys: DataFrame) -> DataFrame:
+    """The rows whose key another set has too, each once, in one pass over the sorted keys that keeps a row at a time."""
+    columns = ("key", "node", "need")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, False  # the last row; whether the one before it has its key
+
+        def shown(rows: list[np.ndarray], which: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: pa.array(x[which]) for c, x in zip(columns, rows)})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in columns]
+            rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            once = np.ones(len(rows[0]), bool)
+            once[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            rows = [x[once] for x in rows]
+            same = np.concatenate([[before], rows[0][1:] == rows[0][:-1]])
+            yield shown([x[:-1] for x in rows], same[:-1] | same[1:])
+            held, before = [x[-1:] for x in rows], bool(same[-1])
+        if before:
+            yield shown(held, np.ones(1, bool))
+
+    return by_key(keys).mapInArrow(run, "key long, node long, need int")
+
+
+def enough(rows: DataFrame, half: bool = False) -> DataFrame:
+    """The rows (key, node, need) of sets that have as many of them as they need, or more than half as many."""
+    wanted = rows.groupBy("node", "need").agg(F.count("*").alias("n"))
+    wanted = wanted.filter(F.col("n") * 2 > F.shiftright("need", 1) if half else F.col("n") >= F.shiftright("need", 1))
+    return rows.join(wanted, ["node", "need"], "left_semi")
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(key, a, b, need): a row per key and pair of sets a, b, or per set a (b is NULL) where a key has more than FEW.
+
+    Two sets that are both in their next band are left out, as they meet in their own.  One pass over the sorted keys.
+    """
+    columns = ("key", "node", "need")
+
+    def told(rows: list[np.ndarray], crowded: int | None) -> pa.RecordBatch:
+        key = rows[0]
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        sizes = np.diff(heads, append=len(key))
+        many = np.repeat((sizes > FEW) | (False if crowded is None else key[heads] == crowded), sizes)
+        key, node, need = (x[~many] for x in rows)
+        left = [np.flatnonzero(key[i:] == key[:-i]) for i in range(1, FEW)]
+        x, y = np.concatenate(left), np.concatenate([at + i for i, at in enumerate(left, 1)])
+        own = (need[x] & need[y] & 1) == 0
+        x, y = x[own], y[own]
+        out = {"key": [key[x], rows[0][many]], "a": [node[x], rows[1][many]], "b": [node[y], rows[1][many]], "need": [np.maximum(need[x] >> 1, need[y] >> 1), rows[2][many]]}
+        alone = np.arange(len(x) + many.sum()) >= len(x)
+        return pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(v), mask=alone if c == "b" else None) for c, v in out.items()})
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)], None  # rows of the last key, FEW at most; a key of more
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, columns)]
+            start = int(np.searchsorted(rows[0], rows[0][-1]))
+            full = rows[0][-1] == crowded or len(rows[0]) - start > FEW
+            yield told(rows if full else [x[:start] for x in rows], crowded)
+            held, crowded = [x[len(x) if full else start :] for x in rows], rows[0][-1] if full else None
+        yield told(held, None)
+
+    return by_key(rows).mapInArrow(run, "key long, a long, b long, need int")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """(a, b): ties whose components hold all linked pairs, of the rows of `keyed`."""
+    found = stored(counted(enough(stored(met(keys)))))  # the largest shuffle ends in `met`
+    pairs = found.dropna(subset=["b"]).groupBy("a", "b").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("2 * n >= need")
+    crowded = found.filter("b IS NULL").select("key", F.col("a").alias("node"), "need")
+    return pairs.select("a", "b").unionByName(ties(enough(crowded, half=True)))
 
 
 def ties(keys: DataFrame) -> DataFrame:
@@ -217,19 +312,16 @@ def ties(keys: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             key, node = batch.column("key").to_numpy(), batch.column("node").to_numpy()
-            other = batch.column("other")
             new = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
             head = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
             if not new[0]:
                 head[: int(np.argmax(new)) if new.any() else len(head)] = last_head
             last_key, last_head = key[-1], head[-1]
-            local = other.is_valid().to_numpy(zero_copy_only=False)
-            pairs = np.concatenate([np.stack([head, node], 1), np.stack([node[local], other.drop_null().to_numpy()], 1)])
+            pairs = np.stack([head, node], 1)
             pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
             yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    dealt = keys.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return by_key(keys.select("key", "node")).mapInArrow(run, "a long, b long").distinct()
 
 
 def parities(elements: np.ndarray) -> np.ndarray:
@@ -239,14 +331,7 @@ def parities(elements: np.ndarray) -> np.ndarray:
 
 def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Verified links (places in `sets`) between left and right places that connect all that is linked; places must rise with size."""
-    top = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
+    top = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets], np.int64)
     sketches = np.array([parities(s) for s in sets]).reshape(len(sets), -1)
     out = []
@@ -254,17 +339,16 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent:
         others = right[(right > i) & (100 * sizes[i] >= percent * sizes[right])] if left is right else right[(100 * np.minimum(sizes[i], sizes[right]) >= percent * np.maximum(sizes[i], sizes[right]))]
         if not len(others):
             continue
-        mine = find(i)
-        others = np.array([j for j in others.tolist() if find(j) != mine], np.int64)
+        others = others[top[others] != top[i]]
         if not len(others):
             continue
         most = allowed(sizes[i] + sizes[others], percent)
         apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1)
         for j in others[apart <= most].tolist():
-            if find(i) != find(j):
+            if top[i] != top[j]:
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
-                    top[find(i)] = find(j)
+                    top[top == top[j]] = top[i]
                     out.append((i, j))
     return out
 
@@ -305,20 +389,16 @@ def verified(docs: DataFrame, node_rows: DataFrame, families: DataFrame, n: int,
     rounds = max(1, int(np.ceil(moved / max(1, ROUND * held))))
     own = texts(docs, doc_id, text).withColumn("text_key", text_key())
 
-    last: list[Shingler] = []  # of the task
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last[:] = last or [Shingler(n)]
         mine: dict[int, list[tuple]] = {}
         seen = set()
         for part in (p for batch in batches for p in slices(batch, most=SLICE)):  # sets are held, texts are not
-            for t, family, node, side in zip(raw(part.column("text")), *(part.column(c).to_pylist() for c in ("family", "node", "side"))):
+            for s, family, node, side in zip(sets_of(raw(part.column("text")), n), *(part.column(c).to_pylist() for c in ("family", "node", "side"))):
                 if (node, side) not in seen:  # repeated rows
                     seen.add((node, side))
-                    s = last[0].set_of(t)
-                    if node_of(s) == node:
+                    if len(s) and node_of(s) == node:
                         mine.setdefault(family, []).append((len(s), node, side, s))
-        part = t = None
+        part = None
         a, b = [], []
         for members in mine.values():
             members.sort(key=lambda r: r[:2])
@@ -345,8 +425,7 @@ def classes(docs: DataFrame, n: int, percent: int, doc_id: str = "doc_id", text:
     """doc_id, text_key (hash of the text), n_shingles, label (of the component; NULL without shingles), component_id; see `join`."""
     with small_batches(docs.sparkSession):
         node_rows = checkpointed(nodes(docs, n, doc_id, text))
-        tied = stored(ties(keyed(docs, n, percent, doc_id, text)))  # the largest shuffle ends here
-        families = checkpointed(components(tied))
+        families = checkpointed(components(stored(candidates(keyed(docs, n, percent, doc_id, text)))))
         release(docs.sparkSession)
         labels = checkpointed(components(verified(docs, node_rows, families, n, percent, doc_id, text)))
         release(docs.sparkSession)

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteprism.llm.common import carried, handed_on, map_slices, raw, shared_dir, stored, texts
+from siteprism.llm.common import carried, handed_on, map_slices, raw, shared_dir, small_batches, stored, texts
 
 LENGTH, GRAM, GROUP = 200, 40, 8
 #: Bytes of text worked on at once.
@@ -381,7 +381,8 @@ def kept(docs: DataFrame, batches: int = 2, doc_id: str = "doc_id", text: str =
     behind, or come along in `row` (carry).
     """
     rows = keyed_texts(docs, doc_id, text, carry)
-    spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_set("span").alias("runs")))
+    with small_batches(docs.sparkSession):
+        spans = stored(repeated(rows, batches).groupBy("text_key").agg(F.collect_set("span").alias("runs")))
     bits = F.broadcast(bitmap(spans.select(F.col("text_key").alias("key"))))  # BITS / ROW_BITS rows at most
     bit = F.col("text_key").bitwiseAND(F.lit(BITS - 1))
     byte = F.conv(F.hex(F.substring("bits", (F.shiftright(bit.bitwiseAND(F.lit(ROW_BITS - 1)), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")

@@ -174,3 +174,55 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert [r["component_id"] for r in out] == [4, 4]
     assert seen and max(seen) <= 1.1 * common.BATCH_BYTES
     assert spark.conf.get(name) == before
+
+
+def test_sets_of_a_slice_and_of_its_texts_alone(monkeypatch):
+    """Words of many texts are hashed at once, long texts in parts: the sets are those of the texts one by one."""
+    rng = random.Random(3)
+    odd = [b"", None, b" ", b"\x0b", b"One", b"one  TWO", b"a b c d e f", b"x" * 3000, b" a\tb\nc\x0bd\x0ce\rf ", "é ü   ß\xa0a".encode()]
+    odd += [b" ".join(rng.choice([b"aa", b"B", b"ccc"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    alone = [jaccard.sets_of([t], 4)[0].tolist() for t in odd]
+    assert [len(s) for s in alone] == [len({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else ()) for w in ((t or b"").lower().split() for t in odd)]
+    for piece in (1 << 19, 37, 1):
+        monkeypatch.setattr(jaccard, "PIECE", piece)
+        assert [s.tolist() for s in jaccard.sets_of(odd, 4)] == alone
+
+
+@pytest.mark.parametrize("n, percent", [(4, 85), (5, 80)])
+def test_linked_sets_share_the_keys_they_need(n, percent):
+    pairs = corpus(percent + 1)
+    plain = [shingles(t, n) for _, t in pairs]
+    sets = jaccard.sets_of([t.encode() for _, t in pairs], n)
+    key, place, need = jaccard.keys_of(sets, percent)
+    mine = {i: {} for i in range(len(sets))}
+    for k, p, x in zip(key.tolist(), place.tolist(), need.tolist()):
+        mine[p][k] = x
+    linked = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        common = len(plain[a] & plain[b])
+        if plain[a] != plain[b] and 100 * common >= percent * (len(plain[a]) + len(plain[b]) - common):
+            linked += 1
+            shared = [k for k in mine[a].keys() & mine[b].keys() if not mine[a][k] & mine[b][k] & 1]
+            assert shared and len(shared) >= max(max(mine[a][k], mine[b][k]) >> 1 for k in shared)
+    assert linked > 100
+
+
+@pytest.mark.parametrize("few", [2, 5])
+def test_crowded_keys_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    pairs = corpus(7 + few)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows_of(jaccard.join(table(spark, pairs).repartition(5), 5, 80)))
+    assert got == brute(pairs, 5, 80)
+
+
+def test_common_passages_bring_no_texts_together(spark, monkeypatch):
+    """A third of every text is a passage that all hold, another third one that it shares with one neighbour: nothing is compared."""
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    common = words("w", 60)
+    pairs = [(i, " ".join(common + words(f"p{i // 2}_", 60) + words(f"own{i}_", 80))) for i in range(60)]
+    pairs += [(100, " ".join(words("z", 200))), (101, " ".join(words("z", 201)))]
+    families, real = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: families.append(real(edges)) or families[-1])
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(jaccard.join(table(spark, pairs), 5, 80))}
+    assert got == {i: 100 if i == 101 else i for i, _ in pairs}
+    assert families[0].count() == 2

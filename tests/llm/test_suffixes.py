@@ -7,7 +7,7 @@ import pytest
 from conftest import table
 from llm_helpers import rows_of
 
-from siteprism.llm import suffixes
+from siteprism.llm import common, suffixes
 from siteprism.llm.suffixes import LENGTH, Fingerprints, kept, segments, sliding_least
 
 
@@ -129,3 +129,14 @@ def test_levels_double(spark, tmp_path):
     for sizes in ([1], [2], [2, 1], [4], [4, 1]):
         family.add(rows)
         assert [x.size for x in family.levels] == sizes
+
+
+def test_repeats_reach_python_in_small_batches(spark, monkeypatch):
+    """While repeats are looked for, texts come to Python in batches of bounded size; the session's own setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, real = spark.conf.get(name), [], suffixes.stored
+    monkeypatch.setattr(suffixes, "stored", lambda df: seen.append(spark.conf.get(name)) or real(df))
+    text = " ".join(f"w{i}" for i in range(100))
+    assert {r["n_removed"] for r in suffixes.kept(table(spark, [(1, text), (2, text)])).collect()} == {len(text)}
+    assert len(seen) == 4 and set(seen) == {f"{common.BATCH_BYTES}b"}
+    assert spark.conf.get(name) == before
